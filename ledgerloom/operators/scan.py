@@ -96,16 +96,8 @@ def account_group_closure(tables: LedgerTables) -> DataFrame:
 
 def account_group_subtree(tables: LedgerTables, group_ids: Sequence[int]) -> DataFrame:
     """The given account groups and all groups below them, as one column `group_id`."""
-    return tables.spark.sql(
-        """
-        WITH RECURSIVE below(group_id) AS (
-            SELECT id FROM {groups} WHERE array_contains({roots}, id)
-            UNION ALL
-            SELECT g.id FROM below b JOIN {groups} g ON g.parent_id = b.group_id
-        )
-        SELECT DISTINCT group_id FROM below
-        """, groups=tables["account_group"].select("id", "parent_id"),
-        roots=F.array(*[F.lit(i).cast("bigint") for i in group_ids]))
+    return (keep_ids(account_group_closure(tables), "group_id", group_ids)
+            .select(F.col("member_id").alias("group_id")).distinct())
 
 
 def third_party_kinds(result_selection: str) -> tuple[str, ...]:
