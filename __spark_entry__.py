@@ -96,18 +96,21 @@ def _move_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _enriched(spark: SparkSession, path: str) -> DataFrame:
     tables = stored_tables(spark, path)
-    items = enrich(tables.items.drop("parent_state", "move_name"), tables)
+    items = enrich(tables.items.drop("parent_state", "move_name", "last_match_date"), tables)
     return flat(items.groupBy(
         "type_third_parties", "include_initial_balance", "parent_state",
         F.substring("move_name", 1, 4).alias("prefix")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("balance").alias("balance")))
 
 
-def _joined_entries(spark: SparkSession, path: str) -> DataFrame:
-    tables = stored_tables(spark, path)
+def _joined(name: str, spark: SparkSession, path: str) -> DataFrame:
+    """A ledger over items as extracted: entries and matches are joined in the report."""
+    tables, o = stored_tables(spark, path), CASES[name]
     bare = tables.with_frames(
-        account_move_line=tables.items.drop("parent_state", "move_name"))
-    return flat(ledger(bare, CASES["general_ledger_trial_balance"]), TOTAL)
+        account_move_line=tables.items.drop("parent_state", "move_name", "last_match_date"))
+    lines = ledger(bare, o, TODAY)
+    columns = [c for c in LINE if c != "move_name"]
+    return flat(lines, TOTAL if o.summary else columns)
 
 
 def _eligible(spark: SparkSession, path: str) -> DataFrame:
@@ -293,7 +296,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "opening_partner": partial(_opening, "partner_ledger_detail"),
     "opening_per_object": _opening_per_object,
     **{name: partial(_ledger, name) for name in CASES},
-    "general_ledger_joined_entries": _joined_entries,
+    **{f"{name}_joined": partial(_joined, name) for name in oracle.JOINED},
     "object_totals": _object_totals,
     "grand_total": _grand_total,
     "lines_grouped": partial(_lines_grouped, "account_id", "general_ledger_detail"),

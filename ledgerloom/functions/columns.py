@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,17 +13,18 @@ from ledgerloom.schemas import AGE_COLUMNS, AGE_EDGES
 
 def sum0(value: str | Column) -> Column:
     """Sum that is zero, not null, over no rows."""
+    if isinstance(value, str):
+        return F.expr(f"coalesce(sum(`{value}`), 0)")
     return F.coalesce(F.sum(value), F.lit(0))
 
 
-def half_rounding() -> Column:
-    """Amounts up to this count as zero: half the company currency's smallest unit."""
-    return F.col("rounding") / 2
-
-
-def exceeds(amount: str | Column) -> Column:
-    amount = F.col(amount) if isinstance(amount, str) else amount
-    return F.abs(amount) > half_rounding()
+def exceeds(amount: str, rounding: Decimal | str | None) -> Column:
+    """Whether an amount counts: it is more than half the currency's smallest unit, which is
+    given as a number or as the name of its column."""
+    if rounding is None:
+        return F.lit(None).cast("boolean")
+    half = f"`{rounding}` / 2" if isinstance(rounding, str) else f"{rounding / 2:f}BD"
+    return F.expr(f"abs(`{amount}`) > {half}")
 
 
 def net_opening(debit: Column, credit: Column, balance: Column,
@@ -34,14 +36,20 @@ def net_opening(debit: Column, credit: Column, balance: Column,
             F.when(history, credit).otherwise(F.greatest(-balance, zero)))
 
 
+def age_of(due: Column, to: Column, edges: Sequence[int] = AGE_EDGES) -> Column:
+    """Name of the age column an amount due on a day belongs in at `to`. No due date means no
+    column at all."""
+    name = F.when(due > to, AGE_COLUMNS[0])
+    for days, column in zip(edges, AGE_COLUMNS[1:]):
+        name = name.when(due > F.date_sub(to, days), column)
+    return name.when(due.isNotNull(), AGE_COLUMNS[-1])
+
+
 def age_buckets(due: Column, amount: Column, to: Column,
                 edges: Sequence[int] = AGE_EDGES) -> dict[str, Column]:
-    """The amount in the column of its age at `to`. No due date means no column at all."""
-    lines = [to, *[F.date_sub(to, days) for days in edges]]
-    buckets = [due > lines[0]]
-    buckets += [(due <= newer) & (due > older) for newer, older in zip(lines, lines[1:])]
-    buckets.append(due <= lines[-1])
-    return {name: F.when(hit, amount) for name, hit in zip(AGE_COLUMNS, buckets)}
+    """The amount in the column of its age."""
+    age = age_of(due, to, edges)
+    return {name: F.when(age == name, amount) for name in AGE_COLUMNS}
 
 
 def round_to(amount: Column, unit: Column) -> Column:

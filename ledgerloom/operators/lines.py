@@ -11,8 +11,9 @@ from ledgerloom import schemas as S
 from ledgerloom.functions.columns import age_buckets, exceeds, sum0
 from ledgerloom.operators.matching import (
     match_dates, open_at_start, reconciled_flag, with_match_dates)
-from ledgerloom.operators.running import running_balance
-from ledgerloom.operators.scan import dated, in_states, move_lines, select_accounts
+from ledgerloom.operators.running import id_steps, running_balance
+from ledgerloom.operators.scan import (
+    currency_columns, dated, in_states, move_lines, select_accounts)
 from ledgerloom.options import ReportOptions
 from ledgerloom.sources.tables import LedgerTables
 
@@ -37,9 +38,10 @@ def shown(o: ReportOptions) -> Column:
     return started(o) | opening_line_pred(o)
 
 
-def line_pred(o: ReportOptions) -> Column:
+def line_pred(tables: LedgerTables, o: ReportOptions) -> Column:
     """Whether an item is a detail line of the report."""
-    pred = (F.col("date") <= F.lit(o.date_to)) & shown(o) & exceeds("balance")
+    _, rounding = tables.currency(o.company_id)
+    pred = (F.col("date") <= F.lit(o.date_to)) & exceeds("balance", rounding) & shown(o)
     if o.compact_account:
         pred = pred & ~F.coalesce("compacted", F.lit(False))
     if not o.reconciled:
@@ -70,7 +72,7 @@ def with_needed_dates(items: DataFrame, tables: LedgerTables, o: ReportOptions,
     if past_end_only and (flags or not o.reconciled):
         return with_match_dates(
             items, F.lit(True), match_dates(tables, o, since=o.date_to + dt.timedelta(days=1)))
-    if past_end_only:
+    if past_end_only and "last_match_date" not in items.columns:
         return items.withColumn("last_match_date", F.lit(None).cast("date"))
     # Plain accounts are summed or listed before the start whatever their matches.
     before_start = ~started(o) & ~F.coalesce(F.col("type_third_parties") == "no", F.lit(False))
@@ -84,7 +86,7 @@ def detail_lines(tables: LedgerTables, o: ReportOptions,
     opening balance per object; the balance runs on from it."""
     until = min(o.date_to, o.day_before) if o.ledger_type == "open" else o.date_to
     items = with_needed_dates(scope(tables, o, until), tables, o, flags=True, openings=False)
-    items = items.where(line_pred(o))
+    items = items.where(line_pred(tables, o)).withColumns(currency_columns(tables, o))
     lines = items.select(
         F.lit(o.report_id).alias("report_id"),
         F.when(started(o), S.LINE).otherwise(S.INIT_LINE).alias("line_type"),
@@ -99,7 +101,8 @@ def detail_lines(tables: LedgerTables, o: ReportOptions,
         F.col("name").alias("item_name"), F.col("ref").alias("item_ref"),
         *(["move_name"] if "move_name" in items.columns else []))
     key = o.running_column
-    return running_balance(lines, key, carried if key == o.object_column else None)
+    return running_balance(lines, key, carried if key == o.object_column else None,
+                           id_bits=id_steps(tables, key))
 
 
 def compact_lines(tables: LedgerTables, o: ReportOptions,
@@ -109,9 +112,9 @@ def compact_lines(tables: LedgerTables, o: ReportOptions,
     accounts = select_accounts(tables, o).where(F.coalesce("compacted", F.lit(False)))
     sums = (in_states(items, tables, o.states).join(accounts, "account_id")
             .groupBy("account_id")
-            .agg(*[sum0(c).alias(c) for c in S.FLOWS],
-                 F.max("company_currency_id").alias("company_currency_id"))
-            .withColumn("report_object_id", F.col("account_id")))
+            .agg(*[sum0(c).alias(c) for c in S.FLOWS])
+            .withColumns({"report_object_id": F.col("account_id"),
+                          **currency_columns(tables, o)}))
     before = F.lit(0).cast("decimal(28,2)")
     if carried is not None:
         sums = sums.join(carried.withColumnRenamed("balance", "_before"),

@@ -36,9 +36,11 @@ def match_flags(tables: LedgerTables, o: ReportOptions) -> DataFrame:
 def with_match_dates(items: DataFrame, needed: Column, dates: DataFrame) -> DataFrame:
     """Items with `last_match_date`, null where the item is not `needed` to have one.
 
-    Most items have no match. They go around the join: in it, their null key would put them
-    all into one task.
+    Items stored with the date are taken as they are. Otherwise, as most items have no match,
+    those go around the join: in it, their null key would put them all into one task.
     """
+    if "last_match_date" in items.columns:
+        return items
     absent = F.lit(None).cast("date").alias("last_match_date")
     needed = F.coalesce(F.col("full_reconcile_id").isNotNull() & needed, F.lit(False))
     return (items.where(needed).join(dates, "full_reconcile_id", "left")

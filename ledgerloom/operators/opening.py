@@ -10,7 +10,7 @@ from ledgerloom.functions.columns import exceeds, net_opening, sum0
 from ledgerloom.operators.matching import match_dates, open_at_start, with_match_dates
 from ledgerloom.operators.objects import unaffected_account
 from ledgerloom.operators.scan import (
-    account_settings, company_items, dated, in_states, move_lines, select_accounts)
+    account_settings, company_items, currency_columns, dated, in_states, move_lines, select_accounts)
 from ledgerloom.options import ReportOptions
 from ledgerloom.sources.tables import LedgerTables
 
@@ -35,10 +35,11 @@ def opening_pred(o: ReportOptions) -> Column:
     return balance_sheet() & summed
 
 
-def significant_opening(o: ReportOptions) -> Column:
+def significant_opening(tables: LedgerTables, o: ReportOptions) -> Column:
     """Openings to keep: with history also those that net to zero but had movements."""
-    balance = exceeds("balance")
-    return exceeds("debit") | balance if o.init_balance_history else balance
+    _, rounding = tables.currency(o.company_id)
+    balance = exceeds("balance", rounding)
+    return exceeds("debit", rounding) | balance if o.init_balance_history else balance
 
 
 def opening_row(df: DataFrame, o: ReportOptions) -> DataFrame:
@@ -65,6 +66,7 @@ def unaffected_earnings(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     account = unaffected_account(tables, o).withColumn("company_id", F.lit(o.company_id))
     joined = account.join(result, "company_id", "left").withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in S.FLOWS})
+    joined = joined.withColumns(currency_columns(tables, o))
     return opening_row(joined.withColumn("report_object_id", F.col("account_id")), o)
 
 
@@ -78,10 +80,8 @@ def opening(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     items = with_match_dates(items, third_party, match_dates(tables, o, since=o.date_from))
     group = opening_group(o)
     sums = items.where(opening_pred(o)).groupBy(*group).agg(
-        *[sum0(c).alias(c) for c in S.FLOWS],
-        F.max("rounding").alias("rounding"),
-        F.max("company_currency_id").alias("company_currency_id"))
-    sums = sums.where(significant_opening(o))
+        *[sum0(c).alias(c) for c in S.FLOWS])
+    sums = sums.where(significant_opening(tables, o)).withColumns(currency_columns(tables, o))
     return opening_row(sums.withColumn("report_object_id", F.col(o.object_column)), o)
 
 

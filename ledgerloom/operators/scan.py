@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
@@ -67,16 +67,22 @@ def in_states(items: DataFrame, tables: LedgerTables, states: Sequence[str]) ->
     return items.join(entries.select(F.col("id").alias("move_id")), "move_id", "left_semi")
 
 
+_SETTINGS = ("type_third_parties", "include_initial_balance", "is_unaffected_earnings",
+             "compacted", "deprecated", "group_id")
+
+
 def account_settings(tables: LedgerTables) -> DataFrame:
-    """Accounts with the columns reports decide by, and their company's currency."""
+    """Accounts of all companies with the columns reports decide by."""
+    return tables["account_account"].select(F.col("id").alias("account_id"), "company_id",
+                                            *_SETTINGS)
+
+
+def with_currency(accounts: DataFrame, tables: LedgerTables) -> DataFrame:
+    """Accounts with their company's currency and its rounding."""
     companies = tables["res_company"].select(
         F.col("id").alias("company_id"), F.col("currency_id").alias("company_currency_id"))
     currencies = tables["res_currency"].select(
-        F.col("id").alias("company_currency_id"), F.col("rounding"))
-    accounts = tables["account_account"].select(
-        F.col("id").alias("account_id"), "company_id", "type_third_parties",
-        "include_initial_balance", "is_unaffected_earnings", "compacted", "deprecated",
-        "group_id")
+        F.col("id").alias("company_currency_id"), "rounding")
     return (accounts.join(companies, "company_id", "left")
             .join(currencies, "company_currency_id", "left"))
 
@@ -118,6 +124,13 @@ def select_accounts(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     return accounts.drop("company_id", "deprecated", "group_id")
 
 
+def currency_columns(tables: LedgerTables, o: ReportOptions) -> dict[str, Column]:
+    """The report's currency and its rounding, as constants filters can be pushed with."""
+    currency, rounding = tables.currency(o.company_id)
+    return {"company_currency_id": F.lit(currency).cast("bigint"),
+            "rounding": F.lit(rounding).cast("decimal(18,6)")}
+
+
 def enrich(items: DataFrame, tables: LedgerTables) -> DataFrame:
     """Items with their account's settings and their entry's state and name."""
     accounts = account_settings(tables).drop("company_id", "deprecated", "group_id")

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
-from ledgerloom.functions.columns import age_buckets, net_opening, round_to, sum0
+from ledgerloom.functions.columns import age_of, net_opening, round_to, sum0
 from ledgerloom.operators.lines import line_pred, scope, started, with_needed_dates
 from ledgerloom.operators.opening import (
     opening_group, opening_pred, significant_opening, unaffected_earnings)
+from ledgerloom.operators.scan import currency_columns
 from ledgerloom.options import OBJECT_COLUMNS, ReportOptions
 from ledgerloom.sources.tables import LedgerTables
 
@@ -19,43 +20,54 @@ from ledgerloom.sources.tables import LedgerTables
 def object_parts(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     """What each object's total is made of, from one pass over the items.
 
-    Every item is opening, line, compacted or nothing; conditional sums per object (and
-    account, where openings are kept apart by account) take them all up at once, before any
-    row is shuffled. Small openings are dropped as they are from the report.
+    Every item is opening, line, compacted or nothing, and a line has an age. Sums per object
+    (and account, where openings are kept apart by account), kind and age take all items up at
+    once, before any row is shuffled; what follows works on these few sums. Small openings are
+    dropped as they are from the report.
     """
     compact = o.compact_account and o.ledger_type == "general"
-    has_lines = o.ledger_type != "open"
-    until = max(o.date_to, o.day_before) if o.has_opening and has_lines else (
-        o.date_to if has_lines else o.day_before)
+    until = o.date_to
+    if o.ledger_type == "open":
+        until = o.day_before
+    elif o.has_opening:
+        until = max(o.date_to, o.day_before)
     items = with_needed_dates(
         scope(tables, o, until), tables, o, flags=False, openings=o.has_opening)
 
-    in_opening = ~started(o) & opening_pred(o) if o.has_opening else F.lit(False)
-    as_line = line_pred(o)
-    listed = as_line
+    kind = F.when(line_pred(tables, o), "line")
+    if o.has_opening:
+        kind = kind.when(~started(o) & opening_pred(o), "opening")
     if compact:
-        listed = as_line | (started(o) & (F.col("date") <= F.lit(o.date_to))
-                            & F.coalesce("compacted", F.lit(False)))
-    ages = age_buckets(F.col("date_maturity"), F.col("balance"), F.lit(o.date_to))
+        kind = kind.when(started(o) & (F.col("date") <= F.lit(o.date_to))
+                         & F.coalesce("compacted", F.lit(False)), "compact")
     group = opening_group(o) if o.has_opening else [o.object_column]
-    sums = items.where(in_opening | listed).groupBy(*group).agg(
-        *[sum0(F.when(in_opening, F.col(c))).alias(f"opening_{c}") for c in S.FLOWS],
-        *[sum0(F.when(listed, F.col(c))).alias(f"listed_{c}") for c in S.FLOWS],
-        *[sum0(F.when(as_line, amount)).alias(name) for name, amount in ages.items()],
-        F.count_if(listed).alias("listed"),
-        F.max("rounding").alias("rounding"),
-        F.max("company_currency_id").alias("company_currency_id"))
-
-    sums = sums.withColumns({c: F.col(f"opening_{c}") for c in S.FLOWS})
-    keep = significant_opening(o) if o.has_opening else F.lit(False)
+    sums = (items.select(*group, *S.FLOWS, kind.alias("kind"),
+                         age_of(F.col("date_maturity"), F.lit(o.date_to)).alias("age"))
+            .where(F.col("kind").isNotNull())
+            .groupBy(*group, "kind", "age")
+            .agg(*[F.sum(c).alias(c) for c in S.FLOWS]))
+
+    def total(column: str, condition: str) -> Column:
+        return F.expr(f"coalesce(sum({column}) FILTER (WHERE {condition}), 0)")
+
+    sums = sums.groupBy(*group).agg(
+        *[total(c, "kind = 'opening'").alias(c) for c in S.FLOWS],
+        *[total(c, "kind <> 'opening'").alias(f"listed_{c}") for c in S.FLOWS],
+        *[total("balance", f"kind = 'line' AND age = '{c}'").alias(c) for c in S.AGE_COLUMNS],
+        F.expr("bool_or(kind <> 'opening')").alias("listed"))
+    if not o.has_opening:
+        return sums.select(
+            F.col(o.object_column).alias("report_object_id"),
+            *[F.col(f"listed_{c}").alias(c) for c in S.FLOWS], *S.AGE_COLUMNS)
+    keep = significant_opening(tables, o)
     debit, credit = net_opening(
         F.col("debit"), F.col("credit"), F.col("balance"), o.init_balance_history)
     opened = {"debit": debit, "credit": credit, "balance": F.col("balance")}
-    return sums.where(keep | (F.col("listed") > 0)).select(
+    return sums.where(keep | F.col("listed")).select(
         F.col(o.object_column).alias("report_object_id"),
         *[(F.when(keep, opened[c]).otherwise(0) + F.col(f"listed_{c}")).alias(c)
           for c in S.FLOWS],
-        *S.AGE_COLUMNS, "rounding", "company_currency_id")
+        *S.AGE_COLUMNS)
 
 
 def total_rows(parts: DataFrame, o: ReportOptions) -> DataFrame:
@@ -68,9 +80,7 @@ def total_rows(parts: DataFrame, o: ReportOptions) -> DataFrame:
     seeded = parts.unionByName(nothing, allowMissingColumns=True)
     whole = F.grouping("report_object_id") == 1
     totals = (seeded.rollup("report_object_id").agg(
-        whole.alias("is_grand"), *[sum0(c).alias(c) for c in S.AMOUNTS],
-        F.max("rounding").alias("rounding"),
-        F.max("company_currency_id").alias("company_currency_id"))
+        whole.alias("is_grand"), *[sum0(c).alias(c) for c in S.AMOUNTS])
         .where(F.col("is_grand") | F.col("report_object_id").isNotNull()))
     return _tag(totals, F.col("is_grand"), o)
 
@@ -92,10 +102,9 @@ def report_totals(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     """Rounded totals of a report, straight from the items."""
     parts = object_parts(tables, o)
     if o.report_type == "account":
-        result = unaffected_earnings(tables, o).select(
-            "report_object_id", *S.FLOWS, "rounding", "company_currency_id")
+        result = unaffected_earnings(tables, o).select("report_object_id", *S.FLOWS)
         parts = parts.unionByName(result, allowMissingColumns=True)
-    return round_totals(total_rows(parts, o))
+    return round_totals(total_rows(parts, o).withColumns(currency_columns(tables, o)))
 
 
 def object_totals(lines: DataFrame, o: ReportOptions) -> DataFrame:

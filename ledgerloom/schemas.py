@@ -7,7 +7,6 @@ so an extract can be read without renaming. Amounts are decimals throughout.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
@@ -45,9 +44,9 @@ TABLES: dict[str, T.StructType] = {
         fiscalyear_last_month=_INT),
 }
 
-# Entry columns the accounting system also stores on each item. When an extract
-# has them, no join to the entries is needed.
-ENTRY_COLUMNS = _schema(parent_state=_STR, move_name=_STR)
+# What reports look up for each item elsewhere: its entry's state and name, and the last date
+# in its match. Items stored with these columns need no join for them.
+PREPARED_COLUMNS = _schema(parent_state=_STR, move_name=_STR, last_match_date=_DATE)
 
 REPORT_CONFIG = _schema(
     report_id=_LONG, company_id=_LONG, name=_STR, ledger_type=_STR, summary=_BOOL,
@@ -99,9 +98,10 @@ def line_schema(scale: int = 2) -> T.StructType:
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select exactly the schema's columns, cast; columns not there become null."""
-    return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema])
+    given = set(df.columns)
+    return df.selectExpr(*[
+        f"CAST({f'`{f.name}`' if f.name in given else 'NULL'} AS {f.dataType.simpleString()}) "
+        f"AS `{f.name}`" for f in schema])
 
 
 def money_scale(items: DataFrame) -> int:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +15,16 @@ from pyspark.sql import types as T
 from ledgerloom import schemas as S
 
 
+STATISTICS = "item_statistics"
+COUNTED_COLUMNS = ("account_id", "partner_id", "journal_id", "analytic_account_id")
+
+
 @dataclass(frozen=True)
 class LedgerTables:
     """Input tables by name. `items` is the fact; all others describe it."""
 
     frames: dict[str, DataFrame] = field(repr=False)
+    _known: dict[str, Any] = field(default_factory=dict, repr=False, compare=False)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
@@ -32,8 +40,27 @@ class LedgerTables:
     def spark(self) -> SparkSession:
         return self.items.sparkSession
 
+    def currency(self, company_id: int) -> tuple[int | None, Decimal | None]:
+        """Id and rounding of a company's currency: one row, looked up once."""
+        key = f"currency {company_id}"
+        if key not in self._known:
+            row = (self["res_company"].where(F.col("id") == company_id).alias("c")
+                   .join(self["res_currency"].alias("r"), F.col("c.currency_id") == F.col("r.id"))
+                   .select("r.id", "r.rounding").first())
+            self._known[key] = (row.id, row.rounding) if row else (None, None)
+        return self._known[key]
+
+    def most_per_day(self, column: str) -> int | None:
+        """The most items any value of a column has on one day, if the store knows it."""
+        if STATISTICS not in self.frames:
+            return None
+        if STATISTICS not in self._known:
+            self._known[STATISTICS] = {
+                r.column: r.most_per_day for r in self[STATISTICS].collect()}
+        return self._known[STATISTICS].get(column)
+
     def with_frames(self, **frames: DataFrame) -> "LedgerTables":
-        return replace(self, frames={**self.frames, **frames})
+        return replace(self, frames={**self.frames, **frames}, _known={})
 
 
 def check_table(name: str, df: DataFrame) -> DataFrame:
@@ -62,7 +89,7 @@ def check_table(name: str, df: DataFrame) -> DataFrame:
         else:
             columns.append(F.col(column).cast(kind).alias(column))
     if name == "account_move_line":
-        extra = [f.name for f in S.ENTRY_COLUMNS] + ["date_year"]
+        extra = [f.name for f in S.PREPARED_COLUMNS] + ["date_year"]
         columns += [F.col(c) for c in extra if c in actual]
     return df.select(*columns)
 
@@ -78,6 +105,27 @@ def read_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> LedgerT
     return load_tables(lambda name: spark.read.format(fmt).load(f"{path}/{name}"))
 
 
+def read_store(spark: SparkSession, path: str) -> LedgerTables:
+    """Read tables stored by `write_tables`. Schemas are known: no file is opened for them."""
+    items = T.StructType(
+        [*S.TABLES["account_move_line"], *S.PREPARED_COLUMNS, T.StructField("date_year", T.IntegerType())])
+    schemas = {**S.TABLES, "account_move_line": items, STATISTICS: _STATISTICS_SCHEMA}
+    return LedgerTables({name: spark.read.schema(schema).parquet(f"{path}/{name}")
+                         for name, schema in schemas.items()})
+
+
+_STATISTICS_SCHEMA = T.StructType([
+    T.StructField("column", T.StringType()), T.StructField("most_per_day", T.LongType())])
+
+
+def item_statistics(items: DataFrame) -> DataFrame:
+    """For each grouping column the most items one of its values has on one day."""
+    return reduce(DataFrame.unionByName, [
+        items.groupBy(column, "date").count()
+        .agg(F.lit(column).alias("column"), F.max("count").alias("most_per_day"))
+        for column in COUNTED_COLUMNS])
+
+
 def fold_account_types(accounts: DataFrame, types: DataFrame,
                        unaffected_type_id: int) -> DataFrame:
     """Bring the separate account-type table of a raw extract into the accounts."""
@@ -89,8 +137,7 @@ def fold_account_types(accounts: DataFrame, types: DataFrame,
 
 
 def with_entry_columns(tables: LedgerTables) -> LedgerTables:
-    """Store the entry's state and name on each item, so that reports need no join between
-    the two largest tables. Done once, when the tables are stored."""
+    """Items with their entry's state and name."""
     wanted = {"parent_state": "state", "move_name": "name"}
     missing = {new: old for new, old in wanted.items() if new not in tables.items.columns}
     if not missing:
@@ -100,18 +147,41 @@ def with_entry_columns(tables: LedgerTables) -> LedgerTables:
     return tables.with_frames(account_move_line=tables.items.join(entries, "move_id", "left"))
 
 
+def with_match_date(tables: LedgerTables) -> LedgerTables:
+    """Items with `last_match_date`, the date of the last item in their match. Every rule about
+    matches compares this date with a report's dates, so it serves all reports.
+
+    Unmatched items, the majority, go around the join: in it, their null key would put them all
+    into one task.
+    """
+    items = tables.items
+    if "last_match_date" in items.columns:
+        return tables
+    keys = ["company_id", "full_reconcile_id"]
+    matched = F.col("full_reconcile_id").isNotNull()
+    dates = items.where(matched).groupBy(*keys).agg(F.max("date").alias("last_match_date"))
+    return tables.with_frames(account_move_line=(
+        items.where(matched).join(dates, keys, "left").unionByName(
+            items.where(~matched).withColumn("last_match_date", F.lit(None).cast("date")))))
+
+
 def write_tables(tables: LedgerTables, path: str) -> None:
-    """Store the tables as Parquet, the items by company and year of date.
+    """Store the tables as Parquet, the items by company and year of date; for `read_store`.
 
-    Items are range-partitioned with their unique id as the last key: a company, year or
-    account of any size is cut into even files, and each file covers few accounts, so its
-    statistics let account and date filters skip it.
+    Items get what reports would look up for each of them from entries and matches (two joins
+    between large tables, made here once instead of in every report); a store has to be written
+    anew when entries are posted or items matched. They are range-partitioned with their unique
+    id as the last key: a company, year or account of any size is cut into even files, and each
+    file covers few accounts, so its statistics let account and date filters skip it.
     """
     spread = ("company_id", "date_year", "account_id", "date", "id")
-    (with_entry_columns(tables).items.withColumn("date_year", F.year("date"))
+    prepared = with_match_date(with_entry_columns(tables)).items
+    (prepared.withColumn("date_year", F.year("date"))
      .repartitionByRange(*spread).sortWithinPartitions(*spread)
      .write.mode("overwrite").partitionBy("company_id", "date_year")
      .parquet(f"{path}/account_move_line"))
     for name in S.TABLES:
         if name != "account_move_line":
             tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    stored = tables.spark.read.parquet(f"{path}/account_move_line")
+    item_statistics(stored).write.mode("overwrite").parquet(f"{path}/{STATISTICS}")

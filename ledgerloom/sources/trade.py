@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.schemas import MONEY, TABLES, conform
-from ledgerloom.sources.tables import LedgerTables, check_table, read_tables, write_tables
+from ledgerloom.sources.tables import LedgerTables, check_table, read_store, write_tables
 
 SALES, PURCHASES, BANK = 1, 2, 3
 BANK_ACCOUNT, UNAFFECTED_ACCOUNT = 5120, 1200
@@ -219,7 +219,7 @@ def derive_tables(spark: SparkSession, path: str) -> LedgerTables:
     return LedgerTables({name: check_table(name, df) for name, df in frames.items()})
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str], LedgerTables] = {}
 
 
 def stored_tables(spark: SparkSession, path: str) -> LedgerTables:
@@ -238,6 +238,10 @@ def stored_tables(spark: SparkSession, path: str) -> LedgerTables:
         if not root:
             return derive_tables(spark, path)
         target = f"{root.rstrip('/')}/ledger-{uuid.uuid4().hex}"
-        write_tables(derive_tables(spark, path), target)
-        _stored[key] = target
-    return read_tables(spark, _stored[key])
+        derived = derive_tables(spark, path)
+        # Written plainly first: preparing and range-partitioning read the items several times.
+        derived.items.write.parquet(f"{target}/derived_items")
+        items = spark.read.schema(derived.items.schema).parquet(f"{target}/derived_items")
+        write_tables(derived.with_frames(account_move_line=items), target)
+        _stored[key] = read_store(spark, target)
+    return _stored[key]

@@ -238,10 +238,10 @@ def statement(final: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([TABLES.strip(), *[c for c in ctes if c]]) + "\n" + final
 
 
-def lines_sql(o: ReportOptions) -> str:
-    o = o.normalise()
+def lines_sql(o: ReportOptions, without: str = "") -> str:
+    """All lines of a (normalised) report."""
     columns, source = (TOTAL, "all_totals") if o.summary else (LINE, "lines")
-    return statement(shown(columns, source), report(o))
+    return statement(shown([c for c in columns if c != without], source), report(o))
 
 
 NAMES = {

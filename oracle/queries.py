@@ -10,6 +10,8 @@ from oracle.ledger_sql import (
 
 OBJECTS = {"account": "general_ledger_detail", "partner": "partner_ledger_detail",
            "journal": "journal_ledger_detail", "analytic": "analytic_ledger_by_account"}
+JOINED = ("general_ledger_trial_balance", "general_ledger_detail", "partner_ledger_open_items",
+          "partner_ledger_open_trial_balance", "journal_ledger_detail", "aged_balance_summary")
 SIDE_BY_SIDE = ("general_ledger_selected", "partner_ledger_selected", "journal_ledger_trial_balance")
 
 _KEYS = ["report_object_id", "object_name", "line_type", "move_line_id"]
@@ -324,7 +326,7 @@ FROM item JOIN account c ON c.id = account_id JOIN (
             "SELECT k AS report_object_id, CAST(sum(balance) AS DOUBLE) AS balance FROM opening GROUP BY k",
             report(general)),
         **{name: lines_sql(o.normalise(TODAY)) for name, o in CASES.items()},
-        "general_ledger_joined_entries": lines_sql(CASES["general_ledger_trial_balance"]),
+        **{f"{name}_joined": lines_sql(_case(name), without="move_name") for name in JOINED},
         "object_totals": statement(
             shown(["report_object_id", *amounts, "cumul_balance"], "totals"), report(general)),
         "grand_total": statement(shown([*amounts, "cumul_balance"], "grand"), report(partner)),
