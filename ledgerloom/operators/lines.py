@@ -13,7 +13,7 @@ from ledgerloom.operators.matching import (
     match_dates, open_at_start, reconciled_flag, with_match_dates)
 from ledgerloom.operators.running import id_steps, running_balance
 from ledgerloom.operators.scan import (
-    currency_columns, dated, in_states, move_lines, select_accounts)
+    account_settings, currency_columns, dated, in_states, move_lines, select_accounts)
 from ledgerloom.options import ReportOptions
 from ledgerloom.sources.tables import LedgerTables
 
@@ -49,13 +49,19 @@ def line_pred(tables: LedgerTables, o: ReportOptions) -> Column:
     return pred
 
 
-def scope(tables: LedgerTables, o: ReportOptions, until: dt.date) -> DataFrame:
+def scope(tables: LedgerTables, o: ReportOptions, until: dt.date,
+          whole: bool = False) -> DataFrame:
     """Items of the report up to a date, with their account's settings: the input of lines
-    and totals alike. Dates, journals and states are filtered in the scan."""
+    and totals alike. Dates, journals and states are filtered in the scan. `whole` takes the
+    company's other accounts as well."""
     since = o.date_from if o.report_type == "journal" else None
     items = dated(move_lines(tables, o), since=since, until=until)
     items = items.where(F.col(o.object_column).isNotNull())
-    return in_states(items, tables, o.states).join(select_accounts(tables, o), "account_id")
+    accounts = select_accounts(tables, o)
+    if whole:
+        accounts = account_settings(tables).where(F.col("company_id") == o.company_id).drop(
+            "company_id", "group_id")
+    return in_states(items, tables, o.states).join(accounts, "account_id")
 
 
 def with_needed_dates(items: DataFrame, tables: LedgerTables, o: ReportOptions, *,

@@ -66,6 +66,22 @@ def unaffected_account(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     return select_accounts(tables, o).join(first, "account_id", "left_semi")
 
 
+def whole_company(o: ReportOptions) -> bool:
+    """Whether an account report covers all accounts and journals. Then the result of prior
+    years is summed in the same pass as everything else."""
+    return (o.report_type == "account"
+            and not (o.account_select_ids or o.account_group_ids or o.journal_ids))
+
+
+def unaffected_id(tables: LedgerTables, o: ReportOptions) -> int | None:
+    """Id of the account for the result of prior years, if the report covers it: one row,
+    looked up once."""
+    def find() -> int | None:
+        row = unaffected_account(tables, o).select("account_id").first()
+        return row.account_id if row else None
+    return tables.known(f"unaffected {o.company_id}", find)
+
+
 def section_heading(objects: DataFrame, tables: LedgerTables, o: ReportOptions) -> DataFrame:
     """Objects with `heading`, the display name sections are titled with."""
     table = tables[OBJECT_TABLES[o.report_type]]

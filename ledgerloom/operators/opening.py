@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas as S
 from ledgerloom.functions.columns import exceeds, net_opening, sum0
 from ledgerloom.operators.matching import match_dates, open_at_start, with_match_dates
-from ledgerloom.operators.objects import unaffected_account
+from ledgerloom.operators.objects import unaffected_account, unaffected_id, whole_company
 from ledgerloom.operators.scan import (
     account_settings, company_items, currency_columns, dated, in_states, move_lines, select_accounts)
 from ledgerloom.options import ReportOptions
@@ -97,10 +97,42 @@ def openings(tables: LedgerTables, o: ReportOptions) -> DataFrame | None:
     """All opening lines the ledger has, or None if it has none."""
     if not o.has_opening:
         return None
-    rows = opening(tables, o)
-    if o.report_type == "account":
-        rows = rows.unionByName(unaffected_earnings(tables, o), allowMissingColumns=True)
-    return rows
+    if o.report_type == "partner":
+        return opening(tables, o)
+    if whole_company(o):
+        return _company_openings(tables, o)
+    return opening(tables, o).unionByName(unaffected_earnings(tables, o),
+                                          allowMissingColumns=True)
+
+
+def _company_openings(tables: LedgerTables, o: ReportOptions) -> DataFrame:
+    """`opening` and `unaffected_earnings` in one pass over the items before the start. An
+    account is either balance sheet or result, so no item counts in both."""
+    unaffected = unaffected_id(tables, o)
+    accounts = account_settings(tables).where(F.col("company_id") == o.company_id)
+    items = dated(move_lines(tables, o), until=o.day_before)
+    items = in_states(items, tables, o.states).join(
+        accounts.drop("company_id", "group_id", "is_unaffected_earnings"), "account_id")
+    third_party = ~F.coalesce(F.col("type_third_parties") == "no", F.lit(False))
+    items = with_match_dates(items, third_party & balance_sheet(),
+                             match_dates(tables, o, since=o.date_from))
+    kind = F.when(~F.coalesce("deprecated", F.lit(False)) & opening_pred(o), "opening")
+    if unaffected is not None:
+        kind = F.when(~balance_sheet(), "prior").otherwise(kind)
+    account = F.when(F.col("kind") == "prior", F.lit(unaffected)).otherwise(F.col("account_id"))
+    rows = (items.withColumn("kind", kind).where(F.col("kind").isNotNull())
+            .select(account.cast("bigint").alias("account_id"), "kind", *S.FLOWS))
+    rows = rows.unionByName(prior_seed(tables, unaffected), allowMissingColumns=True)
+    sums = (rows.groupBy("account_id", "kind").agg(*[sum0(c).alias(c) for c in S.FLOWS])
+            .where((F.col("kind") == "prior") | significant_opening(tables, o)).drop("kind")
+            .withColumns({"report_object_id": F.col("account_id"), **currency_columns(tables, o)}))
+    return opening_row(sums, o)
+
+
+def prior_seed(tables: LedgerTables, unaffected: int | None) -> DataFrame:
+    """An empty result of prior years, so that it is there even if nothing was posted."""
+    return tables.spark.range(0 if unaffected is None else 1).select(
+        F.lit(unaffected).cast("bigint").alias("account_id"), F.lit("prior").alias("kind"))
 
 
 def opening_per_object(rows: DataFrame) -> DataFrame:

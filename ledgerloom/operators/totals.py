@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas as S
 from ledgerloom.functions.columns import age_of, net_opening, round_to, sum0
 from ledgerloom.operators.lines import line_pred, scope, started, with_needed_dates
+from ledgerloom.operators.objects import unaffected_id, whole_company
 from ledgerloom.operators.opening import (
-    opening_group, opening_pred, significant_opening, unaffected_earnings)
+    balance_sheet, opening_group, opening_pred, prior_seed, significant_opening,
+    unaffected_earnings)
 from ledgerloom.operators.scan import currency_columns
 from ledgerloom.options import OBJECT_COLUMNS, ReportOptions
 from ledgerloom.sources.tables import LedgerTables
@@ -23,7 +25,8 @@ def object_parts(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     Every item is opening, line, compacted or nothing, and a line has an age. Sums per object
     (and account, where openings are kept apart by account), kind and age take all items up at
     once, before any row is shuffled; what follows works on these few sums. Small openings are
-    dropped as they are from the report.
+    dropped as they are from the report. Where the report covers the whole company, the result
+    of prior years comes from the same pass.
     """
     compact = o.compact_account and o.ledger_type == "general"
     until = o.date_to
@@ -31,28 +34,42 @@ def object_parts(tables: LedgerTables, o: ReportOptions) -> DataFrame:
         until = o.day_before
     elif o.has_opening:
         until = max(o.date_to, o.day_before)
-    items = with_needed_dates(
-        scope(tables, o, until), tables, o, flags=False, openings=o.has_opening)
+    group = opening_group(o) if o.has_opening else [o.object_column]
+    prior_to = unaffected_id(tables, o) if whole_company(o) else None
+    items = with_needed_dates(scope(tables, o, until, whole=prior_to is not None), tables, o,
+                              flags=False, openings=o.has_opening)
+    covered = ~F.coalesce("deprecated", F.lit(False)) if prior_to is not None else F.lit(True)
 
-    kind = F.when(line_pred(tables, o), "line")
+    kind = F.when(covered & line_pred(tables, o), "line")
     if o.has_opening:
-        kind = kind.when(~started(o) & opening_pred(o), "opening")
+        kind = kind.when(covered & ~started(o) & opening_pred(o), "opening")
     if compact:
-        kind = kind.when(started(o) & (F.col("date") <= F.lit(o.date_to))
+        kind = kind.when(covered & started(o) & (F.col("date") <= F.lit(o.date_to))
                          & F.coalesce("compacted", F.lit(False)), "compact")
-    group = opening_group(o) if o.has_opening else [o.object_column]
-    sums = (items.select(*group, *S.FLOWS, kind.alias("kind"),
+    prior = F.lit(False) if prior_to is None else ~started(o) & ~balance_sheet()
+    sums = (items.select(*group, *S.FLOWS, kind.alias("kind"), prior.alias("prior"),
                          age_of(F.col("date_maturity"), F.lit(o.date_to)).alias("age"))
-            .where(F.col("kind").isNotNull())
-            .groupBy(*group, "kind", "age")
+            .where(F.col("kind").isNotNull() | F.col("prior"))
+            .groupBy(*group, "kind", "age", "prior")
             .agg(*[F.sum(c).alias(c) for c in S.FLOWS]))
+    if prior_to is not None:
+        # A result account that is a third party's counts in both ways.
+        result = f"named_struct('account_id', {prior_to}L, 'kind', 'prior', 'age', NULL)"
+        sums = (sums.select(*S.FLOWS, F.explode(F.array_compact(F.array(
+                    F.expr("IF(kind IS NULL, NULL, named_struct("
+                           "'account_id', account_id, 'kind', kind, 'age', age))"),
+                    F.expr(f"IF(prior, {result}, NULL)")))).alias("part"))
+                .select("part.*", *S.FLOWS)
+                .unionByName(prior_seed(tables, prior_to), allowMissingColumns=True))
 
     def total(column: str, condition: str) -> Column:
         return F.expr(f"coalesce(sum({column}) FILTER (WHERE {condition}), 0)")
 
+    listed = "kind IN ('line', 'compact')"
     sums = sums.groupBy(*group).agg(
         *[total(c, "kind = 'opening'").alias(c) for c in S.FLOWS],
-        *[total(c, "kind <> 'opening'").alias(f"listed_{c}") for c in S.FLOWS],
+        *[total(c, "kind = 'prior'").alias(f"prior_{c}") for c in S.FLOWS],
+        *[total(c, listed).alias(f"listed_{c}") for c in S.FLOWS],
         *[total("balance", f"kind = 'line' AND age = '{c}'").alias(c) for c in S.AGE_COLUMNS],
         F.expr("bool_or(kind <> 'opening')").alias("listed"))
     if not o.has_opening:
@@ -60,12 +77,15 @@ def object_parts(tables: LedgerTables, o: ReportOptions) -> DataFrame:
             F.col(o.object_column).alias("report_object_id"),
             *[F.col(f"listed_{c}").alias(c) for c in S.FLOWS], *S.AGE_COLUMNS)
     keep = significant_opening(tables, o)
-    debit, credit = net_opening(
-        F.col("debit"), F.col("credit"), F.col("balance"), o.init_balance_history)
-    opened = {"debit": debit, "credit": credit, "balance": F.col("balance")}
+
+    def opened(prefix: str) -> dict[str, Column]:
+        flows = [F.col(f"{prefix}{c}") for c in S.FLOWS]
+        return dict(zip(S.FLOWS, [*net_opening(*flows, o.init_balance_history), flows[-1]]))
+
+    own, result = opened(""), opened("prior_")
     return sums.where(keep | F.col("listed")).select(
         F.col(o.object_column).alias("report_object_id"),
-        *[(F.when(keep, opened[c]).otherwise(0) + F.col(f"listed_{c}")).alias(c)
+        *[(F.when(keep, own[c]).otherwise(0) + result[c] + F.col(f"listed_{c}")).alias(c)
           for c in S.FLOWS],
         *S.AGE_COLUMNS)
 
@@ -101,7 +121,7 @@ def round_totals(totals: DataFrame) -> DataFrame:
 def report_totals(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     """Rounded totals of a report, straight from the items."""
     parts = object_parts(tables, o)
-    if o.report_type == "account":
+    if o.report_type == "account" and not whole_company(o):
         result = unaffected_earnings(tables, o).select("report_object_id", *S.FLOWS)
         parts = parts.unionByName(result, allowMissingColumns=True)
     return round_totals(total_rows(parts, o).withColumns(currency_columns(tables, o)))

@@ -42,22 +42,25 @@ class LedgerTables:
 
     def currency(self, company_id: int) -> tuple[int | None, Decimal | None]:
         """Id and rounding of a company's currency: one row, looked up once."""
-        key = f"currency {company_id}"
-        if key not in self._known:
+        def find() -> tuple[int | None, Decimal | None]:
             row = (self["res_company"].where(F.col("id") == company_id).alias("c")
                    .join(self["res_currency"].alias("r"), F.col("c.currency_id") == F.col("r.id"))
                    .select("r.id", "r.rounding").first())
-            self._known[key] = (row.id, row.rounding) if row else (None, None)
-        return self._known[key]
+            return (row.id, row.rounding) if row else (None, None)
+        return self.known(f"currency {company_id}", find)
 
     def most_per_day(self, column: str) -> int | None:
         """The most items any value of a column has on one day, if the store knows it."""
         if STATISTICS not in self.frames:
             return None
-        if STATISTICS not in self._known:
-            self._known[STATISTICS] = {
-                r.column: r.most_per_day for r in self[STATISTICS].collect()}
-        return self._known[STATISTICS].get(column)
+        return self.known(STATISTICS, lambda: {
+            r.column: r.most_per_day for r in self[STATISTICS].collect()}).get(column)
+
+    def known(self, key: str, find: Callable[[], Any]) -> Any:
+        """A small fact about the tables, found once."""
+        if key not in self._known:
+            self._known[key] = find()
+        return self._known[key]
 
     def with_frames(self, **frames: DataFrame) -> "LedgerTables":
         return replace(self, frames={**self.frames, **frames}, _known={})
