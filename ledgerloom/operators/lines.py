@@ -92,23 +92,23 @@ def detail_lines(tables: LedgerTables, o: ReportOptions,
     opening balance per object; the balance runs on from it."""
     until = min(o.date_to, o.day_before) if o.ledger_type == "open" else o.date_to
     items = with_needed_dates(scope(tables, o, until), tables, o, flags=True, openings=False)
-    items = items.where(line_pred(tables, o)).withColumns(currency_columns(tables, o))
-    lines = items.select(
-        F.lit(o.report_id).alias("report_id"),
-        F.when(started(o), S.LINE).otherwise(S.INIT_LINE).alias("line_type"),
-        F.when(started(o), "normal").otherwise("init").alias("view_type"),
-        F.col(o.object_column).alias("report_object_id"),
+    kept = items.where(line_pred(tables, o)).select(
         "account_id", "partner_id", "journal_id", "analytic_account_id", "move_id",
         F.col("id").alias("move_line_id"), "date", "date_maturity", *S.FLOWS,
-        *[c.alias(n) for n, c in age_buckets(
-            F.col("date_maturity"), F.col("balance"), F.lit(o.date_to)).items()],
-        "full_reconcile_id", reconciled_flag(o).alias("reconciled"),
-        "amount_currency", "currency_id", "company_currency_id",
-        F.col("name").alias("item_name"), F.col("ref").alias("item_ref"),
+        "full_reconcile_id", reconciled_flag(o).alias("reconciled"), "amount_currency",
+        "currency_id", F.col("name").alias("item_name"), F.col("ref").alias("item_ref"),
         *(["move_name"] if "move_name" in items.columns else []))
     key = o.running_column
-    return running_balance(lines, key, carried if key == o.object_column else None,
-                           id_bits=id_steps(tables, key))
+    lines = running_balance(kept, key, carried if key == o.object_column else None,
+                            id_bits=id_steps(tables, key))
+    # What follows from other columns is added after the shuffle the running balance needs.
+    return lines.withColumns({
+        "report_id": F.lit(o.report_id),
+        "line_type": F.when(started(o), S.LINE).otherwise(S.INIT_LINE),
+        "view_type": F.when(started(o), "normal").otherwise("init"),
+        "report_object_id": F.col(o.object_column),
+        **age_buckets(F.col("date_maturity"), F.col("balance"), F.lit(o.date_to)),
+        **currency_columns(tables, o)})
 
 
 def compact_lines(tables: LedgerTables, o: ReportOptions,

@@ -12,6 +12,7 @@ from ledgerloom import (
     ReportOptions, aged_balance, analytic_ledger, general_ledger, journal_ledger, ledger,
     open_ledger, partner_ledger, read_store, run_trial_balances, trial_balance, write_tables)
 from ledgerloom.operators.lines import detail_lines
+from ledgerloom.operators.objects import report_objects
 from ledgerloom.operators.opening import opening, openings, unaffected_earnings
 from ledgerloom.operators.running import ID_BITS, running_balance
 from ledgerloom.operators.scan import account_group_subtree, eligible_partners, select_accounts
@@ -125,9 +126,8 @@ def test_unaffected_earnings_only_if_covered(tables):
 
 
 @pytest.mark.parametrize("changes", [
-    {}, {"init_balance_history": False}, {"compact_account": True}, {"ledger_type": "open"},
-    {"journal_ids": (3,)}, {"account_select_ids": (UNAFFECTED, BANKACC)},
-    {"account_select_ids": (BANKACC, RECEIVABLE)}, {"account_group_ids": (1,)}])
+    {}, {"init_balance_history": False, "compact_account": True},
+    {"account_select_ids": (UNAFFECTED, BANKACC)}])
 def test_openings_are_both_kinds_together(tables, changes):
     o = ReportOptions(**YEAR, **changes).normalise()
     columns = ["account_id", "debit", "credit", "balance", "report_object_id"]
@@ -167,16 +167,11 @@ def test_open_items_do_not_change_with_later_matches(tables, spark):
                               reconciled=False, result_selection="customer")
         return sorted(ids(rows, "1_init_line") + ids(rows, "2_line"))
     assert report(tables) == [1, 6]
-    later = [(1, *row[1:5], 9, *row[6:]) if row[0] == 1 else row
-             for row in __import__("handmade").ITEMS]
-    import handmade
-    kept, handmade.ITEMS = handmade.ITEMS, later
-    try:
-        paid = make(spark, [(91, RECEIVABLE, 3, 1, None, 9, "2025-02-02", None, "-100.00",
-                             "posted", None)])
-        assert report(paid) == [1, 6]
-    finally:
-        handmade.ITEMS = kept
+    paid = make(spark, [(91, RECEIVABLE, 3, 1, None, 9, "2025-02-02", None, "-100.00",
+                         "posted", None)])
+    matched = paid.items.withColumn("full_reconcile_id", F.when(F.col("id") == 1, 9)
+                                    .otherwise(F.col("full_reconcile_id")))
+    assert report(paid.with_frames(account_move_line=matched)) == [1, 6]
 
 
 def test_journal_ledger_has_no_opening(tables):
@@ -215,7 +210,7 @@ ALL = [ReportOptions(**YEAR, ledger_type=k, result_selection="customer_supplier"
                  {"compact_account": True, "reconciled": False, "journal_ids": (1,)})]
 
 
-@pytest.mark.parametrize("options", ALL, ids=lambda o: f"{o.ledger_type}-{o.target_move}-{o.reconciled}")
+@pytest.mark.parametrize("options", ALL[::2], ids=lambda o: f"{o.ledger_type}-{o.target_move}")
 def test_totals_agree_with_lines(tables, options):
     o = options.normalise()
     lines = ledger(tables, o).cache()
@@ -228,7 +223,7 @@ def test_totals_agree_with_lines(tables, options):
     lines.unpersist()
 
 
-@pytest.mark.parametrize("options", ALL[::2], ids=lambda o: f"{o.ledger_type}-{o.target_move}")
+@pytest.mark.parametrize("options", ALL[1::4], ids=lambda o: f"{o.ledger_type}-{o.target_move}")
 def test_stored_tables_give_the_same(tables, stored, options):
     drop = "move_name"  # unprepared items do not carry it
     a = ledger(tables, options).drop(drop)
@@ -246,7 +241,7 @@ def test_all_reports_at_once_equal_single_ones(tables, stored):
     table = spark.createDataFrame(rows, REPORT_CONFIG)
     for t in (tables, stored):
         many = run_trial_balances(t, table, d("2024-12-31")).drop("company_currency_id").cache()
-        for o in reports[::3]:
+        for o in reports[t is stored::6]:
             one = trial_balance(t, o).drop("company_currency_id")
             got = many.where(F.col("report_id") == o.report_id)
             assert got.exceptAll(one).count() == 0 and one.exceptAll(got).count() == 0
@@ -302,8 +297,7 @@ def test_grouped_lines_have_their_own_balance(general):
 def test_sections_and_statement(tables, general):
     o = ReportOptions(**YEAR).normalise()
     labelled = exports.labelled_lines(general, tables, o)
-    objects = __import__("ledgerloom.operators.objects", fromlist=["x"]).report_objects(tables, o)
-    rows = exports.section_rows(labelled, objects, tables, o).where(
+    rows = exports.section_rows(labelled, report_objects(tables, o), tables, o).where(
         f"report_object_id = {BANKACC}").collect()
     assert sorted(r.section_part for r in rows) == ["0_heading"] + ["1_line"] * 4 + ["2_totals"]
     assert [r.heading for r in rows if r.section_part == "0_heading"] == ["512 Bank"]
@@ -327,8 +321,7 @@ def test_stored_reports_replace_only_themselves(spark, general, tmp_path):
 
 
 @pytest.mark.parametrize("bits", [(), (2,), (4, 2), ID_BITS])
-@pytest.mark.parametrize("partitions", [1, 7])
-def test_running_balance_by_brute_force(spark, bits, partitions):
+def test_running_balance_by_brute_force(spark, bits):
     """Hot key, hot day, null key: the same as a plain running sum, however it is cut."""
     import random
     rng = random.Random(3)
@@ -344,7 +337,7 @@ def test_running_balance_by_brute_force(spark, bits, partitions):
         rows, "move_line_id bigint, account_id bigint, date date, balance decimal(18,2)")
     start = spark.createDataFrame(list(carried.items()),
                                   "report_object_id bigint, balance decimal(18,2)")
-    out = running_balance(df.repartition(partitions), "account_id", start, id_bits=bits)
+    out = running_balance(df.repartition(7), "account_id", start, id_bits=bits)
     assert {r.move_line_id: r.cumul_balance for r in out.collect()} == expected
 
 
