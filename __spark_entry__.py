@@ -39,6 +39,16 @@ from oracle.cases import CASES, TODAY
 from oracle.ledger_sql import LINE, TOTAL
 
 
+try:
+    import corpus_pipeline
+    from ledgerloom.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    # without the corpus operators the ledger queries still work; nothing else is swallowed
+    if missing.name not in ("corpus_pipeline", "ledgerloom.llm"):
+        raise
+    corpus = None
+
+
 def flat(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Columns as they are compared: decimals as doubles, dates and flags as text."""
     def column(name: str):
@@ -339,8 +349,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | ({**corpus.QUERIES, "pipeline": corpus_pipeline.run} if corpus else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return oracle.statements() | (corpus.ORACLE if corpus else {})
