@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, quality, sharding
+from ledgerloom.llm import bpe, decontaminate, quality, sharding, tokens
 from ledgerloom.llm.common import read
 
 
@@ -26,7 +27,19 @@ def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("law", F.lit("key")))
 
 
+def op8_directly_addressable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_report(read(spark, sf_dir, "documents"),
+                               public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True,
+                             keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_isolation_forest, op7_rendezvous)}
+    f.__name__: f for f in (op1_decontamination, op2_isolation_forest, op7_rendezvous,
+                            op8_directly_addressable, op10_bpe_transducer)}
 
 ORACLE: dict[str, str] = {}
