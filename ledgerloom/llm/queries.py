@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, quality, sharding, tokens, warc
+from ledgerloom.llm import bpe, decontaminate, quality, sharding, surrogates, tokens, warc
 from ledgerloom.llm.common import read
 
 
@@ -22,6 +22,11 @@ def op2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, read(spark, sf_dir, "labels"), keep_text=False)
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_pii(docs)
+
+
 def op5_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_report(read(spark, sf_dir, "pages"))
 
@@ -43,7 +48,7 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_isolation_forest, op5_sharded_warc,
-                            op7_rendezvous,                            op8_directly_addressable, op10_bpe_transducer)}
+    f.__name__: f for f in (op1_decontamination, op2_isolation_forest, op3_surrogates,
+                            op5_sharded_warc,                            op7_rendezvous,                            op8_directly_addressable, op10_bpe_transducer)}
 
 ORACLE: dict[str, str] = {}
