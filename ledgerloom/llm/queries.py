@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, quality, sharding, surrogates, tokens, warc
+from ledgerloom.llm import (
+    bpe, decontaminate, quality, rlz, sharding, suffix_dedup, surrogates, tokens, warc)
 from ledgerloom.llm.common import read
 
 
@@ -27,10 +28,18 @@ def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_pii(docs)
 
 
+def op4_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.rlz_report(read(spark, sf_dir, "documents"))
+
+
 def op5_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_report(read(spark, sf_dir, "pages"))
 
 
+def op6_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_report(read(spark, sf_dir, "documents"))
+
+
 def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.shard_documents(read(spark, sf_dir, "documents"))
             .withColumn("law", F.lit("key")))
@@ -49,6 +58,6 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_isolation_forest, op3_surrogates,
-                            op5_sharded_warc,                            op7_rendezvous,                            op8_directly_addressable, op10_bpe_transducer)}
+                            op4_relative_lempel_ziv, op5_sharded_warc, op6_suffix_sort,                            op7_rendezvous,                            op8_directly_addressable, op10_bpe_transducer)}
 
 ORACLE: dict[str, str] = {}
