@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    bpe, decontaminate, quality, rlz, sharding, suffix_dedup, surrogates, tokens, warc)
+    bpe, decontaminate, minhash, quality, rlz, sharding, suffix_dedup, surrogates, tokens, warc)
 from ledgerloom.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op8_directly_addressable(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85).drop("g")
+
+
 def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True,
@@ -58,6 +62,6 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_isolation_forest, op3_surrogates,
-                            op4_relative_lempel_ziv, op5_sharded_warc, op6_suffix_sort,                            op7_rendezvous,                            op8_directly_addressable, op10_bpe_transducer)}
+                            op4_relative_lempel_ziv, op5_sharded_warc, op6_suffix_sort,                            op7_rendezvous,                            op8_directly_addressable, op9_chosen_path, op10_bpe_transducer)}
 
 ORACLE: dict[str, str] = {}
