@@ -110,13 +110,14 @@ def lowest_estimate(threshold: float) -> float:
 
 
 _SKETCHED = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
-    T.StructField("g", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.IntegerType())),
+    T.StructField("doc_id", T.LongType()), T.StructField("h", T.StringType()),
+    T.StructField("n_shingles", T.LongType()), T.StructField("g", T.BinaryType()),
+    T.StructField("tokens", T.ArrayType(T.IntegerType())),
     T.StructField("sketch", T.BinaryType())])
 
 
 def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, g (the digest of the set, null if empty), tokens, sketch of each row."""
+    """doc_id, h, n_shingles, g (the digest of the set, null if empty), tokens, sketch of each row."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             counts, digests, tokens, sketches = [], [], [], []
@@ -132,9 +133,9 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
                 tokens.append((least[:TOKENS] >> np.uint64(28)).astype(np.uint32).view(np.int32))
                 sketches.append(sketch_of(least))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "g", "tokens", "sketch"])
+                [batch.column("doc_id"), batch.column("h"), pa.array(counts, pa.int64()),
+                 pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
+                _SKETCHED.names)
     return docs.mapInArrow(rows, _SKETCHED)
 
 
@@ -288,14 +289,14 @@ def candidate_pairs(elements: DataFrame, branches: DataFrame, least: float) -> D
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                     shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, g, component_id and kept of every row.
+    """doc_id, n_shingles, g, h, component_id and kept of every row.
 
     component_id is the least id reachable over links of at least percent similarity; kept says that
-    it is the row's own. g names the row's set (null if empty).
+    it is the row's own. g names the row's set (null if empty), h is the md5 of its text.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("doc_id"),
-                       F.col(f"`{text}`").alias("text"))
+                       F.col(f"`{text}`").alias("text"), F.md5(F.col(f"`{text}`")).alias("h"))
     least = lowest_estimate(percent / 100)
     sketched = save(sketch_documents(docs, shingle))
     elements = save(sketched.where("g IS NOT NULL").groupBy("g").agg(
@@ -333,9 +334,32 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     found = found.withColumn("root", F.coalesce("root", "g"))
     first = found.groupBy("root").agg(F.min("doc").alias("first"))
     component = found.join(first, "root").select("g", "first")
-    out = sketched.select("doc_id", "n_shingles", "g").join(component, "g", "left")
+    out = sketched.select("doc_id", "n_shingles", "g", "h").join(component, "g", "left")
     own = F.coalesce("doc_id", F.lit(-(1 << 63)))
     first = F.when(F.col("g").isNull(), own).otherwise(F.col("first"))
-    return out.select("doc_id", "n_shingles", "g",
+    return out.select("doc_id", "n_shingles", "g", "h",
                       F.nullif(first, F.lit(-(1 << 63))).alias("component_id"),
                       (own == first).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5,
+             percent: int = 80) -> DataFrame:
+    """docs with one row of each component: of its least id, and of rows alike in id and set one.
+
+    Rows without words have no component and all stay.
+    """
+    judged = near_duplicates(docs, id_column, text, shingle, percent).where("kept")
+    key, digest, times = (free_name(docs, c) for c in ("kept_id", "kept_h", "kept_times"))
+    won = judged.where("g IS NOT NULL").groupBy("doc_id", "g").agg(
+        F.min(F.struct("h", F.lit(1).alias("one")))["h"].alias("h"), F.count(F.lit(1)).alias("n"))
+    won = won.groupBy("doc_id", "h").agg(F.max("n").alias("n"))
+    # rows without words are told apart from those by their digest, and stay however often they occur
+    bare = judged.where("g IS NULL").select("doc_id", "h", F.lit(1).alias("n")).distinct()
+    keep = save(won.unionByName(bare).select(
+        F.col("doc_id").alias(key), F.coalesce("h", F.lit("")).alias(digest), F.col("n").alias(times)))
+    rows = docs.withColumn(digest + "2", F.coalesce(F.md5(F.col(f"`{text}`")), F.lit("")))
+    found = rows.join(keep, F.col(f"`{id_column}`").cast("bigint").eqNullSafe(F.col(key))
+                      & (F.col(digest + "2") == F.col(digest)))
+    repeated = found.where(F.col(times) > 1).dropDuplicates([key, digest])
+    return found.where(F.col(times) == 1).unionByName(repeated).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

@@ -51,7 +51,8 @@ def op8_directly_addressable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85).drop("g")
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3,
+                                   percent=85).drop("g", "h")
 
 
 def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
