@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import schemas as S
-from ledgerloom.functions.calendar import fiscal_periods, month_range
+from ledgerloom.functions.calendar import fill_dates, fiscal_periods, month_range
 from ledgerloom.operators.matching import match_flags
 from ledgerloom.operators.objects import report_objects
 from ledgerloom.operators.opening import (
@@ -29,11 +29,12 @@ from ledgerloom.operators.totals import (
 from ledgerloom.options import ReportOptions, normalise_reports, overlay_reports, report_dim
 from ledgerloom.outbound import messages as sms
 from ledgerloom.plans.ledgers import ledger
-from ledgerloom.plans.multi import run_reports, run_trial_balances
+from ledgerloom.plans.multi import load_reports, run_reports, run_trial_balances
 from ledgerloom.sinks import exports
 from ledgerloom.sinks.search import search_lines
 from ledgerloom.sources import samples
-from ledgerloom.sources.trade import stored_tables
+from ledgerloom.sources.tables import prepare, shared_folder
+from ledgerloom.sources.trade import stored_tables, three_decimal_tables
 from oracle import queries as oracle
 from oracle.cases import CASES, TODAY
 from oracle.ledger_sql import LINE, TOTAL
@@ -65,9 +66,9 @@ def _case(name: str) -> ReportOptions:
     return CASES[name].normalise(TODAY)
 
 
-def _ledger(name: str, spark: SparkSession, path: str) -> DataFrame:
+def _ledger(name: str, spark: SparkSession, path: str, stored=stored_tables) -> DataFrame:
     o = CASES[name]
-    return flat(ledger(stored_tables(spark, path), o, TODAY), TOTAL if o.summary else LINE)
+    return flat(ledger(stored(spark, path), o, TODAY), TOTAL if o.summary else LINE)
 
 
 def _objects(name: str, spark: SparkSession, path: str) -> DataFrame:
@@ -114,13 +115,11 @@ def _enriched(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _joined(name: str, spark: SparkSession, path: str) -> DataFrame:
-    """A ledger over items as extracted: entries and matches are joined in the report."""
+    """A ledger over items as extracted, prepared in the same plan."""
     tables, o = stored_tables(spark, path), CASES[name]
     bare = tables.with_frames(
         account_move_line=tables.items.drop("parent_state", "move_name", "last_match_date"))
-    lines = ledger(bare, o, TODAY)
-    columns = [c for c in LINE if c != "move_name"]
-    return flat(lines, TOTAL if o.summary else columns)
+    return flat(ledger(prepare(bare), o, TODAY), TOTAL if o.summary else LINE)
 
 
 def _eligible(spark: SparkSession, path: str) -> DataFrame:
@@ -196,8 +195,9 @@ def _search(spark: SparkSession, path: str, **conditions) -> DataFrame:
                 ["line_type", "account_id", "move_id", "move_line_id", "date", "balance"])
 
 
-def _labelled(name: str, spark: SparkSession, path: str) -> tuple[DataFrame, ReportOptions]:
-    tables, o = stored_tables(spark, path), _case(name)
+def _labelled(name: str, spark: SparkSession, path: str,
+              stored=stored_tables) -> tuple[DataFrame, ReportOptions]:
+    tables, o = stored(spark, path), _case(name)
     return exports.labelled_lines(ledger(tables, o), tables, o), o
 
 
@@ -207,17 +207,17 @@ def _matching_labels(spark: SparkSession, path: str) -> DataFrame:
                 ["line_type", "move_line_id", "code", "name", "partner_name", "matching_number"])
 
 
-def _pivot(name: str, spark: SparkSession, path: str) -> DataFrame:
-    labelled, o = _labelled(name, spark, path)
+def _pivot(name: str, spark: SparkSession, path: str, stored=stored_tables) -> DataFrame:
+    labelled, o = _labelled(name, spark, path, stored)
     aged = o.ledger_type == "aged"
     rows = exports.aged_pivot_rows(labelled) if aged else exports.pivot_rows(labelled)
     return flat(rows, oracle.AGED_PIVOT if aged else oracle.PIVOT)
 
 
-def _sections(name: str, spark: SparkSession, path: str) -> DataFrame:
-    labelled, o = _labelled(name, spark, path)
-    tables = stored_tables(spark, path)
-    rows = exports.section_rows(labelled, report_objects(tables, o), tables, o)
+def _sections(name: str, spark: SparkSession, path: str, stored=stored_tables) -> DataFrame:
+    labelled, o = _labelled(name, spark, path, stored)
+    tables = stored(spark, path)
+    rows = exports.section_rows(labelled, tables, o)
     return flat(rows, oracle.AGED_SECTION if o.ledger_type == "aged" else oracle.SECTION)
 
 
@@ -227,8 +227,8 @@ def _statement(name: str, spark: SparkSession, path: str) -> DataFrame:
                 oracle.AGED_STATEMENT if o.ledger_type == "aged" else oracle.STATEMENT)
 
 
-def _summary(name: str, spark: SparkSession, path: str) -> DataFrame:
-    labelled, o = _labelled(name, spark, path)
+def _summary(name: str, spark: SparkSession, path: str, stored=stored_tables) -> DataFrame:
+    labelled, o = _labelled(name, spark, path, stored)
     rows = (exports.aged_summary_rows if o.ledger_type == "aged" else exports.summary_rows)(labelled)
     return flat(rows)
 
@@ -238,6 +238,40 @@ def _sheet_totals(spark: SparkSession, path: str) -> DataFrame:
     return flat(section_totals(exports.pivot_rows(labelled), ("debit", "credit")))
 
 
+def _ordered(name: str, spark: SparkSession, path: str) -> DataFrame:
+    labelled, _ = _labelled(name, spark, path)
+    return flat(exports.with_position(labelled),
+                ["position", "object_name", "line_type", "date", "move_line_id"])
+
+
+def _stored_lines(spark: SparkSession, path: str) -> DataFrame:
+    tables, folder = stored_tables(spark, path), shared_folder(spark)
+    for i, name in enumerate(oracle.STORED, 1):
+        exports.write_lines(ledger(tables, replace(_case(name), report_id=i)), folder)
+    lines = spark.read.parquet(folder)
+    return flat(lines.withColumn("report_id", F.col("report_id").cast("bigint")),
+                ["report_id", *LINE])
+
+
+def _stamped(spark: SparkSession, path: str) -> DataFrame:
+    lines = ledger(stored_tables(spark, path), replace(_case("journal_ledger_detail"), report_id=7))
+    stamped = exports.stamp_lines(lines, 42, F.lit("1998-12-31 12:00:00"))
+    return flat(stamped, ["report_id", "line_type", "move_line_id", "journal_id", "debit",
+                          "company_currency_id", "create_uid", "create_date"])
+
+
+def _company_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Saved reports of one company, dated by the fiscal period and month they name."""
+    k, year = F.col("report_id"), (F.col("report_id") % 4 + 1997).cast("string")
+    saved = samples.customer_reports(spark, path, plain=True).withColumns({
+        "company_id": k % 2 + 1,
+        "period_name": F.when(k % 3 != 0, F.concat(F.lit("01/01/"), year, F.lit(" - 12/31/"), year)),
+        "month": F.when(k % 5 == 0, (k % 12 + 1).cast("int"))})
+    periods = fiscal_periods(stored_tables(spark, path)["res_company"], dt.date(2000, 6, 30))
+    return flat(fill_dates(load_reports(saved, 1), periods).select(
+        "report_id", "company_id", "ledger_type", "date_from", "date_to"))
+
+
 def _report_options(spark: SparkSession, path: str) -> DataFrame:
     saved, defaults = samples.customer_reports(spark, path), samples.default_reports(spark)
     reports = normalise_reports(overlay_reports(saved, defaults), TODAY)
@@ -283,8 +317,13 @@ def _jobs(spark: SparkSession, path: str) -> DataFrame:
     jobs = sms.send_jobs(
         samples.outbound_messages(spark, path), samples.outbound_accounts(spark),
         sms.clean_numbers(samples.recipients(spark, path)))
-    return jobs.select("message_id", "part", "provider", "sms_account",
-                       F.col("receiver_count").cast("bigint").alias("receiver_count"), "job")
+    return jobs
+
+
+def _receivers(spark: SparkSession, path: str) -> DataFrame:
+    return sms.job_receivers(
+        samples.outbound_messages(spark, path), samples.outbound_accounts(spark),
+        sms.clean_numbers(samples.recipients(spark, path)))
 
 
 def _replies(spark: SparkSession, path: str) -> DataFrame:
@@ -330,6 +369,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "statement_export_summary": partial(_statement, "journal_ledger_trial_balance"),
     "aged_statement_export": partial(_statement, "aged_balance_detail"),
     "sheet_totals": _sheet_totals,
+    "pivot_export_three_decimals": partial(
+        _pivot, "general_ledger_compact", stored=three_decimal_tables),
+    "section_export_three_decimals": partial(
+        _sections, "partner_ledger_detail", stored=three_decimal_tables),
+    "aged_summary_export_three_decimals": partial(
+        _summary, "aged_balance_summary", stored=three_decimal_tables),
+    "general_trial_balance_three_decimals": partial(
+        _ledger, "general_ledger_trial_balance", stored=three_decimal_tables),
+    "ordered_export": partial(_ordered, "general_ledger_detail"),
+    "stored_report_lines": _stored_lines,
+    "stamped_lines": _stamped,
+    "company_reports": _company_reports,
     "fiscal_periods": _fiscal_periods,
     "fiscal_months": _fiscal_months,
     "report_options": _report_options,
@@ -339,6 +390,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outbound_recipients": _recipients,
     "outbound_routes": _routes,
     "outbound_jobs": _jobs,
+    "outbound_job_receivers": _receivers,
     "outbound_replies": _replies,
 }
 

@@ -11,7 +11,7 @@ from ledgerloom import schemas as S
 from ledgerloom.functions.columns import age_buckets, exceeds, sum0
 from ledgerloom.operators.matching import (
     match_dates, open_at_start, reconciled_flag, with_match_dates)
-from ledgerloom.operators.running import id_steps, running_balance
+from ledgerloom.operators.running import running_balance
 from ledgerloom.operators.scan import (
     account_settings, currency_columns, dated, in_states, move_lines, select_accounts)
 from ledgerloom.options import ReportOptions
@@ -97,10 +97,9 @@ def detail_lines(tables: LedgerTables, o: ReportOptions,
         F.col("id").alias("move_line_id"), "date", "date_maturity", *S.FLOWS,
         "full_reconcile_id", reconciled_flag(o).alias("reconciled"), "amount_currency",
         "currency_id", F.col("name").alias("item_name"), F.col("ref").alias("item_ref"),
-        *(["move_name"] if "move_name" in items.columns else []))
+        *[c for c in ("move_name", "parent_state") if c in items.columns])
     key = o.running_column
-    lines = running_balance(kept, key, carried if key == o.object_column else None,
-                            id_bits=id_steps(tables, key))
+    lines = running_balance(kept, key, carried if key == o.object_column else None)
     # What follows from other columns is added after the shuffle the running balance needs.
     return lines.withColumns({
         "report_id": F.lit(o.report_id),
@@ -121,7 +120,7 @@ def compact_lines(tables: LedgerTables, o: ReportOptions,
             .agg(*[sum0(c).alias(c) for c in S.FLOWS])
             .withColumns({"report_object_id": F.col("account_id"),
                           **currency_columns(tables, o)}))
-    before = F.lit(0).cast("decimal(28,2)")
+    before = F.lit(0)
     if carried is not None:
         sums = sums.join(carried.withColumnRenamed("balance", "_before"),
                          "report_object_id", "left")

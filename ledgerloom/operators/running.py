@@ -9,24 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.schemas import money_scale
-from ledgerloom.sources.tables import LedgerTables
 
 # Steps in which item ids are cut, coarse to fine: at most 2**22 ids share the finest part,
 # 2**21 fine parts share a coarse one, and 63-bit ids have at most 2**20 coarse parts.
 ID_BITS = (43, 22)
 
 
-# Up to this many rows of one key and day are summed in one task.
-DAY_ROWS = 1 << 22
-
-
-def id_steps(tables: LedgerTables, key: str) -> tuple[int, ...]:
-    """Whether a day of a key has to be cut by item id as well: not if the stored items are
-    known to have few enough in any day, else (or if nothing is known) in both steps."""
-    most = tables.most_per_day(key)
-    return () if most is not None and most <= DAY_ROWS else ID_BITS
-
-
 def running_sum(rows: DataFrame, key: str, order: Sequence[str], value: str, out: str,
                 carried: DataFrame | None = None) -> DataFrame:
     """Sum of `value` over the rows of the same `key` up to each row, in the given order.

@@ -12,19 +12,15 @@ from ledgerloom import schemas as S
 from ledgerloom.options import ReportOptions
 from ledgerloom.sources.tables import LedgerTables
 
-# Up to this many ids travel as literals and reach the file scan as a pushed filter;
-# longer lists become a semi join.
-LITERAL_IDS = 500
-
-
-def keep_ids(df: DataFrame, column: str, ids: Sequence[int]) -> DataFrame:
-    """Rows whose `column` is one of `ids`; all rows if there are no ids."""
-    if not ids:
-        return df
-    if len(ids) <= LITERAL_IDS:
-        return df.where(F.col(column).isin(list(ids)))
-    listed = df.sparkSession.createDataFrame([(i,) for i in ids], f"{column} bigint")
-    return df.join(listed.distinct(), column, "left_semi")
+def keep_ids(df: DataFrame, column: str, ids: Sequence[int] | DataFrame) -> DataFrame:
+    """Rows whose `column` is one of `ids`; all rows if an empty list is given.
+
+    A list travels as literals, which reach the file scan as a pushed filter. Ids that are
+    data themselves come as a frame of one column and are a semi join.
+    """
+    if isinstance(ids, DataFrame):
+        return df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
+    return df.where(F.col(column).isin(list(ids))) if ids else df
 
 
 def company_items(tables: LedgerTables, o: ReportOptions) -> DataFrame:

@@ -61,43 +61,43 @@ def route(messages: DataFrame, accounts: DataFrame) -> DataFrame:
             .drop("_known"))
 
 
-def send_jobs(messages: DataFrame, accounts: DataFrame, recipients: DataFrame | None = None,
-              max_receivers: int = 10_000) -> DataFrame:
-    """One send job per routed message whose account is complete, as JSON with all receivers.
-
-    A message with more than `max_receivers` numbers is sent as several jobs (`part`), by a
-    hash of the number, so that no task gathers them all; together they hold every number.
-    A message without a legal number is a job with no receivers.
-    """
-    routed = (route(messages, accounts).where(F.col("route") != "default")
-              .join(valid_accounts(accounts).select("provider", "sms_account", "sender"),
-                    "provider"))
+def _sendable(messages: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Routed messages whose account is complete, with the account's settings."""
+    return (route(messages, accounts).where(F.col("route") != "default")
+            .join(valid_accounts(accounts).select("provider", "sms_account", "sender"),
+                  "provider"))
+
+
+def send_jobs(messages: DataFrame, accounts: DataFrame,
+              recipients: DataFrame | None = None) -> DataFrame:
+    """One send job per routed message whose account is complete: its settings as JSON and how
+    many receivers it has. The receivers themselves are rows, see `job_receivers`, so a
+    message may have any number of them."""
     numbers = clean_numbers(messages) if recipients is None else recipients
-    large = (numbers.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col("n") > max_receivers)
-             # Half full on average: hashing leaves parts uneven.
-             .select("message_id", F.ceil(F.col("n") * 2 / max_receivers).alias("parts")))
-    parted = numbers.join(large, "message_id", "left").withColumn(
-        "part", F.when(F.col("parts").isNull(), 0)
-        .otherwise(F.pmod(F.xxhash64("number"), F.col("parts"))).cast("bigint"))
-    receivers = parted.groupBy("message_id", "part").agg(
-        F.array_sort(F.collect_list("number")).alias("receivers"))
+    counts = numbers.groupBy("message_id").agg(F.count(F.lit(1)).alias("receiver_count"))
     job = F.struct(
         F.lit(CHARSET).alias("charset"), F.lit(CODING).alias("coding"), F.col("message"),
         F.lit(True).alias("noStopClause"), F.lit(PRIORITY).alias("priority"),
-        F.col("receivers"), F.lit(False).alias("senderForResponse"),
+        F.lit(False).alias("senderForResponse"),
         F.lit(VALIDITY_MINUTES).alias("validityPeriod"), F.col("sender"))
-    jobs = routed.join(receivers, "message_id", "left").withColumns({
-        "part": F.coalesce("part", F.lit(0)),
-        "receivers": F.coalesce("receivers", F.array().cast("array<string>"))})
-    return jobs.select(
-        "message_id", "part", "provider", "sms_account",
-        F.size("receivers").alias("receiver_count"), F.to_json(job).alias("job"))
+    return _sendable(messages, accounts).join(counts, "message_id", "left").select(
+        "message_id", "provider", "sms_account",
+        F.coalesce("receiver_count", F.lit(0)).cast("bigint").alias("receiver_count"),
+        F.to_json(job).alias("job"))
+
+
+def job_receivers(messages: DataFrame, accounts: DataFrame,
+                  recipients: DataFrame | None = None) -> DataFrame:
+    """The receivers of the send jobs: one row per message and number."""
+    numbers = clean_numbers(messages) if recipients is None else recipients
+    return numbers.join(_sendable(messages, accounts).select("message_id", "provider"),
+                        "message_id").select("message_id", "provider", "number")
 
 
-def write_outbox(jobs: DataFrame, path: str) -> None:
-    """Store send jobs by provider for the program that posts them."""
-    jobs.write.mode("overwrite").partitionBy("provider").parquet(path)
+def write_outbox(jobs: DataFrame, receivers: DataFrame, path: str) -> None:
+    """Store send jobs and their receivers by provider for the program that posts them."""
+    for name, rows in (("jobs", jobs), ("receivers", receivers)):
+        rows.write.mode("overwrite").partitionBy("provider").parquet(f"{path}/{name}")
 
 
 def classify_replies(replies: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def line_schema(scale: int = 2) -> T.StructType:
         age_120_days=money, older=money,
         full_reconcile_id=_LONG, reconciled=_BOOL,
         amount_currency=money, currency_id=_LONG, company_currency_id=_LONG,
-        item_name=_STR, item_ref=_STR, move_name=_STR)
+        item_name=_STR, item_ref=_STR, move_name=_STR, parent_state=_STR)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
-from ledgerloom.functions.columns import analytic_label, blank_zero, code_and_name
+from ledgerloom.functions.columns import (
+    analytic_label, blank_zero, code_and_name, optional_code_and_name, sum0)
 from ledgerloom.operators.matching import matching_label
-from ledgerloom.operators.objects import object_names, section_heading
-from ledgerloom.operators.totals import section_totals
+from ledgerloom.operators.objects import section_heading
 from ledgerloom.options import ReportOptions
-from ledgerloom.sources.tables import LedgerTables
+from ledgerloom.sources.tables import LedgerTables, shared_folder
 
 DETAIL_TYPES = S.BODY_TYPES
 AGED_DETAIL_TYPES = (S.INIT_LINE, S.LINE)
@@ -41,17 +39,41 @@ def line_rank() -> Column:
     return F.substring("line_type", 1, 1).cast("int")
 
 
-def with_object_names(lines: DataFrame, tables: LedgerTables, o: ReportOptions) -> DataFrame:
-    names = object_names(tables, o.report_type).select(
-        F.col("object_id").alias("report_object_id"), F.col("name").alias("object_name"))
-    return lines.join(names, "report_object_id", "left")
+def _display_keys() -> list[Column]:
+    return [F.col("object_name"), F.col("report_object_id"), line_rank(), F.col("date"),
+            F.col("move_line_id").asc_nulls_first()]
 
 
 def display_order(df: DataFrame) -> DataFrame:
     """Sort for display: sections by object name, then by kind of line, date and item. The
     last column is unique, so the sort spreads over tasks whatever the size of a section."""
-    return df.orderBy("object_name", "report_object_id", line_rank(), "date",
-                      F.col("move_line_id").asc_nulls_first())
+    return df.orderBy(*_display_keys())
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """Rows with `position`, their number in display order from 1.
+
+    Rows are sorted into ranges, kept, and counted per range; only the counts meet in a window.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    (df.repartitionByRange(*_display_keys()).sortWithinPartitions(*_display_keys())
+     .withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+     .write.parquet(path))
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_range").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    offsets = ranges.select("_range", (F.coalesce(F.sum("_n").over(before), F.lit(0))
+                                       - F.col("_first") + 1).alias("_offset"))
+    return (rows.join(offsets, "_range")
+            .withColumn("position", F.col("_row") + F.col("_offset"))
+            .drop("_range", "_row", "_offset"))
+
+
+def stamp_lines(lines: DataFrame, user_id: int, created: Column | None = None) -> DataFrame:
+    """Lines with who made them and when, for storing."""
+    created = F.current_timestamp() if created is None else created
+    return lines.withColumns({"create_uid": F.lit(user_id).cast("bigint"), "create_date": created})
 
 
 def join_optional(lines: DataFrame, table: DataFrame, key: str, when: Column | None = None) -> DataFrame:
@@ -91,8 +113,11 @@ def labelled_lines(lines: DataFrame, tables: LedgerTables, options: ReportOption
     code, name = {"account": ("a_code", "a_name"), "journal": ("j_code", "j_name"),
                   "analytic": ("an_code", "an_name"), "partner": ("p_ref", "p_name")}[o.report_type]
     label = matching_label(F.col("reconciled"), F.col("full_reconcile_id"), F.col("match_name"))
-    return with_object_names(out, tables, o).select(
-        "report_id", "report_object_id", "object_name", "line_type", "view_type",
+    # every row but the grand total has its object's key, so its name was joined above
+    named = code_and_name if o.report_type in ("account", "journal") else optional_code_and_name
+    return out.select(
+        "report_id", "report_object_id", named(F.col(code), F.col(name)).alias("object_name"),
+        "line_type", "view_type",
         F.col(code).alias("code"), F.col(name).alias("name"),
         "j_code", "a_code", "a_name", "an_code", "an_name",
         *S.AGE_COLUMNS, "credit", "debit", "cumul_balance", "balance",
@@ -129,7 +154,7 @@ def foreign_amount() -> tuple[Column, Column]:
 
 
 def _zero(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(0)).cast("decimal(28,2)").alias(column)
+    return F.coalesce(F.col(column), F.lit(0)).alias(column)
 
 
 _SORT = ("report_id", "report_object_id", "object_name", "line_type", "move_line_id")
@@ -146,7 +171,7 @@ def pivot_rows(labelled: DataFrame, pattern: str = "MM/dd/yyyy") -> DataFrame:
         F.col("move_name").alias("entry"), F.col("displayed_ref").alias("ref"),
         F.col("displayed_name").alias("name"), F.col("partner_name").alias("partner"),
         date_text("date_maturity", pattern).alias("due_date"), _zero("debit"), _zero("credit"),
-        F.coalesce(F.col("cumul_balance"), F.lit(0)).cast("decimal(28,2)").alias("balance"),
+        F.coalesce(F.col("cumul_balance"), F.lit(0)).alias("balance"),
         amount.alias("amount_currency"), currency.alias("currency"),
         F.col("matching_number").alias("match"), "date")
 
@@ -163,27 +188,31 @@ def aged_pivot_rows(labelled: DataFrame, pattern: str = "MM/dd/yyyy") -> DataFra
         F.col("matching_number").alias("match"), "date")
 
 
-def section_rows(labelled: DataFrame, objects: DataFrame, tables: LedgerTables,
-                 o: ReportOptions) -> DataFrame:
+def section_rows(labelled: DataFrame, tables: LedgerTables, o: ReportOptions) -> DataFrame:
     """Per object a heading, its detail lines and column totals; objects without lines are
     left out. `section_part` orders the parts of a section. The balance, which runs, has no
-    total outside aged balances."""
+    total outside aged balances.
+
+    Lines are evaluated twice: as they are, and summed per object; heading and totals are two
+    rows of one sum.
+    """
     aged = o.ledger_type == "aged"
     rows = aged_pivot_rows(labelled) if aged else pivot_rows(labelled)
     sums = (*S.AGE_COLUMNS, "balance") if aged else ("debit", "credit")
-    used = rows.select("report_object_id", "object_name").distinct()
-    headed = section_heading(
-        objects.select("object_id").where(F.col("object_id").isNotNull()), tables, o)
-    headings = used.join(headed.withColumnRenamed("object_id", "report_object_id"),
-                         "report_object_id").withColumn("section_part", F.lit("0_heading"))
-    totals = (section_totals(rows, sums).where(~F.col("is_sheet")).drop("is_sheet")
-              .join(used, "report_object_id")
-              .withColumns({c: F.col(c).cast("decimal(28,2)") for c in sums})
-              .withColumn("section_part", F.lit("2_totals")))
+    per_object = (rows.where(F.col("report_object_id").isNotNull())
+                  .groupBy("report_object_id", "object_name")
+                  .agg(*[sum0(c).alias(c) for c in sums])
+                  .withColumnRenamed("report_object_id", "object_id"))
+    part = F.explode(F.array(F.lit("0_heading"), F.lit("2_totals")))
+    headed = section_heading(per_object, tables, o).withColumn("section_part", part)
+    totals = F.col("section_part") == "2_totals"
+    edges = headed.select(
+        F.col("object_id").alias("report_object_id"), "object_name", "section_part",
+        F.when(~totals, F.col("heading")).alias("heading"),
+        *[F.when(totals, F.col(c)).alias(c) for c in sums])
     body = rows.withColumn("section_part", F.lit("1_line"))
-    parts = [headings, body, totals]
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return out.withColumn("report_id", F.lit(o.report_id).cast("bigint"))
+    return body.unionByName(edges, allowMissingColumns=True).withColumn(
+        "report_id", F.lit(o.report_id).cast("bigint"))
 
 
 def summary_rows(labelled: DataFrame) -> DataFrame:
@@ -199,11 +228,6 @@ def aged_summary_rows(labelled: DataFrame) -> DataFrame:
         *[_zero(c) for c in S.AGE_COLUMNS], _zero("balance").alias("total"))
 
 
-def sheet_totals(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Column totals of a whole sheet, such as `summary_rows` or `pivot_rows`."""
-    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
-
-
 def statement_rows(labelled: DataFrame, o: ReportOptions,
                    pattern: str = "MM/dd/yyyy") -> DataFrame:
     """The printed statement: the grand total on top, then each object's lines and total, with

@@ -37,12 +37,17 @@ def search_lines(lines: DataFrame, tables: LedgerTables, *, move_name: str | Non
         lines = lines.join(accounts.select(F.col("id").alias("account_id")), "account_id",
                            "left_semi")
 
-    entries = tables["account_move"]
+    # Lines of prepared items carry their entry's name and state; others are looked up.
+    own = "parent_state" in tables.items.columns and "move_name" in tables.items.columns
+    entries = lines if own else tables["account_move"]
+    name, in_state = ("move_name", "parent_state") if own else ("name", "state")
     if move_name:
         pattern = "".join(f"\\{c}" if c in "\\%_" else c for c in move_name)
-        entries = entries.where(F.col("name").ilike(f"%{pattern}%"))
+        entries = entries.where(F.col(name).ilike(f"%{pattern}%"))
     if state:
-        entries = entries.where(F.col("state") == state)
+        entries = entries.where(F.col(in_state) == state)
+    if own:
+        return entries
     if move_name or state:
         lines = lines.join(entries.select(F.col("id").alias("move_id")), "move_id", "left_semi")
     return lines

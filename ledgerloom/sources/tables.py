@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +15,6 @@ from pyspark.sql import types as T
 from ledgerloom import schemas as S
 
 
-STATISTICS = "item_statistics"
-COUNTED_COLUMNS = ("account_id", "partner_id", "journal_id", "analytic_account_id")
-
-
 @dataclass(frozen=True)
 class LedgerTables:
     """Input tables by name. `items` is the fact; all others describe it."""
@@ -49,13 +45,6 @@ class LedgerTables:
             return (row.id, row.rounding) if row else (None, None)
         return self.known(f"currency {company_id}", find)
 
-    def most_per_day(self, column: str) -> int | None:
-        """The most items any value of a column has on one day, if the store knows it."""
-        if STATISTICS not in self.frames:
-            return None
-        return self.known(STATISTICS, lambda: {
-            r.column: r.most_per_day for r in self[STATISTICS].collect()}).get(column)
-
     def known(self, key: str, find: Callable[[], Any]) -> Any:
         """A small fact about the tables, found once."""
         if key not in self._known:
@@ -108,27 +97,27 @@ def read_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> LedgerT
     return load_tables(lambda name: spark.read.format(fmt).load(f"{path}/{name}"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name in the folder all executors share: ``spark.checkpoint.dir``, or the
+    warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def read_store(spark: SparkSession, path: str) -> LedgerTables:
-    """Read tables stored by `write_tables`. Schemas are known: no file is opened for them."""
+    """Read tables stored by `write_tables`. All schemas are known but for the decimal places of
+    the items' amounts, which are those of the stored files."""
+    stored = {f.name: f.dataType for f in spark.read.parquet(f"{path}/account_move_line").schema}
     items = T.StructType(
-        [*S.TABLES["account_move_line"], *S.PREPARED_COLUMNS, T.StructField("date_year", T.IntegerType())])
-    schemas = {**S.TABLES, "account_move_line": items, STATISTICS: _STATISTICS_SCHEMA}
+        [T.StructField(f.name, stored.get(f.name, S.MONEY) if f.dataType == S.MONEY else f.dataType)
+         for f in S.TABLES["account_move_line"]]
+        + [*S.PREPARED_COLUMNS, T.StructField("date_year", T.IntegerType())])
+    schemas = {**S.TABLES, "account_move_line": items}
     return LedgerTables({name: spark.read.schema(schema).parquet(f"{path}/{name}")
                          for name, schema in schemas.items()})
 
 
-_STATISTICS_SCHEMA = T.StructType([
-    T.StructField("column", T.StringType()), T.StructField("most_per_day", T.LongType())])
-
-
-def item_statistics(items: DataFrame) -> DataFrame:
-    """For each grouping column the most items one of its values has on one day."""
-    return reduce(DataFrame.unionByName, [
-        items.groupBy(column, "date").count()
-        .agg(F.lit(column).alias("column"), F.max("count").alias("most_per_day"))
-        for column in COUNTED_COLUMNS])
-
-
 def fold_account_types(accounts: DataFrame, types: DataFrame,
                        unaffected_type_id: int) -> DataFrame:
     """Bring the separate account-type table of a raw extract into the accounts."""
@@ -168,6 +157,13 @@ def with_match_date(tables: LedgerTables) -> LedgerTables:
             items.where(~matched).withColumn("last_match_date", F.lit(None).cast("date")))))
 
 
+def prepare(tables: LedgerTables) -> LedgerTables:
+    """Tables as reports want them: items with their entry's state and name and the last date
+    in their match. A lazy step for an extract that is reported on once; `write_tables` does
+    it for a store."""
+    return with_match_date(with_entry_columns(tables))
+
+
 def write_tables(tables: LedgerTables, path: str) -> None:
     """Store the tables as Parquet, the items by company and year of date; for `read_store`.
 
@@ -178,7 +174,7 @@ def write_tables(tables: LedgerTables, path: str) -> None:
     file covers few accounts, so its statistics let account and date filters skip it.
     """
     spread = ("company_id", "date_year", "account_id", "date", "id")
-    prepared = with_match_date(with_entry_columns(tables)).items
+    prepared = prepare(tables).items
     (prepared.withColumn("date_year", F.year("date"))
      .repartitionByRange(*spread).sortWithinPartitions(*spread)
      .write.mode("overwrite").partitionBy("company_id", "date_year")
@@ -186,5 +182,3 @@ def write_tables(tables: LedgerTables, path: str) -> None:
     for name in S.TABLES:
         if name != "account_move_line":
             tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
-    stored = tables.spark.read.parquet(f"{path}/account_move_line")
-    item_statistics(stored).write.mode("overwrite").parquet(f"{path}/{STATISTICS}")

@@ -7,18 +7,19 @@ zero amounts, payments in a later period, missing due dates, foreign currency.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.schemas import MONEY, TABLES, conform
-from ledgerloom.sources.tables import LedgerTables, check_table, read_store, write_tables
+from ledgerloom.sources.tables import (
+    LedgerTables, check_table, read_store, shared_folder, write_tables)
 
 SALES, PURCHASES, BANK = 1, 2, 3
 BANK_ACCOUNT, UNAFFECTED_ACCOUNT = 5120, 1200
 CUSTOMERS, SUPPLIERS, INCOME, EXPENSES = 41100, 40100, 70700, 60700
+BILLS_PER_ORDER = 1 << 16
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -39,13 +40,19 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
         (F.col("o_custkey") * 2).alias("partner_id"), "nat", "reg",
         F.col("o_orderstatus").alias("st"),
         F.when(k % 97 == 0, F.lit(0)).otherwise(F.col("o_totalprice")).cast(MONEY).alias("amt")))
+    # bills are numbered within their order, a small group; no two orders share a key
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_suppkey")) - 1
+    fits = (F.col("number") < BILLS_PER_ORDER) & (F.col("l_orderkey") < 2 ** 63 // 16 // BILLS_PER_ORDER)
+    key = F.when(fits, F.col("l_orderkey") * BILLS_PER_ORDER + F.col("number")).otherwise(
+        F.raise_error(F.lit("too many bills in an order, or too large an order key")))
     bills = (_read(spark, path, "lineitem")
              .groupBy("l_orderkey", "l_suppkey")
              .agg(F.min(F.to_date("l_shipdate")).alias("d"), F.max("l_linestatus").alias("st"),
                   F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("amt"))
+             .withColumn("number", number).withColumn("k", key.cast("bigint"))
              .join(supplier, "l_suppkey").join(nation, "nat")
              .select(F.lit(False).alias("is_sale"),
-                     (F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("k"), "d",
+                     "k", "d",
                      (F.col("l_suppkey") * 2 + 1).alias("partner_id"), "nat", "reg", "st", "amt"))
     return sales.unionByName(bills)
 
@@ -219,29 +226,37 @@ def derive_tables(spark: SparkSession, path: str) -> LedgerTables:
     return LedgerTables({name: check_table(name, df) for name, df in frames.items()})
 
 
-_stored: dict[tuple[str, str], LedgerTables] = {}
+_stored: dict[tuple[str, str, str], LedgerTables] = {}
 
 
 def stored_tables(spark: SparkSession, path: str) -> LedgerTables:
     """The derived ledger, stored once per application and read back.
 
     Storing is the load step of a warehouse: reports then scan a pruned, partitioned fact
-    and plan their joins by real table sizes. The store lies in the shared folder named by
-    ``spark.checkpoint.dir``; a local session without one gets its own scratch folder, and a
-    cluster without one works on the unstored plans.
+    and plan their joins by real table sizes. The store lies in a shared folder, see
+    `shared_folder`.
     """
-    key = (spark.sparkContext.applicationId, path)
+    return _store(spark, path, "ledger", lambda: derive_tables(spark, path))
+
+
+def _store(spark: SparkSession, path: str, kind: str,
+           derive: Callable[[], LedgerTables]) -> LedgerTables:
+    key = (spark.sparkContext.applicationId, path, kind)
     if key not in _stored:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and spark.sparkContext.master.startswith("local"):
-            root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        if not root:
-            return derive_tables(spark, path)
-        target = f"{root.rstrip('/')}/ledger-{uuid.uuid4().hex}"
-        derived = derive_tables(spark, path)
-        # Written plainly first: preparing and range-partitioning read the items several times.
-        derived.items.write.parquet(f"{target}/derived_items")
-        items = spark.read.schema(derived.items.schema).parquet(f"{target}/derived_items")
-        write_tables(derived.with_frames(account_move_line=items), target)
+        target = shared_folder(spark)
+        write_tables(derive(), target)
         _stored[key] = read_store(spark, target)
     return _stored[key]
+
+
+def three_decimal_tables(spark: SparkSession, path: str) -> LedgerTables:
+    """The ledger in a currency of three decimal places, at a tenth of its amounts; stored."""
+    def derive() -> LedgerTables:
+        tables = derive_tables(spark, path)
+        amounts = ("debit", "credit", "balance", "amount_currency")
+        items = tables.items.withColumns(
+            {c: (F.col(c) * F.lit("0.1").cast("decimal(2,1)")).cast("decimal(18,3)") for c in amounts})
+        currencies = tables["res_currency"].withColumns({
+            "rounding": F.lit("0.001").cast("decimal(18,6)"), "decimal_places": F.lit(3)})
+        return tables.with_frames(account_move_line=items, res_currency=currencies)
+    return _store(spark, path, "three decimals", derive)

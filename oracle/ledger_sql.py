@@ -19,7 +19,7 @@ sale AS (
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 bill AS (
   SELECT k, d, l_suppkey * 2 + 1 AS pid, n_nationkey AS nat, n_regionkey AS reg, st, amt FROM (
-    SELECT l_orderkey * 100000 + l_suppkey AS k, l_suppkey, CAST(min(l_shipdate) AS DATE) AS d,
+    SELECT l_orderkey * 65536 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) - 1 AS k, l_suppkey, CAST(min(l_shipdate) AS DATE) AS d,
            max(l_linestatus) AS st, CAST(sum(CAST(l_extendedprice AS {M})) AS {M}) AS amt
     FROM lineitem GROUP BY l_orderkey, l_suppkey)
   JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
@@ -94,8 +94,10 @@ _MONEY = ["debit", "credit", "balance", "cumul_balance", *AGES, "amount_currency
 _TEXT = ["date", "date_maturity", "reconciled"]
 
 
-def shown(columns: list[str], source: str) -> str:
+def shown(columns: list[str], source: str, tenth: bool = False) -> str:
     def column(name: str) -> str:
+        if name in _MONEY and tenth:
+            return f'CAST(CAST("{name}" AS DECIMAL(28,2)) * 0.1 AS DOUBLE) AS "{name}"'
         if name in _MONEY:
             return f'CAST("{name}" AS DOUBLE) AS "{name}"'
         if name in _TEXT:
@@ -238,10 +240,10 @@ def statement(final: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([TABLES.strip(), *[c for c in ctes if c]]) + "\n" + final
 
 
-def lines_sql(o: ReportOptions, without: str = "") -> str:
+def lines_sql(o: ReportOptions, tenth: bool = False) -> str:
     """All lines of a (normalised) report."""
     columns, source = (TOTAL, "all_totals") if o.summary else (LINE, "lines")
-    return statement(shown([c for c in columns if c != without], source), report(o))
+    return statement(shown(columns, source, tenth), report(o))
 
 
 NAMES = {

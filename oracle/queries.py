@@ -12,6 +12,7 @@ OBJECTS = {"account": "general_ledger_detail", "partner": "partner_ledger_detail
            "journal": "journal_ledger_detail", "analytic": "analytic_ledger_by_account"}
 JOINED = ("general_ledger_trial_balance", "general_ledger_detail", "partner_ledger_open_items",
           "partner_ledger_open_trial_balance", "journal_ledger_detail", "aged_balance_summary")
+STORED = ("journal_ledger_detail", "aged_balance_detail")
 SIDE_BY_SIDE = ("general_ledger_selected", "partner_ledger_selected", "journal_ledger_trial_balance")
 
 _KEYS = ["report_object_id", "object_name", "line_type", "move_line_id"]
@@ -100,14 +101,14 @@ _AGED_PIVOT_SQL = f"""pivot_rows AS (
   FROM labelled WHERE line_type IN ('1_init_line', '2_line'))"""
 
 
-def _pivot(name: str) -> str:
+def _pivot(name: str, tenth: bool = False) -> str:
     o = _case(name)
     aged = o.ledger_type == "aged"
-    return statement(shown(AGED_PIVOT if aged else PIVOT, "pivot_rows"),
+    return statement(shown(AGED_PIVOT if aged else PIVOT, "pivot_rows", tenth),
                      report(o), labelled(o), _AGED_PIVOT_SQL if aged else _PIVOT_SQL)
 
 
-def _sections(name: str) -> str:
+def _sections(name: str, tenth: bool = False) -> str:
     o = _case(name)
     aged = o.ledger_type == "aged"
     sums = ", ".join(f"sum({c}) AS {c}" for c in ([*AGES, "balance"] if aged else ["debit", "credit"]))
@@ -116,7 +117,7 @@ def _sections(name: str) -> str:
   UNION ALL BY NAME SELECT DISTINCT '0_heading' AS section_part, report_object_id, object_name, heading FROM pivot_rows
   UNION ALL BY NAME SELECT '2_totals' AS section_part, report_object_id, object_name, {sums}
     FROM pivot_rows GROUP BY report_object_id, object_name)"""
-    return statement(shown(AGED_SECTION if aged else SECTION, "section"),
+    return statement(shown(AGED_SECTION if aged else SECTION, "section", tenth),
                      report(o), labelled(o), _AGED_PIVOT_SQL if aged else _PIVOT_SQL, section)
 
 
@@ -154,14 +155,14 @@ def _statement(name: str) -> str:
     return statement(shown(STATEMENT, "printed"), report(o), labelled(o), rows)
 
 
-def _summary(name: str) -> str:
+def _summary(name: str, tenth: bool = False) -> str:
     o = _case(name)
     amounts = ([*AGES, "balance AS total"] if o.ledger_type == "aged"
                else ["debit", "credit", "balance"])
     columns = [a.split(" AS ")[-1] for a in amounts]
     return statement(
         shown(["report_object_id", "object_name", "code", "name", *columns],
-              f"(SELECT * EXCLUDE (balance), {'balance AS total' if 'total' in columns else 'balance'} FROM labelled) WHERE line_type = '4_total'"),
+              f"(SELECT * EXCLUDE (balance), {'balance AS total' if 'total' in columns else 'balance'} FROM labelled) WHERE line_type = '4_total'", tenth),
         report(o), labelled(o))
 
 
@@ -188,9 +189,9 @@ def _multi() -> str:
     return statement(shown(["report_id", *TOTAL], "every"), *ctes)
 
 
-def _side_by_side() -> str:
+def _side_by_side(names: tuple[str, ...]) -> str:
     ctes, rows = [], []
-    for i, name in enumerate(SIDE_BY_SIDE, 1):
+    for i, name in enumerate(names, 1):
         o = _case(name)
         ctes.append(report(o, f"r{i}_"))
         source = "all_totals" if o.summary else "lines"
@@ -242,6 +243,15 @@ SELECT k AS report_id, CASE WHEN empty THEN 'Standard Report' ELSE c_name END AS
   CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END AS journals,
   CASE WHEN ledger_type IN ('partner', 'aged') AND k % 6 < 2 THEN 3 ELSE 0 END AS partners
 FROM ({saved(False)})""",
+        "company_reports": f"""
+SELECT k AS report_id, CAST(1 AS BIGINT) AS company_id, ledger_type,
+  CAST(CASE WHEN k % 3 = 0 OR ledger_type = 'aged' THEN f
+    WHEN k % 5 = 0 THEN make_date(CAST(1997 + k % 4 AS INT), CAST(k % 12 + 1 AS INT), 1)
+    ELSE make_date(CAST(1997 + k % 4 AS INT), 1, 1) END AS VARCHAR) AS date_from,
+  CAST(CASE WHEN k % 3 = 0 OR ledger_type = 'aged' THEN t
+    WHEN k % 5 = 0 THEN last_day(make_date(CAST(1997 + k % 4 AS INT), CAST(k % 12 + 1 AS INT), 1))
+    ELSE make_date(CAST(1997 + k % 4 AS INT), 12, 31) END AS VARCHAR) AS date_to
+FROM ({saved(True)}) WHERE k % 2 = 0""",
         "report_dim": f"""
 SELECT k AS report_id,
   CASE ledger_type WHEN 'aged' THEN 'Aged Balance' ELSE upper(ledger_type[1]) || ledger_type[2:] || ' Ledger' END
@@ -274,13 +284,15 @@ def _outbound() -> dict[str, str]:
 SELECT message_id, provider, CASE provider WHEN 'other' THEN 'default' ELSE provider END AS route,
   CASE provider WHEN 'backup' THEN 'application_secret,sender' END AS missing_settings FROM messages""",
         "outbound_jobs": f"""WITH {_NUMBERS}, {_MESSAGES},
-lists AS (SELECT message_id, list_sort(list(number)) AS receivers FROM numbers GROUP BY message_id)
-SELECT message_id, CAST(0 AS BIGINT) AS part, provider, 'sms-1' AS sms_account,
-  len(coalesce(receivers, [])) AS receiver_count,
+counts AS (SELECT message_id, count(*) AS n FROM numbers GROUP BY message_id)
+SELECT message_id, provider, 'sms-1' AS sms_account, coalesce(n, 0) AS receiver_count,
   CAST(to_json({{charset: 'UTF-8', coding: '7bit', message: 'Message "no" ' || message_id,
-    noStopClause: true, priority: 'high', receivers: coalesce(receivers, []),
-    senderForResponse: false, validityPeriod: 2880, sender: 'Books'}}) AS VARCHAR) AS job
-FROM messages LEFT JOIN lists USING (message_id) WHERE provider = 'primary'""",
+    noStopClause: true, priority: 'high', senderForResponse: false, validityPeriod: 2880,
+    sender: 'Books'}}) AS VARCHAR) AS job
+FROM messages LEFT JOIN counts USING (message_id) WHERE provider = 'primary'""",
+        "outbound_job_receivers": f"""WITH {_NUMBERS}, {_MESSAGES}
+SELECT message_id, provider, number FROM numbers JOIN messages USING (message_id)
+WHERE provider = 'primary'""",
         "outbound_replies": """
 SELECT message_id, c AS total_credits_removed, CAST(coalesce(c > 0, false) AS VARCHAR) AS success,
   CASE WHEN coalesce(c > 0, false) THEN NULL ELSE 'insufficient credit' END AS error
@@ -326,7 +338,7 @@ FROM item JOIN account c ON c.id = account_id JOIN (
             "SELECT k AS report_object_id, CAST(sum(balance) AS DOUBLE) AS balance FROM opening GROUP BY k",
             report(general)),
         **{name: lines_sql(o.normalise(TODAY)) for name, o in CASES.items()},
-        **{f"{name}_joined": lines_sql(_case(name), without="move_name") for name in JOINED},
+        **{f"{name}_joined": lines_sql(_case(name)) for name in JOINED},
         "object_totals": statement(
             shown(["report_object_id", *amounts, "cumul_balance"], "totals"), report(general)),
         "grand_total": statement(shown([*amounts, "cumul_balance"], "grand"), report(partner)),
@@ -357,9 +369,24 @@ FROM item JOIN account c ON c.id = account_id JOIN (
 SELECT report_object_id, CAST(grouping(report_object_id) = 1 AS VARCHAR) AS is_sheet,
   CAST(sum(debit) AS DOUBLE) AS debit, CAST(sum(credit) AS DOUBLE) AS credit
 FROM body GROUP BY ROLLUP (report_object_id)""", report(partner)),
+        "pivot_export_three_decimals": _pivot("general_ledger_compact", tenth=True),
+        "section_export_three_decimals": _sections("partner_ledger_detail", tenth=True),
+        "aged_summary_export_three_decimals": _summary("aged_balance_summary", tenth=True),
+        "general_trial_balance_three_decimals": lines_sql(
+            _case("general_ledger_trial_balance"), tenth=True),
+        "ordered_export": statement("""
+SELECT row_number() OVER (ORDER BY object_name NULLS FIRST, report_object_id NULLS FIRST, line_type,
+    date NULLS FIRST, move_line_id NULLS FIRST) AS position,
+  object_name, line_type, CAST(date AS VARCHAR) AS date, move_line_id FROM labelled""",
+            report(general), labelled(general)),
+        "stamped_lines": statement("""
+SELECT CAST(7 AS BIGINT) AS report_id, line_type, move_line_id, journal_id, CAST(debit AS DOUBLE) AS debit,
+  CAST(1 AS BIGINT) AS company_currency_id, CAST(42 AS BIGINT) AS create_uid,
+  '1998-12-31 12:00:00' AS create_date FROM lines""", report(_case("journal_ledger_detail"))),
         **_fiscal(),
         **_options(),
         "multi_report_trial_balance": _multi(),
-        "reports_side_by_side": _side_by_side(),
+        "reports_side_by_side": _side_by_side(SIDE_BY_SIDE),
+        "stored_report_lines": _side_by_side(STORED),
         **_outbound(),
     }

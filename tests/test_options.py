@@ -128,7 +128,7 @@ def test_numbers(spark):
         "+33123456789", "+33^123456", "0123456", "33123456789"]
 
 
-def test_jobs_hold_every_number_once(spark):
+def test_jobs_and_their_receivers(spark, tmp_path):
     accounts = spark.createDataFrame(
         [("p", "e", "k", "s", "c", "acc", "Me"), ("q", "e", "k", "", "c", "acc", "Me")],
         OUTBOUND_ACCOUNT)
@@ -136,15 +136,20 @@ def test_jobs_hold_every_number_once(spark):
     df = spark.createDataFrame(
         [(1, "p", "hi", many), (2, "p", "ho", many[:3]), (3, "q", "hi", many[:3]),
          (4, "other", "hi", many[:3]), (5, "p", "none", ["1"])], OUTBOUND_MESSAGE)
-    jobs = sms.send_jobs(df, accounts, max_receivers=20).collect()
-    sent = [n for j in jobs if j.message_id == 1 for n in json.loads(j.job)["receivers"]]
-    assert sorted(sent) == many
-    assert max(j.receiver_count for j in jobs) <= 20
-    assert {j.message_id for j in jobs} == {1, 2, 5}
-    one = [json.loads(j.job) for j in jobs if j.message_id == 2]
+    jobs = sms.send_jobs(df, accounts)
+    counts = {j.message_id: j.receiver_count for j in jobs.collect()}
+    assert counts == {1: 100, 2: 3, 5: 0}
+    receivers = sms.job_receivers(df, accounts)
+    assert sorted(tuple(r) for r in receivers.collect()) == sorted(
+        [(1, "p", n) for n in many] + [(2, "p", n) for n in many[:3]])
+    one = [json.loads(j.job) for j in jobs.collect() if j.message_id == 2]
     assert one == [{"charset": "UTF-8", "coding": "7bit", "message": "ho", "noStopClause": True,
-                    "priority": "high", "receivers": many[:3], "senderForResponse": False,
-                    "validityPeriod": 2880, "sender": "Me"}]
+                    "priority": "high", "senderForResponse": False, "validityPeriod": 2880,
+                    "sender": "Me"}]
+    path = str(tmp_path / "outbox")
+    sms.write_outbox(jobs, receivers, path)
+    assert spark.read.parquet(f"{path}/jobs").count() == 3
+    assert spark.read.parquet(f"{path}/receivers").count() == 103
     assert sms.rejected_accounts(accounts).first().missing_settings == ["application_secret"]
     routes = {r.message_id: r.route for r in sms.route(df, accounts).collect()}
     assert routes == {1: "p", 2: "p", 3: "q", 4: "default", 5: "p"}
