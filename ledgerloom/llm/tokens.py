@@ -22,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +175,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table = Remembered(400_000)
+        self.table, self.core = Remembered(200_000), Remembered(200_000)
+        self.marks = {m: struct.pack(f"<{len(i)}I", *i)
+                      for m, i in zip(".,", self._library([".", ","]), strict=True)}
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         probe = "Don't stop, 12 é\nx"
         apart = [i for w in probe.replace("\n", " ").split(" ") for i in self._library([w])[0]]
         if self._library([probe])[0] != apart:
@@ -190,27 +196,51 @@ class WordEncoder:
         if len(table.young) >= table.size:
             table.old, table.young = table.young, {}
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(table.young.get, words)) for words in split]
-        missing = {w for words, values in zip(split, found, strict=True) if None in values
-                   for w, v in zip(words, values, strict=True) if v is None}
-        fresh = {w: v for w in missing if (v := table.old.get(w)) is not None}
-        self._encode_words(sorted(missing - fresh.keys()), fresh)
-        table.young |= {w: v for w, v in fresh.items() if len(w) < 64}
-        return [b"".join([fresh[w] if v is None else v
-                          for w, v in zip(words, values, strict=True)] if None in values else values)
-                for words, values in zip(split, found, strict=True)]
-
-    def _encode_words(self, words: list[str], out: dict[str, bytes]) -> None:
-        """Words in the form that the tokenizer's normaliser gives them share one call."""
-        plain = {w: w.lower() if w and max(w) < "̀" and "<|" not in w else w for w in words}
-        unique = sorted(set(plain.values()))
-        ids = {}
-        for at in range(0, len(unique), 4096):
-            part = unique[at:at + 4096]
-            for w, i in zip(part, self._library(part), strict=True):
-                ids[w] = struct.pack(f"<{len(i)}I", *i)
-        for w, p in plain.items():
-            out[w] = ids[p]
+        missing = set(chain.from_iterable(split)) - table.young.keys()
+        known = {w: v for w in missing if (v := table.old.get(w)) is not None}
+        table.young |= known
+        self._encode_words(missing - known.keys())
+        out = [b"".join(map(table.young.__getitem__, words)) for words in split]
+        for w in missing:
+            if len(w) > 64:
+                del table.young[w]
+        return out
+
+    def _encode_words(self, words: set[str]) -> None:
+        """Words share a call in the form that the normaliser gives them, without a last mark.
+
+        The split pattern always ends a match between a letter and a mark, so their ids add up.
+        """
+        plain, core = {}, self.core
+        for w in words:
+            p = w.lower() if w and max(w) < "\u0300" and "<|" not in w else w
+            mark = p[-1:] if p[-1:] in self.marks and p[-2:-1].isalpha() else ""
+            plain[w] = (p[:-1], mark) if mark else (p, mark)
+        if len(core.young) >= core.size:
+            core.old, core.young = core.young, {}
+        letters, other = [], []
+        for p in {p for p, _ in plain.values()} - core.young.keys():
+            if (v := core.old.get(p)) is not None:
+                core.young[p] = v
+            else:
+                (letters if p.isalpha() else other).append(p)
+        # a word of letters only is one match, and the last of its tokens ends a word
+        for at in range(0, len(letters), 256):
+            part = letters[at:at + 256]
+            ids = np.array(self._library([" ".join(part)])[0], "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):
+                other += part
+                continue
+            packed, ends = ids.tobytes(), (ends * 4).tolist()
+            for p, a, b in zip(part, [0, *ends], ends):
+                core.young[p] = packed[a:b]
+        for at in range(0, len(other), 4096):
+            part = other[at:at + 4096]
+            for p, i in zip(part, self._library(part), strict=True):
+                core.young[p] = struct.pack(f"<{len(i)}I", *i)
+        for w, (p, mark) in plain.items():
+            self.table.young[w] = core.young[p] + self.marks[mark] if mark else core.young[p]
 
 
 @lru_cache(maxsize=2)
