@@ -7,8 +7,6 @@ windows over whole accounts.
 
 from __future__ import annotations
 
-from ledgerloom.options import ReportOptions
-
 M = "DECIMAL(18,2)"
 
 TABLES = f"""
@@ -118,7 +116,7 @@ def _ids(column: str, ids) -> str:
     return f" AND {column} IN ({', '.join(map(str, ids))})" if ids else ""
 
 
-def report(o: ReportOptions, p: str = "") -> str:
+def report(o, p: str = "") -> str:
     """CTEs of one (normalised) report; `p` prefixes their names. `{p}lines` holds all rows."""
     a, b = f"DATE '{o.date_from}'", f"DATE '{o.date_to}'"
     key = KEY[o.report_type]
@@ -240,7 +238,7 @@ def statement(final: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([TABLES.strip(), *[c for c in ctes if c]]) + "\n" + final
 
 
-def lines_sql(o: ReportOptions, tenth: bool = False) -> str:
+def lines_sql(o, tenth: bool = False) -> str:
     """All lines of a (normalised) report."""
     columns, source = (TOTAL, "all_totals") if o.summary else (LINE, "lines")
     return statement(shown(columns, source, tenth), report(o))
@@ -254,7 +252,7 @@ NAMES = {
 }
 
 
-def labelled(o: ReportOptions) -> str:
+def labelled(o) -> str:
     """CTE `labelled`: report lines with their labels."""
     return f"""object_label AS ({NAMES[o.report_type]}),
 labelled AS (

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from oracle.cases import CASES, TODAY, nation_report
 from oracle.ledger_sql import (
     AGES, KEY, LINE, NAMES, TOTAL, labelled, lines_sql, report, shown, statement)
+from oracle.settings import settled
 
 OBJECTS = {"account": "general_ledger_detail", "partner": "partner_ledger_detail",
-           "journal": "journal_ledger_detail", "analytic": "analytic_ledger_by_account"}
+           "journal": "journal_ledger_detail", "analytic": "analytic_ledger_detail"}
 JOINED = ("general_ledger_trial_balance", "general_ledger_detail", "partner_ledger_open_items",
           "partner_ledger_open_trial_balance", "journal_ledger_detail", "aged_balance_summary")
 STORED = ("journal_ledger_detail", "aged_balance_detail")
@@ -31,7 +30,7 @@ US = "'%m/%d/%Y'"
 
 
 def _case(name: str):
-    return CASES[name].normalise(TODAY)
+    return settled(CASES[name], TODAY)
 
 
 def _objects(kind: str) -> str:
@@ -182,7 +181,7 @@ def _footer(name: str, columns: list[str]) -> str:
 def _multi() -> str:
     ctes, rows = [], []
     for n in range(25):
-        o = nation_report(n).normalise(TODAY)
+        o = settled(nation_report(n), TODAY)
         ctes.append(report(o, f"r{n}_"))
         rows.append(f"SELECT CAST({o.report_id} AS BIGINT) AS report_id, * FROM r{n}_all_totals")
     ctes.append("every AS (" + "\nUNION ALL BY NAME ".join(rows) + ")")
@@ -337,7 +336,7 @@ FROM item JOIN account c ON c.id = account_id JOIN (
         "opening_per_object": statement(
             "SELECT k AS report_object_id, CAST(sum(balance) AS DOUBLE) AS balance FROM opening GROUP BY k",
             report(general)),
-        **{name: lines_sql(o.normalise(TODAY)) for name, o in CASES.items()},
+        **{name: lines_sql(_case(name)) for name in CASES},
         **{f"{name}_joined": lines_sql(_case(name)) for name in JOINED},
         "object_totals": statement(
             shown(["report_object_id", *amounts, "cumul_balance"], "totals"), report(general)),
