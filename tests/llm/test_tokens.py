@@ -39,6 +39,7 @@ def test_widths_are_of_least_size():
 def test_encoder_equals_the_library(library):
     encoder = tokens.load_words(PATH)
     texts = [None, "", " ", "\n", "A'S don't İI ẖ H̱ <|endoftext|> x<|ENDOFTEXT|>y\x1cz \t é É",
+             "a!. b", "a . b", "x_, y", "1. 2, é, Ü. ", " . ,", "it's, don't.", "A.B. c,d, .. e",
              "x" * 3000, "a.b,c!!\n\nd", "Σς ΑΣ 12 345 ２"]
     for _ in range(2):  # the second time from the table
         got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_batch(texts)]
