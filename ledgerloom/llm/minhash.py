@@ -12,12 +12,14 @@ probability (1 - threshold) ** TREES.
 First, in every node of any size each element is held against the node's first element only, and takes the
 best two of its partners; the links found make components. Then only nodes in which different
 components meet are branched and, once small, compared exhaustively, each pair of elements of different
-components. Nodes that no token splits any more hold mostly one component; elements of the others
-are compared with all blocks of the node. So a large group of near copies costs one comparison per
-element and node, and no link between different components is left out.
+components. Large nodes of which a fifth is one component, which tokens don't split, are compared in
+pairs of blocks. Comparing gives elements, not pairs: those that look similar to one of another
+component come to their node with their full sets, all pairs of different components are tested there,
+and the links that join components are kept. So rows stay in proportion to the elements of nodes,
+however similar a group is, and no link between different components is left out.
 
-Every candidate is confirmed on the full sets: the sets of the members come to their partner, spread over
-several tasks where a partner has many.
+Links of the first round are confirmed on full sets that come to their partner, spread over several
+tasks where a partner has many.
 
 Defined results: texts without words have an empty set and are linked with nothing; fewer words than
 a shingle has make one shingle; null ids come first (component_id is null where only they are
@@ -45,7 +47,7 @@ TOKENS = 32
 SKETCH = 256
 BRANCHES = 2
 DEPTH = 5
-NODE = 128
+NODE = 4096
 SAFE = 0.93
 DEVIATIONS = 4.5
 SALT = 64
@@ -199,38 +201,98 @@ def estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ka", "kb").mapInArrow(rows, "a binary, b binary, estimate double")
 
 
-def compare_nodes(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b) of one node and different components with similar sketches; rows: node, g, root, sketch."""
-    parts = rows.repartition("node").sortWithinPartitions("node")
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one node after the other, from batches sorted by node; single rows are left out."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        keys = np.array(table.column("node"))
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+        for start, stop in zip(edges[:-1], edges[1:]):
+            if stop - start > 1:
+                yield table.slice(start, stop - start)
+        rest = table.slice(edges[-1])
+    if rest is not None and rest.num_rows > 1:
+        yield rest
 
+
+def _numbered(table: pa.Table) -> np.ndarray:
+    return np.array(table.column("root").dictionary_encode().combine_chunks().indices, np.int64)
+
+
+def suspects(rows: DataFrame, least: float) -> DataFrame:
+    """(node, g, root) of the elements that look similar to one of another component in their node.
+
+    rows: node, g, root, half, sketch. Elements of halves 0 and 1 are held against each other, those
+    of half 2 against all of the node.
+    """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def node(table: pa.Table) -> pa.RecordBatch:
-            g, root = table.column("g").to_pylist(), np.array(
-                table.column("root").dictionary_encode().combine_chunks().indices)
+        enough = (least * 15 / 16 + 1 / 16) * SKETCH
+        for table in _groups(batches):
+            root, half = _numbered(table), np.array(table.column("half"))
             k = _unpacked(table.column("sketch").to_pylist())
+            seen = np.zeros(len(root), bool)
+            for i in range(len(root) - 1):
+                other = np.flatnonzero((root[i + 1:] != root[i]) & (
+                    (half[i + 1:] != half[i]) | (half[i] == 2))) + i + 1
+                close = other[(k[other] == k[i]).sum(1) >= enough]
+                if len(close):
+                    seen[i] = True
+                    seen[close] = True
+            if seen.any():
+                yield from table.select(["node", "g", "root"]).filter(pa.array(seen)).to_batches()
+    return (rows.repartition("node").sortWithinPartitions("node")
+            .select("node", "g", "root", "half", "sketch")
+            .mapInArrow(compare, "node long, g binary, root binary"))
+
+
+def intersections(sets: list[np.ndarray], rows: slice) -> np.ndarray:
+    """Sizes of the intersections of some of the sets with all of them."""
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    count = np.bincount(column)
+    shared = count[column] > 1
+    column, owner = column[shared], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(range(*rows.indices(len(sets)))), len(sets)), np.float32)
+    kinds = np.cumsum(np.append(0, column[1:] != column[:-1])) if len(column) else column
+    for at in range(0, int(kinds[-1]) + 1 if len(kinds) else 0, 512):
+        a, b = np.searchsorted(kinds, [at, at + 512])
+        matrix = np.zeros((len(sets), 512), np.float32)
+        matrix[owner[a:b], kinds[a:b] - at] = 1
+        out += matrix[rows] @ matrix.T
+    return out
+
+
+def confirm_nodes(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each node, confirmed on full sets.
+
+    rows: node, g, root, shingles. Every pair of different components is tested until they are joined;
+    links within what is joined already are not needed, so a node gives fewer links than elements.
+    """
+    def confirm_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            g, root = table.column("g").to_pylist(), _numbered(table)
+            sets = [_set(x) for x in table.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in sets])
             a, b = [], []
-            for i in range(len(g) - 1):
-                other = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
-                close = other[_similarity((k[other] == k[i]).sum(1)) >= least]
-                for j in close.tolist():
-                    if g[i] != g[j]:
-                        a.append(max(g[i], g[j]))
-                        b.append(min(g[i], g[j]))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())],
-                                              ["a", "b"])
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            keys = np.array(table.column("node"))
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
-            for start, stop in zip(edges[:-1], edges[1:]):
-                if stop - start > 1:
-                    yield node(table.slice(start, stop - start))
-            rest = table.slice(edges[-1])
-        if rest is not None and rest.num_rows > 1:
-            yield node(rest)
-    return parts.select("node", "g", "root", "sketch").mapInArrow(compare, "a binary, b binary")
+            for at in range(0, len(g), 512):
+                both = intersections(sets, slice(at, at + 512))
+                mine = sizes[at:at + 512, None]
+                linked = 100 * both >= percent * (mine + sizes[None, :] - both)
+                for i in np.flatnonzero((linked & (root[at:at + 512, None] != root[None, :])).any(1)):
+                    for j in np.flatnonzero(linked[i]).tolist():
+                        if root[at + i] != root[j]:
+                            a.append(g[at + i])
+                            b.append(g[j])
+                            root[root == root[at + i]] = root[j]
+            if a:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    return (rows.repartition("node").sortWithinPartitions("node")
+            .select("node", "g", "root", "shingles").mapInArrow(confirm_rows, "a binary, b binary"))
 
 
 def _mixed_nodes(rows: DataFrame) -> DataFrame:
@@ -251,40 +313,47 @@ def _branch(rows: DataFrame) -> DataFrame:
         "g", "root", "tokens")
 
 
-def _blocks_of_large(rows: DataFrame) -> DataFrame:
-    """Nodes that stay large: blocks of elements, each with all elements outside the main component."""
-    counts = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("node").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-    rows = rows.join(main, "node").withColumn("blocks", F.ceil(F.col("n") / NODE).cast("int"))
-    own = F.pmod(F.xxhash64("g"), F.col("blocks").cast("bigint")).cast("int")
-    inside = rows.where("root = main").withColumn("block", own)
-    outside = rows.where("root <> main").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return inside.unionByName(outside).select(
-        F.xxhash64("node", "block").alias("node"), "g", "root")
+def _dense(rows: DataFrame) -> DataFrame:
+    """rows with `dense`: whether a fifth of the node is one component, which tokens won't split."""
+    main = (rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("node").agg(F.max("c").alias("c")))
+    return rows.join(main, "node").withColumn("dense", 5 * F.col("c") >= F.col("n")).drop("c")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Large nodes as pairs of blocks of NODE elements: every two elements meet in one of them."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / NODE).cast("int")).withColumn(
+        "own", F.pmod(F.xxhash64("g"), F.col("blocks").cast("bigint")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    half = (F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0)
+            .otherwise(1))
+    return rows.select(F.xxhash64("node", F.least("own", "with"), F.greatest("own", "with"))
+                       .alias("node"), "g", "root", half.alias("half"))
 
 
-def candidate_pairs(elements: DataFrame, branches: DataFrame, least: float) -> DataFrame:
-    """Pairs of elements of different components that share a node and have similar sketches.
+def compared_nodes(elements: DataFrame, branches: DataFrame) -> DataFrame:
+    """(node, g, root, half): nodes in which elements of different components are to be compared.
 
-    elements: g, root, tokens, sketch; branches: node, g at the roots of the trees.
+    elements: g, root, tokens; branches: node, g at the roots of the trees.
     """
+    def ready(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("n") <= NODE).select("node", "g", "root", F.lit(2).alias("half"))
+
     rows = save(_mixed_nodes(branches.join(elements.select("g", "root", "tokens"), "g")))
-    small, large = [rows.where(F.col("n") <= NODE).select("node", "g", "root")], None
-    for _ in range(DEPTH):
+    parts = [ready(rows)]
+    for depth in range(DEPTH + 1):
         large = rows.where(F.col("n") > NODE)
         if large.isEmpty():
-            large = None
             break
-        rows = save(_mixed_nodes(_branch(large)))
-        small.append(rows.where(F.col("n") <= NODE).select("node", "g", "root"))
-        large = rows.where(F.col("n") > NODE)
-    if large is not None and not large.isEmpty():
-        small.append(_blocks_of_large(large))
-    nodes = small[0]
-    for more in small[1:]:
+        large = save(_dense(large))
+        stays = F.col("dense") | F.lit(depth == DEPTH)
+        parts.append(_block_pairs(large.where(stays)))
+        rows = save(_mixed_nodes(_branch(large.where(~stays))))
+        parts.append(ready(rows))
+    nodes = parts[0]
+    for more in parts[1:]:
         nodes = nodes.unionByName(more)
-    return compare_nodes(nodes.join(elements.select("g", "sketch"), "g"), least).distinct()
+    return nodes
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
@@ -325,10 +394,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     # second round: all pairs of different components that share a node
     rooted = save(elements.join(roots.withColumnRenamed("node", "g"), "g", "left")
                   .withColumn("root", F.coalesce("root", "g")))
-    done = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = candidate_pairs(rooted, branches.select("node", "g"), least).join(
-        done, ["a", "b"], "left_anti")
-    links = links.unionByName(confirm(save(more), sets, percent))
+    nodes = compared_nodes(rooted, branches.select("node", "g"))
+    close = save(suspects(nodes.join(rooted.select("g", "sketch"), "g"), least))
+    more = confirm_nodes(close.join(sets, "g"), percent)
+    links = links.unionByName(save(more))
     roots = connected_components(links)
     found = elements.select("g", "doc").join(roots.withColumnRenamed("node", "g"), "g", "left")
     found = found.withColumn("root", F.coalesce("root", "g"))

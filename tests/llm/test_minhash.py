@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import odd_documents, sentence
 
@@ -84,6 +85,15 @@ def test_odd_documents(odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_intersections():
+    rnd = random.Random(3)
+    sets = [np.unique(np.array(rnd.sample(range(900), rnd.randint(1, 700)), np.uint64))
+            for _ in range(40)]
+    got = minhash.intersections(sets, slice(5, 25))
+    assert got.astype(int).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[5:25]]
+    assert minhash.intersections([sets[0]], slice(0, 1)).tolist() == [[0.0]]
+
+
 def test_components(spark):
     links = [(i + 1, i) for i in range(0, 60)] + [(100, 105), (105, 103), (200, 200), (7, 3)]
     got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
