@@ -30,6 +30,7 @@ no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,7 +137,8 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
                 sketches.append(sketch_of(least))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("h"), pa.array(counts, pa.int64()),
-                 pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
+                 pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int32())),
+                 pa.array(sketches, pa.binary())],
                 _SKETCHED.names)
     return docs.mapInArrow(rows, _SKETCHED)
 
@@ -158,6 +160,14 @@ def needed_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
             .agg(F.first("shingles").alias("shingles")))
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df as a table bucketed by a column, so that joins on it don't shuffle it; and its name."""
+    spark, name = df.sparkSession, f"corpus_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").bucketBy(parts, key).saveAsTable(name)
+    return spark.table(name), name
+
+
 def _set(packed: bytes) -> np.ndarray:
     out = np.zeros((len(packed) // 5, 8), np.uint8)
     out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
@@ -224,8 +234,9 @@ def _numbered(table: pa.Table) -> np.ndarray:
 def suspects(rows: DataFrame, least: float) -> DataFrame:
     """(node, g, root) of the elements that look similar to one of another component in their node.
 
-    rows: node, g, root, half, sketch. Elements of halves 0 and 1 are held against each other, those
-    of half 2 against all of the node.
+    rows: node, g, root, half, t, first, whole, sketch. Elements of halves 0 and 1 are held against
+    each other, those of half 2 against all of the node. A pair is left to the first tree in which
+    its elements share a root (first has their tokens) that is compared whole (a bit per tree).
     """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enough = (least * 15 / 16 + 1 / 16) * SKETCH
@@ -233,17 +244,22 @@ def suspects(rows: DataFrame, least: float) -> DataFrame:
             root, half = _numbered(table), np.array(table.column("half"))
             k = _unpacked(table.column("sketch").to_pylist())
             seen = np.zeros(len(root), bool)
+            tree = table.column("t")[0].as_py()
+            first = np.array(table.column("first").to_pylist(), np.int64)[:, :tree]
+            whole = (np.array(table.column("whole"))[:, None] >> np.arange(tree) & 1) > 0
             for i in range(len(root) - 1):
                 other = np.flatnonzero((root[i + 1:] != root[i]) & (
                     (half[i + 1:] != half[i]) | (half[i] == 2))) + i + 1
                 close = other[(k[other] == k[i]).sum(1) >= enough]
+                earlier = (first[close] == first[i]) & whole[close] & whole[i]
+                close = close[~earlier.any(1)]
                 if len(close):
                     seen[i] = True
                     seen[close] = True
             if seen.any():
                 yield from table.select(["node", "g", "root"]).filter(pa.array(seen)).to_batches()
     return (rows.repartition("node").sortWithinPartitions("node")
-            .select("node", "g", "root", "half", "sketch")
+            .select("node", "g", "root", "half", "t", "first", "whole", "sketch")
             .mapInArrow(compare, "node long, g binary, root binary"))
 
 
@@ -310,7 +326,7 @@ def _branch(rows: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64("node", "choice"), F.lit(deep)) + F.lit(TREES + 1)
     return rows.withColumn("choice", choice).select(
         F.xxhash64("node", "choice", F.element_at("tokens", place.cast("int"))).alias("node"),
-        "g", "root", "tokens")
+        "g", "root", "tokens", "t")
 
 
 def _dense(rows: DataFrame) -> DataFrame:
@@ -328,19 +344,20 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     half = (F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0)
             .otherwise(1))
     return rows.select(F.xxhash64("node", F.least("own", "with"), F.greatest("own", "with"))
-                       .alias("node"), "g", "root", half.alias("half"))
+                       .alias("node"), "g", "root", half.alias("half"), "t")
 
 
 def compared_nodes(elements: DataFrame, branches: DataFrame) -> DataFrame:
-    """(node, g, root, half): nodes in which elements of different components are to be compared.
+    """(node, g, root, half, t, whole): nodes in which elements of different components are compared.
 
-    elements: g, root, tokens; branches: node, g at the roots of the trees.
+    elements: g, root, tokens; branches: node, g, t (the tree) at the roots of the trees. whole has a
+    bit for each tree in which the element's root node is compared as it is, not branched.
     """
     def ready(rows: DataFrame) -> DataFrame:
-        return rows.where(F.col("n") <= NODE).select("node", "g", "root", F.lit(2).alias("half"))
+        return rows.where(F.col("n") <= NODE).select("node", "g", "root", F.lit(2).alias("half"), "t")
 
     rows = save(_mixed_nodes(branches.join(elements.select("g", "root", "tokens"), "g")))
-    parts = [ready(rows)]
+    parts, roots = [ready(rows)], [ready(rows).select("g", "t")]
     for depth in range(DEPTH + 1):
         large = rows.where(F.col("n") > NODE)
         if large.isEmpty():
@@ -348,12 +365,17 @@ def compared_nodes(elements: DataFrame, branches: DataFrame) -> DataFrame:
         large = save(_dense(large))
         stays = F.col("dense") | F.lit(depth == DEPTH)
         parts.append(_block_pairs(large.where(stays)))
+        if depth == 0:
+            roots.append(large.where(stays).select("g", "t"))
         rows = save(_mixed_nodes(_branch(large.where(~stays))))
         parts.append(ready(rows))
-    nodes = parts[0]
+    nodes, whole = parts[0], roots[0]
     for more in parts[1:]:
         nodes = nodes.unionByName(more)
-    return nodes
+    for more in roots[1:]:
+        whole = whole.unionByName(more)
+    bits = whole.groupBy("g").agg(F.expr("bit_or(shiftleft(1, t))").alias("whole"))
+    return nodes.join(bits, "g", "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
@@ -372,13 +394,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc"),
         F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
     branches = elements.select("g", "doc", F.posexplode(F.slice("tokens", 1, TREES)).alias("t", "x"))
-    branches = branches.select(F.xxhash64("t", "x").alias("node"), "g", "doc")
+    branches = branches.select(F.xxhash64("t", "x").alias("node"), "g", "doc", "t")
     shared = (branches.groupBy("node")
               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "g")).alias("lead"))
               .where("n > 1").select("node", "lead.g", "lead.doc"))
     branches = save(branches.drop("doc").join(
         shared.select("node", F.col("g").alias("lead"), F.col("doc").alias("lead_doc")), "node"))
-    sets = save(needed_sets(docs, branches.select("g").distinct(), shingle))
+    sets, name = bucketed(needed_sets(docs, branches.select("g").distinct(), shingle), "g")
     # first round: each element with the first of its nodes, the best two
     stars = branches.where("g <> lead").select(
         F.col("g").alias("a"), F.col("lead").alias("b"), F.col("lead_doc").alias("doc")).distinct()
@@ -394,10 +416,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     # second round: all pairs of different components that share a node
     rooted = save(elements.join(roots.withColumnRenamed("node", "g"), "g", "left")
                   .withColumn("root", F.coalesce("root", "g")))
-    nodes = compared_nodes(rooted, branches.select("node", "g"))
-    close = save(suspects(nodes.join(rooted.select("g", "sketch"), "g"), least))
+    nodes = compared_nodes(rooted, branches.select("node", "g", "t"))
+    looks = rooted.select("g", "sketch", F.slice("tokens", 1, TREES).alias("first"))
+    close = save(suspects(nodes.join(looks, "g"), least))
     more = confirm_nodes(close.join(sets, "g"), percent)
     links = links.unionByName(save(more))
+    docs.sparkSession.sql(f"DROP TABLE {name}")
     roots = connected_components(links)
     found = elements.select("g", "doc").join(roots.withColumnRenamed("node", "g"), "g", "left")
     found = found.withColumn("root", F.coalesce("root", "g"))
