@@ -222,8 +222,9 @@ def _split_by(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(bucket[a]), slice(a, b)
 
 
-def _chunk_segments(m: Method, table: pa.Table) -> tuple[Segments, np.ndarray, np.ndarray]:
-    """Segments of a chunk, its symbols, and the order of its rows."""
+def _chunk_segments(m: Method, table: pa.Table
+                    ) -> tuple[Segments, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of a chunk, its symbols, the order of its rows, and each row's first symbol."""
     values, first = m.symbols(*text_buffer(table.column("text")))
     found = segments(values, first, m.window, m.gram)
     return found, values, np.asarray(table.column("ord")), first

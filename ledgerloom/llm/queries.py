@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    bpe, decontaminate, minhash, oracle, quality, rlz, sharding, suffix_dedup, surrogates, tokens, warc)
+    bpe, decontaminate, minhash, oracle, quality, rlz, sharding, suffix_dedup, surrogates, tokens,
+    warc)
 from ledgerloom.llm.common import read
 
 
@@ -62,8 +63,10 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_isolation_forest, op3_surrogates,
-                            op4_relative_lempel_ziv, op5_sharded_warc, op6_suffix_sort,                            op7_rendezvous,                            op8_directly_addressable, op9_chosen_path, op10_bpe_transducer)}
+    f.__name__: f for f in (
+        op1_decontamination, op2_isolation_forest, op3_surrogates, op4_relative_lempel_ziv,
+        op5_sharded_warc, op6_suffix_sort, op7_rendezvous, op8_directly_addressable,
+        op9_chosen_path, op10_bpe_transducer)}
 
 ORACLE: dict[str, str] = {
     "op1_decontamination": oracle.DECONTAMINATION,
