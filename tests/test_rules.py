@@ -7,11 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from handmade import (
-    BANKACC, COMPACTED, EXPENSE, OTHER_REC, RECEIVABLE, REVENUE, UNAFFECTED, YEAR, d, make)
+    BANKACC, COMPACTED, OTHER_REC, RECEIVABLE, UNAFFECTED, YEAR, d, make)
 from ledgerloom import (
     ReportOptions, aged_balance, analytic_ledger, general_ledger, journal_ledger, ledger,
     open_ledger, partner_ledger, read_store, run_trial_balances, trial_balance, write_tables)
-from ledgerloom.operators.lines import detail_lines
 from ledgerloom.operators.opening import opening, openings, unaffected_earnings
 from ledgerloom.operators.running import ID_BITS, running_balance
 from ledgerloom.operators.scan import account_group_subtree, eligible_partners, select_accounts
