@@ -26,7 +26,7 @@ from ledgerloom.llm.common import BYTE_VALUES
 from ledgerloom.llm.suffix_sort import Suffixes, aligned_order, block_windows
 
 WINDOW = 50
-GRAM = 16
+GRAM = 22
 
 
 def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
