@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,7 @@ RANK_BITS = 512
 END_ID = 2
 FILE_TEXT_BYTES = 64 << 20
 CODE_IDS = 1 << 18
+_MARKS = re.compile(r"[\W_][.,] ")
 
 
 # -- the codes ---------------------------------------------------------------------------------------
@@ -175,7 +177,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table, self.core = Remembered(200_000), Remembered(200_000)
+        self.table = Remembered(400_000)
         self.marks = {m: struct.pack(f"<{len(i)}I", *i)
                       for m, i in zip(".,", self._library([".", ","]), strict=True)}
         vocab = self.tokenizer.get_vocab()
@@ -190,12 +192,29 @@ class WordEncoder:
         return [e.ids for e in
                 self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, text: str) -> list[str]:
+        """Parts of the text whose ids make up its ids, in as few different forms as possible.
+
+        Lower case is what the normaliser makes of Latin-1 texts anyway; a mark after a letter or digit
+        is a match of its own, if no other mark stands before it.
+        """
+        text = text.replace("\n", " ")
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.split(" ")
+            text = text.lower()
+            if not _MARKS.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         table = self.table
         if len(table.young) >= table.size:
             table.old, table.young = table.young, {}
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [self._parts(t or "") for t in texts]
         missing = set(chain.from_iterable(split)) - table.young.keys()
         known = {w: v for w in missing if (v := table.old.get(w)) is not None}
         table.young |= known
@@ -211,17 +230,17 @@ class WordEncoder:
 
         The split pattern always ends a match between a letter and a mark, so their ids add up.
         """
-        plain, core = {}, self.core
+        plain = {}
         for w in words:
             p = w.lower() if w and max(w) < "\u0300" and "<|" not in w else w
-            mark = p[-1:] if p[-1:] in self.marks and p[-2:-1].isalpha() else ""
+            mark = p[-1:] if p[-1:] in self.marks and p[-2:-1].lower().isalpha() else ""
             plain[w] = (p[:-1], mark) if mark else (p, mark)
-        if len(core.young) >= core.size:
-            core.old, core.young = core.young, {}
+        ids_of = {}
         letters, other = [], []
-        for p in {p for p, _ in plain.values()} - core.young.keys():
-            if (v := core.old.get(p)) is not None:
-                core.young[p] = v
+        for p in {p for p, _ in plain.values()}:
+            value = self.table.young.get(p) or self.table.old.get(p)
+            if value is not None:
+                ids_of[p] = value
             else:
                 (letters if p.isalpha() else other).append(p)
         # a word of letters only is one match, and the last of its tokens ends a word
@@ -234,13 +253,13 @@ class WordEncoder:
                 continue
             packed, ends = ids.tobytes(), (ends * 4).tolist()
             for p, a, b in zip(part, [0, *ends], ends):
-                core.young[p] = packed[a:b]
+                ids_of[p] = packed[a:b]
         for at in range(0, len(other), 4096):
             part = other[at:at + 4096]
             for p, i in zip(part, self._library(part), strict=True):
-                core.young[p] = struct.pack(f"<{len(i)}I", *i)
+                ids_of[p] = struct.pack(f"<{len(i)}I", *i)
         for w, (p, mark) in plain.items():
-            self.table.young[w] = core.young[p] + self.marks[mark] if mark else core.young[p]
+            self.table.young[w] = ids_of[p] + self.marks[mark] if mark else ids_of[p]
 
 
 @lru_cache(maxsize=2)
