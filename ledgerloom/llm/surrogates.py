@@ -40,10 +40,14 @@ SYLLABLES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+# a secret's name and separator, and its value: up to the closing quote, or else to a delimiter
+_NAMED = (r"(?i:pass(?:word|wd|phrase)|pwd|secret(?:[_-]?key)?|token|(?:api|access|auth|private)[_-]?key)"
+          r"[\"']?[ \t]*+(?:=>|[=:]=?)[ \t]*+")
+_VALUES = (r"\"(?:[^\"\\\r\n]|\\.){6,128}+\"", r"'(?:[^'\\\r\n]|\\.){6,128}+'",
+           r"[\"']?[^\s\"'<>,;]{6,128}")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?:password|passwd|secret|api_key|apikey|access_token|auth_token)[=:]"
-              r"[^\s\"'<>,;]{6,128}",
+    "secret": f"{_NAMED}(?:{'|'.join(_VALUES)})",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})"
            r"(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -56,7 +60,7 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}{{1,40}}(?: \p{{Lu}}\p{{L}}{{1,40}})?(?!\p{{L}})",
 }
 # a look at the next character keeps most places of a text from trying a kind at all
-_BEGINS = {"email": "A-Za-z0-9._%+-", "secret": "psa", "key": "Ags", "iban": "A-Z", "ip": "0-9",
+_BEGINS = {"email": "A-Za-z0-9._%+-", "secret": "PpSsTtAa", "key": "Ags", "iban": "A-Z", "ip": "0-9",
            "card": "0-9", "ssn": "0-9", "phone": "0-9(+", "name": "".join(sorted(
                {t[0] for ts in TITLES.values() for t in ts}))}
 PATTERN = "|".join(f"(?=[{_BEGINS[k]}])(?:{p})" for k, p in PATTERNS.items())
@@ -105,7 +109,9 @@ def parts_of(mention: Column) -> Column:
     last = _part(F.concat(F.lit("family:"), _script(family)), F.lower(family))
     first = _part(F.concat(F.lit("given:"), _script(given), F.lit(":"), gender), F.lower(given))
     out = F.when(_is(mention, "email"), F.array(_part("email", F.lower(mention))))
-    out = out.when(_is(mention, "secret"), F.array(_part("secret", _value(mention))))
+    value = _value(mention)
+    out = out.when(_is(mention, "secret"), F.array(_part(
+        F.when(_is(value, "key"), "key").otherwise("secret"), value)))
     out = out.when(_is(mention, "key"), F.array(_part("key", mention)))
     out = out.when(_is(mention, "ip"), F.array(_part("ip", mention)))
     for kind in ("card", "ssn", "phone"):
@@ -118,8 +124,16 @@ def parts_of(mention: Column) -> Column:
 
 
 def _value(secret: Column) -> Column:
-    """What stands after the name of a secret."""
-    return F.regexp_extract(secret, "^[^=:]*[=:](.*)$", 1)
+    """What stands after the name of a secret, without quotes."""
+    value = F.regexp_replace(secret, f"^{_NAMED}", "")
+    return F.regexp_replace(value, r"(?s)^([\"'])(.*?)\1?$", "$2")
+
+
+def _around(secret: Column) -> tuple[Column, Column]:
+    """What stands before and after the value of a secret."""
+    n = F.length(_value(secret))
+    head = F.regexp_extract(secret, f"^({_NAMED}[\"']?)", 1)
+    return head, secret.substr(F.length(head) + n + 1, F.length(secret))
 
 
 # -- surrogates --------------------------------------------------------------------------------------
@@ -235,13 +249,13 @@ def write_mention(mention: Column, surrogates: Column) -> Column:
             return F.when(c.rlike(pattern), only.substr(seen + 1, F.lit(1))).otherwise(c)
         return F.array_join(F.transform(F.split(mention, ""), one), "")
 
+    before, after = _around(mention)
     title = F.regexp_extract(mention, rf"^((?:{_TITLE})\.? )", 1)
     names = F.array_join(F.transform(surrogates, F.initcap), " ")
     return (F.when(_is(mention, "email") | _is(mention, "key") | _is(mention, "ip"), only)
             .when(_is(mention, "card") | _is(mention, "ssn") | _is(mention, "phone"), fill("[0-9]"))
             .when(_is(mention, "iban"), fill(letters))
-            .when(_is(mention, "secret"),
-                  F.concat(F.regexp_extract(mention, "^([^=:]*[=:])", 1), only))
+            .when(_is(mention, "secret"), F.concat(before, only, after))
             .when(_is(mention, "name"), F.concat(title, names)).otherwise(only))
 
 
