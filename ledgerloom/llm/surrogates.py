@@ -9,7 +9,8 @@ in their own format: digits replace digits and letters replace letters of the sa
 keep their check digit valid, names follow the title's gender and their own script.
 
 All work is DataFrame functions; there is no UDF. Only texts with a mention are shuffled, joined with
-their replacements by the text's digest. The number of rounds of drawing depends on collisions only.
+their replacements by the text's digest. The number of rounds of drawing depends on collisions only;
+a form with too few values left is lengthened, so that drawing always ends.
 
 Defined results: a null text stays null and an empty one empty, with 0 entities; texts without a
 mention stay as they are; repeated rows are replaced alike; columns of documents pass through; a
@@ -18,6 +19,8 @@ new column whose name is taken gets underscores before it.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -25,7 +28,8 @@ from pyspark.sql import window as W
 from ledgerloom.llm.common import free_name, save
 
 KEY = "example key; set your own"
-MAX_ROUNDS = 30
+# after so many draws in the mention's own form each further draw is one character longer
+SAME_FORM = 6
 
 # fixed values: titles, with the gender they tell
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"),
@@ -145,16 +149,35 @@ def _number(key: str, kind: Column, canon: Column, attempt: Column, place: Colum
     return F.conv(F.substring(F.sha2(message, 256), 1, 7), 16, 10).cast("int")
 
 
+def _of(alphabet: str, number: Column) -> Column:
+    return F.substring(F.lit(alphabet), F.pmod(number, F.lit(len(alphabet))) + 1, F.lit(1))
+
+
 def _letters(text: Column, number) -> Column:
-    """Same classes, other characters; number gives the keyed number of a place."""
+    """Same classes, other characters; number gives the keyed number of a place.
+
+    Marks that divide a text stay, unless it has nothing else.
+    """
+    filled = text.rlike(r"[\p{L}\p{N}]")
+
     def one(c: Column, i: Column) -> Column:
         def of(alphabet: str) -> Column:
-            return F.substring(F.lit(alphabet), F.pmod(number(i), F.lit(len(alphabet))) + 1, F.lit(1))
-        return (F.when(c.rlike("[0-9]"), of("0123456789")).when(c.rlike("[A-Z]"), of(_UPPER))
-                .when(c.rlike("[a-z]"), of(_UPPER.lower())).otherwise(c))
+            return _of(alphabet, number(i))
+        return (F.when(c.rlike("[0-9]"), of(_DIGITS)).when(c.rlike("[A-Z]"), of(_UPPER))
+                .when(c.rlike("[a-z]"), of(_UPPER.lower()))
+                .when(filled & c.rlike(r"[\s\\\p{Punct}&&[^*#]]"), c)
+                .when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), of(_CYRILLIC))
+                .when(c.rlike(r"\p{IsCyrillic}"), of(_CYRILLIC.lower()))
+                .when(c.rlike(r"[\p{IsGreek}&&\p{Lu}]"), of(_GREEK))
+                .when(c.rlike(r"\p{IsGreek}"), of(_GREEK.lower()))
+                .when(c.rlike(r"\p{N}"), of(_DIGITS)).when(c.rlike(r"\p{Lu}"), of(_UPPER))
+                .otherwise(of(_UPPER.lower())))
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+_DIGITS = "0123456789"
+_CYRILLIC = "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
+_GREEK = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -172,7 +195,7 @@ def _check_digit(digits: Column) -> Column:
 
 
 def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate's canonical form at an attempt."""
+    """The surrogate's canonical form at an attempt; from SAME_FORM on it grows with the attempt."""
     def number(i: Column) -> Column:
         return _number(key, kind, canon, attempt, i)
 
@@ -183,28 +206,35 @@ def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         body = F.transform(places, lambda i: F.element_at(table, F.pmod(number(i), F.lit(16)) + 1))
         return F.concat(F.array_join(body, ""), F.lit(endings[gender]))
 
+    extra = F.greatest(attempt - (SAME_FORM - 1), F.lit(0))
+
+    def more(alphabet: str) -> Column:
+        places = F.slice(F.sequence(F.lit(1), extra + 1), F.lit(1), extra)
+        return F.array_join(F.transform(places, lambda i: _of(alphabet, number(-i))), "")
+
     local = F.regexp_extract(canon, "^(.*)@", 1)
     domain = F.regexp_extract(canon, "@(.*)$", 1)
     host = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256), 1, 8)
     plain = _letters(canon, number)
     swapped = F.concat(F.substring(canon, 1, 1), plain.substr(F.lit(2), F.length(canon)))
-    card = swapped.substr(F.lit(1), F.length(canon) - 1)
-    octets = F.transform(F.sequence(F.lit(1), F.lit(4)),
+    card = F.concat(swapped.substr(F.lit(1), F.length(canon) - 1), more(_DIGITS))
+    octets = F.transform(F.sequence(F.lit(1), extra + 4),
                          lambda i: (F.pmod(number(i), F.lit(254)) + 1).cast("string"))
     prefix = F.regexp_extract(canon, "^(AKIA|ghp_|sk-)", 1)
-    out = (F.when(kind == "email", F.concat(_letters(local, number), F.lit("@m"), host,
-                                            F.lit(".example.com")))
+    out = (F.when(kind == "email", F.concat(_letters(local, number), more(_UPPER.lower()),
+                                            F.lit("@m"), host, F.lit(".example.com")))
            .when(kind == "ip", F.array_join(octets, "."))
            .when(kind == "card", F.concat(card, _check_digit(card)))
-           .when(kind.isin("ssn", "phone"), swapped)
-           .when(kind == "key", F.concat(prefix, plain.substr(F.length(prefix) + 1, F.length(canon))))
+           .when(kind.isin("ssn", "phone"), F.concat(swapped, more(_DIGITS)))
+           .when(kind == "key", F.concat(prefix, plain.substr(F.length(prefix) + 1, F.length(canon)),
+                                         more(_UPPER)))
            .when(kind == "iban", F.concat(F.substring(canon, 1, 2),
-                                          plain.substr(F.lit(3), F.length(canon)))))
+                                          plain.substr(F.lit(3), F.length(canon)), more(_DIGITS))))
     for script in SYLLABLES:
         out = out.when(kind == f"family:{script}", name(script, ""))
         for gender in "mf":
             out = out.when(kind == f"given:{script}:{gender}", name(script, gender))
-    return out.otherwise(plain)
+    return out.otherwise(F.concat(plain, more(_UPPER.lower())))
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -215,7 +245,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     entities = save(entities.select("type", "canon").distinct())
     real = entities.withColumnRenamed("canon", "surrogate")
     done, pending = None, entities
-    for attempt in range(MAX_ROUNDS):
+    for attempt in count():
         drawn = pending.withColumn(
             "surrogate", draw(F.col("type"), F.col("canon"), F.lit(attempt), key))
         first = F.row_number().over(W.Window.partitionBy("type", "surrogate").orderBy("canon")) == 1
@@ -234,7 +264,6 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         pending = drawn.where("NOT good").select("type", "canon")
         if pending.isEmpty():
             return done
-    raise RuntimeError("surrogates still collide; the space of a type is too small for its entities")
 
 
 def write_mention(mention: Column, surrogates: Column) -> Column:
@@ -243,11 +272,16 @@ def write_mention(mention: Column, surrogates: Column) -> Column:
     letters = "[A-Za-z0-9]"
 
     def fill(pattern: str) -> Column:
-        """Characters of the pattern are taken from the surrogate one after the other."""
+        """Characters of the pattern are taken from the surrogate one after the other.
+
+        What a longer surrogate has left comes at the end.
+        """
         def one(c: Column, i: Column) -> Column:
             seen = F.length(F.regexp_replace(mention.substr(F.lit(1), i), f"[^{pattern[1:]}", ""))
             return F.when(c.rlike(pattern), only.substr(seen + 1, F.lit(1))).otherwise(c)
-        return F.array_join(F.transform(F.split(mention, ""), one), "")
+        places = F.length(F.regexp_replace(mention, f"[^{pattern[1:]}", ""))
+        return F.concat(F.array_join(F.transform(F.split(mention, ""), one), ""),
+                        only.substr(places + 1, F.length(only)))
 
     before, after = _around(mention)
     title = F.regexp_extract(mention, rf"^((?:{_TITLE})\.? )", 1)

@@ -143,3 +143,20 @@ def test_every_secret_of_the_table(spark):
         for a, b in zip(olds, news, strict=True):
             assert pairs.setdefault(a, b) == b and a not in after[i]
     assert len(pairs) == len(set(pairs.values())) == 131 and not set(pairs) & set(pairs.values())
+
+
+def test_small_spaces_and_masked_secrets_end(spark):
+    """600 of 1,000 short phone numbers, all local parts of a domain, values without ASCII letters."""
+    texts = ([f"call +1{i} now" for i in range(100, 700)] + [f"mail {i}@mail.example.org now" for i in range(10)]
+             + ["password=********", "password=--------", "password=пароль", "PASSWORD=ΚΩΔΙΚΟΣ", "token=密码密码密码"])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in s.replace_pii(docs).collect()}
+    phones = [re.fullmatch(r"call \+1(\d{3,}) now", got[i])[1] for i in range(600)]
+    assert len(set(phones)) == 600 and not set(phones) & {str(i) for i in range(100, 700)}
+    mails = [re.fullmatch(r"mail (\w+)@m\w+\.example\.com now", got[i])[1] for i in range(600, 610)]
+    assert len(set(mails)) == 10
+    values = [re.fullmatch(r"(?i)password=(\w{7,8}|\w{6})", got[i])[1] for i in range(610, 614)]
+    assert not any(set(v) & set("*-") for v in values)
+    assert re.fullmatch("[а-я]{6}", values[2]) and values[2] != "пароль"
+    assert re.fullmatch("[Α-Ω]{7}", values[3]) and values[3] != "ΚΩΔΙΚΟΣ"
+    assert re.fullmatch("token=[a-z]{6}", got[614])
