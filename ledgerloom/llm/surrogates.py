@@ -1,7 +1,7 @@
 """PII surrogates: detected entities get keyed replacements of the same type, format, gender and script.
 
-One pattern finds all mentions. A mention has one or two parts with a canonical form (digits only for
-numbers, lower case for addresses, given and family name apart), so that mentions of one entity in
+One pattern finds all mentions. A mention has one or more parts with a canonical form (digits only for
+numbers, lower case for addresses, each given name and the family name apart), so that mentions of one entity in
 different formats stay one entity. Each distinct (type, canonical form) of the corpus draws a
 surrogate from a keyed hash; those that equal another's surrogate or a real entity of the corpus draw
 again, with the number of the attempt in the hash, until none collides. Mentions are then written
@@ -47,8 +47,10 @@ _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, rev
 # a secret's name and separator, and its value: up to the closing quote, or else to a delimiter
 _NAMED = (r"(?i:pass(?:word|wd|phrase)|pwd|secret(?:[_-]?key)?|token|(?:api|access|auth|private)[_-]?key)"
           r"[\"']?[ \t]*+(?:=>|[=:]=?)[ \t]*+")
-_VALUES = (r"\"(?:[^\"\\\r\n]|\\.){6,128}+\"", r"'(?:[^'\\\r\n]|\\.){6,128}+'",
-           r"[\"']?[^\s\"'<>,;]{6,128}")
+_VALUES = (r"\"(?:[^\"\\\r\n]|\\.){6,}+\"", r"'(?:[^'\\\r\n]|\\.){6,}+'",
+           r"[\"']?[^\s\"'<>,;]{6,}+")
+# a capitalised word with its hyphens and apostrophes, without the 's of a genitive
+_WORD = r"\p{Lu}(?:(?!['’]s(?!\p{L}))['’-]?[\p{L}\p{M}]++)++"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": f"{_NAMED}(?:{'|'.join(_VALUES)})",
@@ -61,7 +63,7 @@ PATTERNS = {
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)"
              r"|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)"
              r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}{{1,40}}(?: \p{{Lu}}\p{{L}}{{1,40}})?(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_WORD}(?: (?!(?:{_TITLE})(?!\p{{L}})){_WORD})*+",
 }
 # a look at the next character keeps most places of a text from trying a kind at all
 _BEGINS = {"email": "A-Za-z0-9._%+-", "secret": "PpSsTtAa", "key": "Ags", "iban": "A-Z", "ip": "0-9",
@@ -109,9 +111,10 @@ def parts_of(mention: Column) -> Column:
     title = F.regexp_extract(mention, rf"^({_TITLE})", 1)
     gender = F.when(title.isin(*TITLES["m"]), "m").otherwise("f")
     names = F.split(F.regexp_extract(mention, rf"^(?:{_TITLE})\.? (.*)$", 1), " ")
-    family, given = F.element_at(names, -1), F.element_at(names, 1)
+    family, given = F.element_at(names, -1), F.slice(names, 1, F.size(names) - 1)
     last = _part(F.concat(F.lit("family:"), _script(family)), F.lower(family))
-    first = _part(F.concat(F.lit("given:"), _script(given), F.lit(":"), gender), F.lower(given))
+    first = F.transform(given, lambda name: _part(
+        F.concat(F.lit("given:"), _script(name), F.lit(":"), gender), F.lower(name)))
     out = F.when(_is(mention, "email"), F.array(_part("email", F.lower(mention))))
     value = _value(mention)
     out = out.when(_is(mention, "secret"), F.array(_part(
@@ -122,8 +125,7 @@ def parts_of(mention: Column) -> Column:
         out = out.when(_is(mention, kind), F.array(_part(kind, _digits(mention))))
     out = out.when(_is(mention, "iban"),
                    F.array(_part("iban", F.regexp_replace(mention, " ", ""))))
-    out = out.when(_is(mention, "name"),
-                   F.when(F.size(names) == 2, F.array(first, last)).otherwise(F.array(last)))
+    out = out.when(_is(mention, "name"), F.concat(first, F.array(last)))
     return out.otherwise(F.array(_part("other", mention)))
 
 

@@ -160,3 +160,20 @@ def test_small_spaces_and_masked_secrets_end(spark):
     assert re.fullmatch("[а-я]{6}", values[2]) and values[2] != "пароль"
     assert re.fullmatch("[Α-Ω]{7}", values[3]) and values[3] != "ΚΩΔΙΚΟΣ"
     assert re.fullmatch("token=[a-z]{6}", got[614])
+
+
+def test_mentions_are_whole(spark):
+    long = "eyJ" + "aB3_" * 50
+    texts = [f"access_token={long}1 end", f"access_token={long}2 end", f'token = "{"x y" * 40000}" end',
+             "Mr John Michael Smith and Mrs Smith went", "Mrs Smith-Jones's car", "Mr O'Brien, Herr D’Arcy-Müller",
+             "Mrs Smith Mr Smith Frau Anna Maria Luise Smith"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_entities) for r in s.replace_pii(docs).collect()}
+    a, b = (re.fullmatch(r"access_token=([a-zA-Z]{3}([a-z][A-Z]\d_){50}\d) end", got[i][0])[1] for i in (0, 1))
+    assert a != b and long not in a + b
+    assert re.fullmatch(r'token = "([a-z] [a-z]+)( [a-z]+)*" end', got[2][0]) and got[2][1] == 1
+    m = re.fullmatch(r"Mr \w+ko \w+ko (\w+sen) and Mrs (\w+) went", got[3][0])
+    assert m and m[1] == m[2]
+    assert re.fullmatch(r"Mrs \w+sen's car", got[4][0])
+    assert re.fullmatch(r"Mr \w+sen, Herr \w+sen", got[5][0]) and got[5][1] == 2
+    assert re.fullmatch(rf"Mrs {m[1]} Mr {m[1]} Frau (\w+na ){{3}}{m[1]}", got[6][0]) and got[6][1] == 3
