@@ -66,3 +66,59 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+
+# crc32 is one step per bit; a window of 16 words recurs one period on in every run of 24 words or more
+RUNS = f"""
+WITH bits AS (
+  SELECT doc_id, list_concat([0], flatten(list_transform(range(1, len(s) + 1),
+    lambda i: [ascii(s[i]), -1, -1, -1, -1, -1, -1, -1, -1]))) AS b
+  FROM (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents)),
+sums AS (
+  SELECT doc_id, xor(list_reduce(b, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+    WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295), 4294967295) AS h
+  FROM bits),
+given AS (
+  SELECT doc_id, h, h // 10 AS g, len(w) AS n, w FROM (
+    SELECT doc_id, coalesce(regexp_extract_all(text, {_SPACED_WORDS}), []) AS w FROM documents)
+  JOIN sums USING (doc_id)),
+cut AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM given WHERE h % 10 = 0 AND n > 0),
+d AS (
+  SELECT doc_id, n, w FROM given WHERE h % 10 <> 0 OR n = 0
+  UNION ALL
+  SELECT doc_id, n, list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i
+    ELSE a + (i - a) % p END]) FROM cut),
+windows AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1:i + 16], ' ') AS win FROM (
+    SELECT doc_id, n, w, unnest(range(0, n - 15)) AS i FROM d WHERE n >= 24)),
+periods AS (
+  SELECT DISTINCT x.doc_id, y.i - x.i AS q FROM windows x JOIN windows y
+  ON x.doc_id = y.doc_id AND x.win = y.win AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+equal AS (
+  SELECT doc_id, q, i FROM (
+    SELECT doc_id, q, n, w, unnest(range(0, n - q)) AS i FROM periods JOIN d USING (doc_id))
+  WHERE w[i + 1] = w[i + q + 1]),
+stretches AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS size FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM equal)
+  GROUP BY doc_id, q, k),
+runs AS (
+  SELECT doc_id, s, size, min(q) AS q FROM stretches WHERE size >= 24 AND size >= 3 * q
+  GROUP BY doc_id, s, size),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs,
+    sha256(string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q)) AS runs_sha256
+  FROM runs GROUP BY doc_id),
+best AS (
+  SELECT doc_id, s AS start, size AS length, q AS period FROM runs r
+  WHERE NOT EXISTS (SELECT 1 FROM runs b WHERE b.doc_id = r.doc_id AND (b.size * r.q > r.size * b.q
+    OR (b.size * r.q = r.size * b.q AND (b.s < r.s OR (b.s = r.s AND b.q < r.q)))))),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + size)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS collapsed_sha256
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM d)
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+  1000 * length // period AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256,
+  coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
