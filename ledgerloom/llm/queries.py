@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    bpe, decontaminate, minhash, oracle, periods, quality, rlz, sharding, simhash, suffix_dedup,
-    surrogates, tokens, warc)
+    alignment, bpe, decontaminate, minhash, oracle, periods, quality, rlz, sharding, simhash,
+    suffix_dedup, surrogates, tokens, warc)
 from ledgerloom.llm.common import read
 
 
@@ -70,12 +70,18 @@ def op12_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_isolation_forest, op3_surrogates, op4_relative_lempel_ziv,
         op5_sharded_warc, op6_suffix_sort, op7_rendezvous, op8_directly_addressable,
         op9_chosen_path, op10_bpe_transducer, op11_lyndon_runs,
-        op12_pigeonring)}
+        op12_pigeonring, op13_merge_path)}
 
 ORACLE: dict[str, str] = {
     "op1_decontamination": oracle.DECONTAMINATION,
