@@ -1,5 +1,7 @@
 import hashlib
+from bisect import bisect_left
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
@@ -58,9 +60,9 @@ def plain_report(rows, libraries):
                     pairs.append((i, y[j][0]))
                 j += 1
         cuts = sorted({e for *_, e in x} & {e for *_, e in y})
-        groups = []
-        for s, e in zip([0, *cuts[:-1]], cuts):
-            groups.append("|".join(",".join(str(i) for i, f, t in z if s <= f and t <= e) for z in (x, y)))
+        sides = [[[str(i) for i, *_ in g] for _, g in groupby(z, lambda t: bisect_left(cuts, t[2]))]
+                 for z in (x, y)]
+        groups = ["|".join(map(",".join, both)) for both in zip(*sides, strict=True)]
         linked.append((len(x), len(y), groups, pairs))
     counts = Counter(p for *_, pairs in linked for p in set(pairs))
     most = {}
