@@ -25,7 +25,7 @@ from ledgerloom.operators.opening import (
 from ledgerloom.operators.scan import (
     account_group_closure, eligible_partners, enrich, move_lines)
 from ledgerloom.operators.totals import (
-    grand_total, group_lines, listing_footer, object_totals, section_totals)
+    grand_total, group_lines, listing_footer, object_totals, report_sums, section_totals)
 from ledgerloom.options import ReportOptions, normalise_reports, overlay_reports, report_dim
 from ledgerloom.outbound import messages as sms
 from ledgerloom.plans.ledgers import ledger
@@ -33,7 +33,8 @@ from ledgerloom.plans.multi import load_reports, run_reports, run_trial_balances
 from ledgerloom.sinks import exports
 from ledgerloom.sinks.search import search_lines
 from ledgerloom.sources import samples
-from ledgerloom.sources.tables import prepare, shared_folder
+from ledgerloom.sources.staging import shared_folder
+from ledgerloom.sources.tables import prepare
 from ledgerloom.sources.trade import stored_tables, three_decimal_tables
 from oracle import queries as oracle
 from oracle.cases import CASES, TODAY
@@ -85,8 +86,8 @@ def _opening(name: str, spark: SparkSession, path: str) -> DataFrame:
 
 
 def _opening_per_object(spark: SparkSession, path: str) -> DataFrame:
-    rows = openings(stored_tables(spark, path), _case("general_ledger_detail"))
-    return flat(opening_per_object(rows))
+    tables, o = stored_tables(spark, path), _case("general_ledger_detail")
+    return flat(opening_per_object(openings(tables, o, report_sums(tables, o))))
 
 
 def _unaffected(name: str, spark: SparkSession, path: str) -> DataFrame:

@@ -110,22 +110,20 @@ def detail_lines(tables: LedgerTables, o: ReportOptions,
         **currency_columns(tables, o)})
 
 
-def compact_lines(tables: LedgerTables, o: ReportOptions,
+def compact_lines(sums: DataFrame, tables: LedgerTables, o: ReportOptions,
                   carried: DataFrame | None = None) -> DataFrame:
-    """One line per compacted account with the period's sums; matched and small items count."""
-    items = dated(move_lines(tables, o), since=o.date_from, until=o.date_to)
-    accounts = select_accounts(tables, o).where(F.coalesce("compacted", F.lit(False)))
-    sums = (in_states(items, tables, o.states).join(accounts, "account_id")
-            .groupBy("account_id")
+    """One line per compacted account with the period's sums, from those of the report; matched and
+    small items count."""
+    rows = (sums.where("kind = 'compact'").groupBy("account_id")
             .agg(*[sum0(c).alias(c) for c in S.FLOWS])
             .withColumns({"report_object_id": F.col("account_id"),
                           **currency_columns(tables, o)}))
     before = F.lit(0)
     if carried is not None:
-        sums = sums.join(carried.withColumnRenamed("balance", "_before"),
+        rows = rows.join(carried.withColumnRenamed("balance", "_before"),
                          "report_object_id", "left")
         before = F.coalesce("_before", F.lit(0))
-    return sums.withColumns({
+    return rows.withColumns({
         "report_id": F.lit(o.report_id), "line_type": F.lit(S.COMPACT),
         "view_type": F.lit("normal"), "date": F.lit(o.date_from),
         "cumul_balance": before + F.col("balance")})

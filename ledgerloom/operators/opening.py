@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas as S
 from ledgerloom.functions.columns import exceeds, net_opening, sum0
 from ledgerloom.operators.matching import match_dates, open_at_start, with_match_dates
-from ledgerloom.operators.objects import unaffected_account, unaffected_id, whole_company
+from ledgerloom.operators.objects import unaffected_account
 from ledgerloom.operators.scan import (
     account_settings, company_items, currency_columns, dated, in_states, move_lines, select_accounts)
 from ledgerloom.options import ReportOptions
@@ -52,10 +52,10 @@ def opening_row(df: DataFrame, o: ReportOptions) -> DataFrame:
         "cumul_balance": F.col("balance"), "reconciled": F.lit(False)})
 
 
-def unaffected_earnings(tables: LedgerTables, o: ReportOptions) -> DataFrame:
-    """Result of prior years: all profit and loss before the start, as one opening line of the
-    unaffected-earnings account. Journals and chosen accounts do not limit it, and it is there
-    even when it is zero. No row if the report does not cover that account."""
+def prior_result(tables: LedgerTables, o: ReportOptions) -> DataFrame:
+    """Result of prior years: all profit and loss before the start, as one sum (account_id and
+    flows) of the unaffected-earnings account. Journals and chosen accounts do not limit it, and
+    it is there even when it is zero. No row if the report does not cover that account."""
     accounts = account_settings(tables).where(
         (F.col("company_id") == o.company_id) & ~balance_sheet())
     before = dated(company_items(tables, o).where(F.col("display_type").isNull()),
@@ -64,10 +64,15 @@ def unaffected_earnings(tables: LedgerTables, o: ReportOptions) -> DataFrame:
               .join(accounts.select("account_id"), "account_id", "left_semi")
               .groupBy("company_id").agg(*[F.sum(c).alias(c) for c in S.FLOWS]))
     account = unaffected_account(tables, o).withColumn("company_id", F.lit(o.company_id))
-    joined = account.join(result, "company_id", "left").withColumns(
-        {c: F.coalesce(c, F.lit(0)) for c in S.FLOWS})
-    joined = joined.withColumns(currency_columns(tables, o))
-    return opening_row(joined.withColumn("report_object_id", F.col("account_id")), o)
+    return account.join(result, "company_id", "left").select(
+        "account_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in S.FLOWS])
+
+
+def unaffected_earnings(tables: LedgerTables, o: ReportOptions) -> DataFrame:
+    """The result of prior years as one opening line, if the report covers its account."""
+    joined = prior_result(tables, o).withColumns(
+        {"report_object_id": F.col("account_id"), **currency_columns(tables, o)})
+    return opening_row(joined, o)
 
 
 def opening(tables: LedgerTables, o: ReportOptions) -> DataFrame:
@@ -93,40 +98,17 @@ def opening_key(o: ReportOptions) -> Column:
     return F.concat(F.col("partner_id").cast("string"), F.lit("-"), account)
 
 
-def openings(tables: LedgerTables, o: ReportOptions) -> DataFrame | None:
-    """All opening lines the ledger has, or None if it has none."""
+def openings(tables: LedgerTables, o: ReportOptions, sums: DataFrame) -> DataFrame | None:
+    """All opening lines the ledger has, from the report's sums; None if it has none. Openings and
+    the result of prior years are lines of their own, also for one account."""
     if not o.has_opening:
         return None
-    if o.report_type == "partner":
-        return opening(tables, o)
-    if whole_company(o):
-        return _company_openings(tables, o)
-    return opening(tables, o).unionByName(unaffected_earnings(tables, o),
-                                          allowMissingColumns=True)
-
-
-def _company_openings(tables: LedgerTables, o: ReportOptions) -> DataFrame:
-    """`opening` and `unaffected_earnings` in one pass over the items before the start. An
-    account is either balance sheet or result, so no item counts in both."""
-    unaffected = unaffected_id(tables, o)
-    accounts = account_settings(tables).where(F.col("company_id") == o.company_id)
-    items = dated(move_lines(tables, o), until=o.day_before)
-    items = in_states(items, tables, o.states).join(
-        accounts.drop("company_id", "group_id", "is_unaffected_earnings"), "account_id")
-    third_party = ~F.coalesce(F.col("type_third_parties") == "no", F.lit(False))
-    items = with_match_dates(items, third_party & balance_sheet(),
-                             match_dates(tables, o, since=o.date_from))
-    kind = F.when(~F.coalesce("deprecated", F.lit(False)) & opening_pred(o), "opening")
-    if unaffected is not None:
-        kind = F.when(~balance_sheet(), "prior").otherwise(kind)
-    account = F.when(F.col("kind") == "prior", F.lit(unaffected)).otherwise(F.col("account_id"))
-    rows = (items.withColumn("kind", kind).where(F.col("kind").isNotNull())
-            .select(account.cast("bigint").alias("account_id"), "kind", *S.FLOWS))
-    rows = rows.unionByName(prior_seed(tables, unaffected), allowMissingColumns=True)
-    sums = (rows.groupBy("account_id", "kind").agg(*[sum0(c).alias(c) for c in S.FLOWS])
-            .where((F.col("kind") == "prior") | significant_opening(tables, o)).drop("kind")
-            .withColumns({"report_object_id": F.col("account_id"), **currency_columns(tables, o)}))
-    return opening_row(sums, o)
+    group = opening_group(o)
+    rows = (sums.where(F.col("kind").isin("opening", "prior")).groupBy(*group, "kind")
+            .agg(*[sum0(c).alias(c) for c in S.FLOWS])
+            .where((F.col("kind") == "prior") | significant_opening(tables, o)).drop("kind"))
+    return opening_row(rows.withColumns(
+        {"report_object_id": F.col(o.object_column), **currency_columns(tables, o)}), o)
 
 
 def prior_seed(tables: LedgerTables, unaffected: int | None) -> DataFrame:

@@ -9,53 +9,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.schemas import money_scale
-
-# Steps in which item ids are cut, coarse to fine: at most 2**22 ids share the finest part,
-# 2**21 fine parts share a coarse one, and 63-bit ids have at most 2**20 coarse parts.
-ID_BITS = (43, 22)
+from ledgerloom.sources.staging import RANGE, staged_ranges
 
 
 def running_sum(rows: DataFrame, key: str, order: Sequence[str], value: str, out: str,
                 carried: DataFrame | None = None) -> DataFrame:
     """Sum of `value` over the rows of the same `key` up to each row, in the given order.
 
-    `order` names columns from coarse to fine; together with the key they are unique. Rows are
-    spread by all of them but the last, summed within such a part, and every part starts from
-    what the parts before it add up to. That carried amount is found in the same way one level
-    up, over one row per part. A window thus only ever holds the parts next to each other on
-    one level, however many rows a key has.
+    Together with the key, `order` is unique. Rows are cut into even ranges of (key, order), so a
+    key of any size, or a day of it, lies in as many ranges as it needs. Sums run within a range,
+    and a range starts from what its first key adds up to in the ranges before, the only key it
+    can share with them. Only these sums, one per range and key, meet in a window.
 
-    The carried amounts join the rows as extra rows that sort first, so no join is needed and
-    null keys work. `carried` (`key`, `value`) is what each key starts from.
+    `carried` (`key`, `value`) is what each key starts from: rows that sort before the key's others,
+    so null keys work and no row is joined by its key.
     """
-    *outer, last = order
-    part = [key, *outer]
-    if outer:
-        sums = rows.groupBy(*part).agg(F.sum(value).alias(value))
-        carried = running_sum(sums, key, outer, value, "_so_far", carried).select(
-            *part, (F.col("_so_far") - F.col(value)).alias(value))
     tagged = rows.withColumn("_is_row", F.lit(1))
     if carried is not None:
         tagged = tagged.unionByName(
-            carried.select(*part, F.col(value).cast(rows.schema[value].dataType).alias(value),
-                           F.lit(0).alias("_is_row")),
-            allowMissingColumns=True)
-    upto = (Window.partitionBy(*part).orderBy("_is_row", last)
+            carried.select(key, F.col(value).cast(rows.schema[value].dataType).alias(value),
+                           F.lit(0).alias("_is_row")), allowMissingColumns=True)
+    ranged = staged_ranges(tagged, key, "_is_row", *order)
+    before = Window.partitionBy(key).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    shared = (ranged.groupBy(RANGE, key).agg(F.sum(value).alias("_sum"))
+              .withColumn("_before", F.sum("_sum").over(before)).where("_before IS NOT NULL")
+              .select(RANGE, F.col(key).alias("_first"), "_before"))
+    upto = (Window.partitionBy(RANGE, key).orderBy("_is_row", *order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (tagged.withColumn(out, F.sum(value).over(upto))
-            .where(F.col("_is_row") == 1).drop("_is_row"))
+    offset = F.when(F.col(key).eqNullSafe(F.col("_first")), F.col("_before"))
+    kind = T.DecimalType(38, rows.schema[value].dataType.scale)
+    summed = ranged.withColumn("_so_far", F.sum(value).over(upto)).where("_is_row = 1")
+    return (summed.join(shared, RANGE, "left")
+            .withColumn(out, F.col("_so_far") + F.coalesce(offset, F.lit(0).cast(kind)))
+            .drop("_is_row", "_so_far", "_first", "_before", RANGE))
 
 
 def running_balance(lines: DataFrame, key: str, carried: DataFrame | None = None,
-                    date: str = "date", unique_id: str = "move_line_id",
-                    id_bits: Sequence[int] = ID_BITS) -> DataFrame:
+                    date: str = "date", unique_id: str = "move_line_id") -> DataFrame:
     """Lines with `cumul_balance`: what they carry in plus the balance so far, by date and id."""
-    parts = [f"_id_{bits}" for bits in id_bits]
-    wide = lines.withColumn("_amount", F.col("balance").cast(
-        T.DecimalType(28, money_scale(lines))))
-    wide = wide.withColumns({p: F.shiftright(unique_id, b) for p, b in zip(parts, id_bits)})
+    amount = T.DecimalType(28, money_scale(lines))
+    wide = lines.withColumn("_amount", F.col("balance").cast(amount))
     if carried is not None:
         carried = carried.select(F.col("report_object_id").alias(key),
                                  F.col("balance").alias("_amount"))
-    return running_sum(wide, key, [date, *parts, unique_id], "_amount", "cumul_balance",
-                       carried).drop("_amount", *parts)
+    return running_sum(wide, key, [date, unique_id], "_amount", "cumul_balance",
+                       carried).drop("_amount")

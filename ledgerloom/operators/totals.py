@@ -12,21 +12,20 @@ from ledgerloom.functions.columns import age_of, net_opening, round_to, sum0
 from ledgerloom.operators.lines import line_pred, scope, started, with_needed_dates
 from ledgerloom.operators.objects import unaffected_id, whole_company
 from ledgerloom.operators.opening import (
-    balance_sheet, opening_group, opening_pred, prior_seed, significant_opening,
-    unaffected_earnings)
+    balance_sheet, opening_group, opening_pred, prior_result, prior_seed, significant_opening)
 from ledgerloom.operators.scan import currency_columns
 from ledgerloom.options import OBJECT_COLUMNS, ReportOptions
 from ledgerloom.sources.tables import LedgerTables
 
 
-def object_parts(tables: LedgerTables, o: ReportOptions) -> DataFrame:
-    """What each object's total is made of, from one pass over the items.
+def report_sums(tables: LedgerTables, o: ReportOptions) -> DataFrame:
+    """All that a report sums up, from one pass over the items.
 
     Every item is opening, line, compacted or nothing, and a line has an age. Sums per object
     (and account, where openings are kept apart by account), kind and age take all items up at
-    once, before any row is shuffled; what follows works on these few sums. Small openings are
-    dropped as they are from the report. Where the report covers the whole company, the result
-    of prior years comes from the same pass.
+    once, before any row is shuffled; openings, carried balances, compacted lines and totals
+    work on these few sums. The result of prior years is of the kind `prior`: from the same pass
+    where the report covers the whole company, else from one of its own.
     """
     compact = o.compact_account and o.ledger_type == "general"
     until = o.date_to
@@ -47,20 +46,31 @@ def object_parts(tables: LedgerTables, o: ReportOptions) -> DataFrame:
         kind = kind.when(covered & started(o) & (F.col("date") <= F.lit(o.date_to))
                          & F.coalesce("compacted", F.lit(False)), "compact")
     prior = F.lit(False) if prior_to is None else ~started(o) & ~balance_sheet()
-    sums = (items.select(*group, *S.FLOWS, kind.alias("kind"), prior.alias("prior"),
-                         age_of(F.col("date_maturity"), F.lit(o.date_to)).alias("age"))
-            .where(F.col("kind").isNotNull() | F.col("prior"))
-            .groupBy(*group, "kind", "age", "prior")
-            .agg(*[F.sum(c).alias(c) for c in S.FLOWS]))
+    parts = (items.select(*group, *S.FLOWS, kind.alias("kind"), prior.alias("prior"),
+                          age_of(F.col("date_maturity"), F.lit(o.date_to)).alias("age"))
+             .where(F.col("kind").isNotNull() | F.col("prior"))
+             .groupBy(*group, "kind", "age", "prior")
+             .agg(*[F.sum(c).alias(c) for c in S.FLOWS]))
     if prior_to is not None:
         # A result account that is a third party's counts in both ways.
         result = f"named_struct('account_id', {prior_to}L, 'kind', 'prior', 'age', NULL)"
-        sums = (sums.select(*S.FLOWS, F.explode(F.array_compact(F.array(
+        return (parts.select(*S.FLOWS, F.explode(F.array_compact(F.array(
                     F.expr("IF(kind IS NULL, NULL, named_struct("
                            "'account_id', account_id, 'kind', kind, 'age', age))"),
                     F.expr(f"IF(prior, {result}, NULL)")))).alias("part"))
                 .select("part.*", *S.FLOWS)
                 .unionByName(prior_seed(tables, prior_to), allowMissingColumns=True))
+    parts = parts.drop("prior")
+    if o.report_type == "account" and o.has_opening and not whole_company(o):
+        parts = parts.unionByName(
+            prior_result(tables, o).withColumn("kind", F.lit("prior")), allowMissingColumns=True)
+    return parts
+
+
+def object_parts(sums: DataFrame, tables: LedgerTables, o: ReportOptions) -> DataFrame:
+    """What each object's total is made of, from the report's sums. Small openings are dropped as
+    they are from the report."""
+    group = opening_group(o) if o.has_opening else [o.object_column]
 
     def total(column: str, condition: str) -> Column:
         return F.expr(f"coalesce(sum({column}) FILTER (WHERE {condition}), 0)")
@@ -118,12 +128,11 @@ def round_totals(totals: DataFrame) -> DataFrame:
     return totals.withColumns({c: round_to(F.col(c), F.col("rounding")) for c in S.AMOUNTS})
 
 
-def report_totals(tables: LedgerTables, o: ReportOptions) -> DataFrame:
-    """Rounded totals of a report, straight from the items."""
-    parts = object_parts(tables, o)
-    if o.report_type == "account" and not whole_company(o):
-        result = unaffected_earnings(tables, o).select("report_object_id", *S.FLOWS)
-        parts = parts.unionByName(result, allowMissingColumns=True)
+def report_totals(tables: LedgerTables, o: ReportOptions,
+                  sums: DataFrame | None = None) -> DataFrame:
+    """Rounded totals of a report, from its sums; without them, straight from the items."""
+    sums = report_sums(tables, o) if sums is None else sums
+    parts = object_parts(sums, tables, o)
     return round_totals(total_rows(parts, o).withColumns(currency_columns(tables, o)))
 
 

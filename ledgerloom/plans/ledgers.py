@@ -12,31 +12,35 @@ from pyspark.sql import DataFrame
 from ledgerloom import schemas as S
 from ledgerloom.operators.lines import compact_lines, detail_lines
 from ledgerloom.operators.opening import opening_per_object, openings
-from ledgerloom.operators.totals import report_totals
+from ledgerloom.operators.totals import report_sums, report_totals
 from ledgerloom.options import ReportOptions
+from ledgerloom.sources.staging import staged
 from ledgerloom.sources.tables import LedgerTables
 
 
 def ledger(tables: LedgerTables, options: ReportOptions, today: dt.date | None = None,
            totals: bool = True) -> DataFrame:
-    """All lines of a report as one lazy plan: openings, items, compacted accounts and totals;
-    for a trial balance (`summary`) the totals alone.
+    """All lines of a report: openings, items, compacted accounts and totals; for a trial balance
+    (`summary`) the totals alone.
 
-    Rows carry no order; see `display_order`. Totals do not read the lines but the items once
-    more, with few columns: cheaper at any size than keeping all lines for a second use.
+    Rows carry no order; see `display_order`. A trial balance is one lazy plan. Otherwise the
+    report's sums are made first, in one pass over the items, and staged: openings, balances
+    carried, compacted accounts and totals are read from them. A second pass stages the detail
+    rows by ranges of their running balance. What is returned reads staged files only.
     """
     o = options.normalise(today)
     schema = S.line_schema(S.money_scale(tables.items))
     if o.summary:
         return S.conform(report_totals(tables, o), schema)
-    rows = openings(tables, o)
+    sums = staged(report_sums(tables, o)) if totals or o.has_opening else None
+    rows = openings(tables, o, sums)
     carried = None if rows is None else opening_per_object(rows)
     parts = [] if rows is None else [rows]
     parts.append(detail_lines(tables, o, carried))
     if o.compact_account:
-        parts.append(compact_lines(tables, o, carried))
+        parts.append(compact_lines(sums, tables, o, carried))
     if totals:
-        parts.append(report_totals(tables, o))
+        parts.append(report_totals(tables, o, sums))
     return reduce(DataFrame.unionByName, [S.conform(p, schema) for p in parts])
 
 

@@ -11,7 +11,8 @@ from ledgerloom.functions.columns import (
 from ledgerloom.operators.matching import matching_label
 from ledgerloom.operators.objects import section_heading
 from ledgerloom.options import ReportOptions
-from ledgerloom.sources.tables import LedgerTables, shared_folder
+from ledgerloom.sources.staging import shared_folder
+from ledgerloom.sources.tables import LedgerTables
 
 DETAIL_TYPES = S.BODY_TYPES
 AGED_DETAIL_TYPES = (S.INIT_LINE, S.LINE)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
@@ -97,14 +96,6 @@ def read_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> LedgerT
     return load_tables(lambda name: spark.read.format(fmt).load(f"{path}/{name}"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name in the folder all executors share: ``spark.checkpoint.dir``, or the
-    warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def read_store(spark: SparkSession, path: str) -> LedgerTables:
     """Read tables stored by `write_tables`. All schemas are known but for the decimal places of
     the items' amounts, which are those of the stored files."""

@@ -11,13 +11,17 @@ from handmade import (
 from ledgerloom import (
     ReportOptions, aged_balance, analytic_ledger, general_ledger, journal_ledger, ledger,
     open_ledger, partner_ledger, read_store, run_trial_balances, trial_balance, write_tables)
+from ledgerloom.operators import running
 from ledgerloom.operators.opening import opening, openings, unaffected_earnings
-from ledgerloom.operators.running import ID_BITS, running_balance
+from ledgerloom.operators.running import running_balance
 from ledgerloom.operators.scan import account_group_subtree, eligible_partners, select_accounts
-from ledgerloom.operators.totals import grand_total, group_lines, object_totals
+from ledgerloom.operators.totals import (
+    grand_total, group_lines, object_totals, report_sums)
+from ledgerloom.plans import ledgers
 from ledgerloom.schemas import AMOUNTS
 from ledgerloom.sinks import exports
 from ledgerloom.sinks.search import search_lines
+from ledgerloom.sources.staging import staged_ranges
 from ledgerloom.sources.tables import prepare, read_store, write_tables
 
 
@@ -131,7 +135,7 @@ def test_openings_are_both_kinds_together(tables, changes):
     o = ReportOptions(**YEAR, **changes).normalise()
     columns = ["account_id", "debit", "credit", "balance", "report_object_id"]
     both = opening(tables, o).select(*columns).union(unaffected_earnings(tables, o).select(*columns))
-    assert sorted(openings(tables, o).select(*columns).collect()) == sorted(both.collect())
+    assert sorted(openings(tables, o, report_sums(tables, o)).select(*columns).collect()) == sorted(both.collect())
 
 
 def test_third_party_result_account_counts_twice(tables, spark):
@@ -318,9 +322,68 @@ def test_stored_reports_replace_only_themselves(spark, general, tmp_path):
     assert counts == {1: 3, 2: general.count()}
 
 
-@pytest.mark.parametrize("bits", [(), (2,), (4, 2), ID_BITS])
-def test_running_balance_by_brute_force(spark, bits):
-    """Hot key, hot day, null key: the same as a plain running sum, however it is cut."""
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges of a few rows: small partitions are not put together."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_running_balance_over_many_ranges(spark, many_ranges):
+    test_running_balance_by_brute_force(spark)
+
+
+def test_ledgers_over_many_ranges(tables, general, many_ranges):
+    again = general_ledger(tables, **YEAR)
+    assert again.exceptAll(general).count() == 0 and general.exceptAll(again).count() == 0
+
+
+def test_ranges_of_a_hot_key_are_even(spark, many_ranges):
+    """All rows have one key and one day; ids are sparse. They are shuffled once, into even ranges."""
+    ids = spark.range(20_000).select((F.col("id") * F.col("id") * 7919 % 10**12).alias("id")).distinct()
+    ranges = staged_ranges(ids.select(F.lit(1).alias("k"), F.lit("d").alias("day"), "id"), "k", "day", "id")
+    sizes = [r["count"] for r in ranges.groupBy("_range").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    assert not spark.sql("SHOW TABLES").where("tableName LIKE 'staged_%'").count()
+    plan = ranges.groupBy("_range", "k").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_reports_read_the_items_twice(spark, stored, monkeypatch):
+    """One pass for the sums, one for the detail rows; exports read what is staged."""
+    plans = []
+
+    def recorded(write):
+        def run(df, *args):
+            plans.append(df)
+            return write(df, *args)
+        return run
+
+    def scans(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.count("account_move_line,") + plan.count("account_move_line]")
+
+    monkeypatch.setattr(ledgers, "staged", recorded(ledgers.staged))
+    monkeypatch.setattr(running, "staged_ranges", recorded(running.staged_ranges))
+    for options in (ReportOptions("general", **YEAR), ReportOptions("general", **YEAR, compact_account=True),
+                    ReportOptions("partner", **YEAR, result_selection="customer_supplier"),
+                    ReportOptions("open", **YEAR), ReportOptions("journal", **YEAR)):
+        plans.clear()
+        lines = ledger(stored, options)
+        o = options.normalise()
+        labelled = exports.labelled_lines(lines, stored, o)
+        assert [scans(p) for p in plans] == [1, 1]
+        for final in (lines, exports.pivot_rows(labelled), exports.section_rows(labelled, stored, o)):
+            assert scans(final) == 0
+
+
+def test_running_balance_by_brute_force(spark):
+    """Hot key, hot day, null key: the same as a plain running sum."""
     import random
     rng = random.Random(3)
     rows = [(i, rng.choice([1, 1, 1, 2, None]), d(f"2024-01-0{rng.choice([1, 1, 1, 2, 3])}"),
@@ -335,7 +398,7 @@ def test_running_balance_by_brute_force(spark, bits):
         rows, "move_line_id bigint, account_id bigint, date date, balance decimal(18,2)")
     start = spark.createDataFrame(list(carried.items()),
                                   "report_object_id bigint, balance decimal(18,2)")
-    out = running_balance(df.repartition(7), "account_id", start, id_bits=bits)
+    out = running_balance(df.repartition(7), "account_id", start)
     assert {r.move_line_id: r.cumul_balance for r in out.collect()} == expected
 
 
