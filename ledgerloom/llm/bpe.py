@@ -15,7 +15,8 @@ move. The longest such chain of rules, weighted by the bytes of u, bounds all mo
 Decoding maps ids to bytes and bytes to text by an incremental UTF-8 state machine; bytes that are no
 text become U+FFFD as in the usual decoders.
 
-Split pieces between single spaces are encoded once and remembered in a table of bounded size.
+Parts between spaces are remembered in a table of bounded size; those of a batch that are not in it are
+merged side by side, one merge of each a round. Pieces longer than SIDE_BY_SIDE bytes go through the window.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; the strings of special
 tokens are their ids; repeated rows are encoded alike; columns of documents pass through, a new
@@ -30,7 +31,7 @@ import json
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,11 @@ SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _SPLIT = regex.compile(SPLIT)
 _SPACE = regex.compile(r"\p{White_Space}")
-TABLE_SIZE = 250_000
+TABLE_SIZE = 100_000
+REMEMBERED = 64
+SIDE_BY_SIDE = 64
 DECODE_IDS = 1 << 16
+BATCH = 1 << 20
 
 
 def byte_characters() -> dict[str, int]:
@@ -55,6 +59,14 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def decimals(top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of the numbers below top, left-aligned, and how many each has."""
+    texts = [str(i).encode() for i in range(top)]
+    width = max(map(len, texts))
+    return (np.frombuffer(b"".join(t.ljust(width) for t in texts), np.uint8).reshape(top, width),
+            np.array(list(map(len, texts))))
+
+
 class Remembered:
     """Two generations of a table: the older one goes when the younger is full."""
 
@@ -75,10 +87,6 @@ class Remembered:
         self.young[key] = value
 
 
-def _packed(ids: list[int]) -> tuple[bytes, str]:
-    return struct.pack(f"<{len(ids)}I", *ids), ",".join(map(str, ids))
-
-
 class Bpe:
     """Vocabulary, merges, transducer and decoder of one byte-level tokenizer file."""
 
@@ -117,7 +125,14 @@ class Bpe:
         self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        self._pieces, self._table = Remembered(), Remembered()
+        self.byte_ids = np.array(self.of_byte, np.int64)
+        self.merged_ids, self.no_rank = np.array(self.merged, np.int64), len(self.merged)
+        keys = np.array(list(self.rank), np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.pair_ranks = keys[order], np.array(list(self.rank.values()), np.int64)[order]
+        self.digits, self.lengths = decimals(len(self.bytes_of))
+        self.spaces = {chr(c) for c in range(0x3001) if _SPACE.match(chr(c))}
+        self._table = Remembered()
 
     def _sufficient_lookahead(self, rules: list[tuple[int, int]]) -> int:
         left_part = {}
@@ -168,72 +183,144 @@ class Bpe:
                 yield i
             end = min(at + self.window, len(data))
 
-    def _plain(self, text: str, out: list[tuple[bytes, str]]) -> None:
-        for piece in _SPLIT.findall(text):
-            value = self._pieces.get(piece)
-            if value is None:
-                value = _packed(list(self.stream(piece.encode())))
-                if len(piece) < 64:
-                    self._pieces.put(piece, value)
-            out.append(value)
-
-    def _value(self, text: str) -> tuple[bytes, str]:
-        """Ids of a text that begins and ends where split pieces do."""
-        out: list[tuple[bytes, str]] = []
-        if self._cut is None or not self._cut.search(text):
-            self._plain(text, out)
-        else:
-            at = 0
-            for m in self._cut.finditer(text):
-                self._plain(text[at:m.start()], out)
-                out.append(_packed([self.special[m[0]]]))
-                at = m.end()
-            self._plain(text[at:], out)
-        if len(out) == 1:
-            return out[0]
-        return b"".join([v[0] for v in out]), ",".join([v[1] for v in out if v[1]])
-
-    def encode_pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """Ids of the text in parts: little-endian 32-bit, and as decimals.
-
-        Parts begin at a space between two characters that are no white space. No split piece
-        crosses such a place, so parts can be encoded alone and remembered.
+    def merge_side_by_side(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces, given one after the other, and how many each has.
+
+        In every round each piece that is not done applies its merge of least rank, the leftmost first.
+        """
+        ids = self.byte_ids[np.frombuffer(data, np.uint8)]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        done_ids, done_owner = [], []
+        ranks = np.full(len(ids), self.no_rank, np.int64)
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        ranks[inside] = self._ranks(ids[inside], ids[inside + 1])
+        while len(ids):
+            begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            counts = np.diff(np.append(begins, len(ids)))
+            least = np.repeat(np.minimum.reduceat(ranks, begins), counts)
+            done = least == self.no_rank
+            if done.any():
+                done_ids.append(ids[done])
+                done_owner.append(owner[done])
+                ids, owner, ranks, least = (x[~done] for x in (ids, owner, ranks, least))
+            at = np.flatnonzero(ranks == least)
+            if not len(at):
+                break
+            at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])]
+            ids[at] = self.merged_ids[ranks[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))             # each piece before has lost one place
+            ids, owner, ranks = ids[keep], owner[keep], ranks[keep]
+            for k in (at, at - 1):
+                near = np.flatnonzero(np.minimum(k, len(ids) - k - 2) >= 0)
+                same = near[owner[k[near]] == owner[k[near] + 1]]
+                if k is at:
+                    ranks[at] = self.no_rank
+                ranks[k[same]] = self._ranks(ids[k[same]], ids[k[same] + 1])
+        if not done_ids:
+            return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        return (ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(sizes)))
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a << self.shift | b
+        place = np.searchsorted(self.pairs, pair)
+        place[place == len(self.pairs)] = 0
+        return np.where(self.pairs[place] == pair, self.pair_ranks[place], self.no_rank)
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of texts that begin and end where split pieces do."""
+        pieces: list[bytes] = []
+        counts = []
+        for unit in units:
+            # a space and letters are one piece
+            found = [unit] if unit[1:].isalpha() and unit[0] == " " else _SPLIT.findall(unit)
+            counts.append(len(found))
+            pieces += map(str.encode, found)
+        sizes = np.array(list(map(len, pieces)), np.int64)
+        long = np.flatnonzero(sizes > SIDE_BY_SIDE)
+        streamed = {i: list(self.stream(pieces[i])) for i in long.tolist()}
+        for i in streamed:
+            pieces[i] = b""
+        sizes[long] = 0
+        ids, n = self.merge_side_by_side(b"".join(pieces), sizes)
+        if streamed:
+            ends = np.cumsum(n)
+            places = np.concatenate([np.full(len(x), ends[i]) for i, x in streamed.items()])
+            ids = np.insert(ids, places, np.concatenate([np.array(x) for x in streamed.values()]))
+            n[long] = [len(x) for x in streamed.values()]
+        ends = np.append(0, np.cumsum(n))[np.cumsum([0, *counts])] * 4
+        packed = ids.astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def units(self, text: str) -> list[str]:
+        """Keys of the parts of a text, which are encoded alone and remembered.
+
+        A part begins at a space before a character that is no white space: no split piece crosses such
+        a place. Its key leaves that space out; the key of the first part is a space and the part.
         """
         parts = text.split(" ")
+        known, spaces = self._table.young, self.spaces
+        begins = [i for i, p in enumerate(parts) if p in known or (p and p[0] not in spaces)]
+        if begins and begins[0] == 0:
+            begins.pop(0)
+        if len(begins) == len(parts) - 1:
+            parts[0] = " " + parts[0]
+            return parts
+        edges = [0, *begins, len(parts)]
+        keys = [" ".join(parts[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        keys[0] = " " + keys[0]
+        return keys
+
+    def keys(self, text: str) -> list[str | int]:
+        """Keys of a text's parts, and the ids of special tokens between them."""
+        if self._cut is None or not self._cut.search(text):
+            return self.units(text)
+        out: list[str | int] = []
+        at = 0
+        for m in self._cut.finditer(text):
+            out += [*self.units(text[at:m.start()]), self.special[m[0]]]
+            at = m.end()
+        return out + self.units(text[at:])
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text. All parts not seen before are merged side by side."""
+        keys = [self.keys(t) if t else [] for t in texts]
         table = self._table
         if len(table.young) >= table.size:
             table.old, table.young = table.young, {}
-        values = [self._value(parts[0])] + list(map(table.young.get, parts[1:]))
-        if None not in values:
-            return values
-        out, i, n = [], 0, len(parts)
-        solid = [bool(p) and not _SPACE.match(p[0]) and not _SPACE.match(p[-1])
-                 if v is None else True for p, v in zip(parts, values, strict=True)]
-        solid[0] = bool(parts[0]) and not _SPACE.match(parts[0][-1])
-        begins = [bool(p) and (v is not None or not _SPACE.match(p[0]))
-                  for p, v in zip(parts, values, strict=True)]
-        ends = [bool(p) and (s or not _SPACE.match(p[-1])) for p, s in zip(parts, solid, strict=True)]
-        while i < n:
-            j = i
-            while j + 1 < n and not (ends[j] and begins[j + 1]):
-                j += 1
-            if j > i or (i and not solid[i]):
-                out.append(self._value((" " if i else "") + " ".join(parts[i:j + 1])))
-            elif values[i] is not None:
-                out.append(values[i])
-            else:
-                part = parts[i]
-                value = table.get(part)
-                if value is None:
-                    value = self._value(" " + part)
-                    if len(part) < 64:
-                        table.put(part, value)
-                out.append(value)
-            i = j + 1
-        return out
+        known = table.young
+        new = set(chain.from_iterable(keys)).difference(known)
+        again = new.intersection(table.old)
+        known.update((k, table.old[k]) for k in again)
+        new -= again
+        ids = new.intersection(self.special.values())
+        known.update((k, struct.pack("<I", k)) for k in ids)
+        words = list(new - ids)
+        values = self.encode_units([k[1:] if k[0] == " " else " " + k for k in words])
+        fresh = zip(words, values, strict=True)
+        if max(map(len, words), default=0) < REMEMBERED:
+            known.update(fresh)
+            return [b"".join(map(known.__getitem__, ks)) for ks in keys]
+        long = dict(fresh)
+        known.update((k, long.pop(k)) for k in words if len(k) < REMEMBERED)
+        return [b"".join([known[k] if k in known else long[k] for k in ks]) for ks in keys]
 
     # -- decoding --------------------------------------------------------------------------------
 
+    def decimal_texts(self, ids: np.ndarray, sizes: list[int]) -> Iterator[bytes]:
+        """For each text, of that many ids, its ids as decimals joined by commas."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths + 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, ord(","), np.uint8)
+        begins = ends - lengths - 1
+        for k in range(self.digits.shape[1]):
+            has = np.flatnonzero(lengths > k)
+            out[begins[has] + k] = self.digits[ids[has], k]
+        flat, edges = out.tobytes(), np.append(0, ends)[np.append(0, np.cumsum(sizes))].tolist()
+        return (flat[a:max(a, b - 1)] for a, b in zip(edges[:-1], edges[1:]))
+
     def token_bytes(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
@@ -273,33 +360,28 @@ def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for batch in slices(batches, text):
-            sizes, first, second = [], [], []
-            for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                parts = bpe.encode_pieces(value) if value else []
-                packed = b"".join(map(itemgetter(0), parts))
-                ids = np.frombuffer(packed, "<u4")
-                sizes.append(len(ids))
-                if digests:
-                    decimals = ",".join(filter(None, map(itemgetter(1), parts)))
-                    first.append(hashlib.sha256(decimals.encode()).hexdigest())
-                    back = hashlib.sha256()
-                    for part in bpe.decode_parts(ids):
-                        back.update(part.encode())
-                    second.append(back.hexdigest())
-                else:
-                    first.append(packed)
-                    second.append("".join(bpe.decode_parts(ids)))
+        for batch in slices(batches, text, BATCH):
+            packed = bpe.encode_batch(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            sizes = [len(p) // 4 for p in packed]
+            ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+            edges = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            texts = (bpe.decode_parts(ids[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))
             if digests:
-                ids_column = pa.array(first, pa.string())
+                first = pa.array([hashlib.sha256(t).hexdigest()
+                                  for t in bpe.decimal_texts(ids, sizes)], pa.string())
+                second = [digest_of(parts) for parts in texts]
             else:
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]),
-                                             [None, pa.py_buffer(b"".join(first))])
-                ids_column = pa.ListArray.from_arrays(pa.array(offsets), flat)
+                first = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids, pa.int32()))
+                second = ["".join(parts) for parts in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in passed]
-                + [pa.array(sizes, pa.int64()), ids_column, pa.array(second, pa.string())],
-                passed + names)
+                + [pa.array(sizes, pa.int64()), first, pa.array(second, pa.string())], passed + names)
 
     return docs.mapInArrow(rows, schema)
+
+
+def digest_of(parts: Iterator[str]) -> str:
+    digest = hashlib.sha256()
+    for part in parts:
+        digest.update(part.encode())
+    return digest.hexdigest()

@@ -24,8 +24,7 @@ def library():
 
 
 def ids_of(text):
-    return [int(i) for part, _ in bpe.load(PATH).encode_pieces(text)
-            for i in np.frombuffer(part, "<u4")]
+    return np.frombuffer(bpe.load(PATH).encode_batch([text])[0], "<u4").tolist()
 
 
 def test_random_texts(library):
@@ -45,6 +44,19 @@ def test_long_pieces_stream_through_a_window(library, text):
     assert ids_of(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_batches_share_a_table_that_is_renewed(library):
+    b = bpe.Bpe(PATH)
+    b._table.size = 50
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("etaoinshé1.") for _ in range(rnd.randint(1, 90))) for _ in range(300)]
+    for _ in range(20):
+        texts = [rnd.choice(["", " ", "\n"]).join([" ".join(rnd.choices(words, k=20)), "  x"]) for _ in range(5)]
+        got = [np.frombuffer(p, "<u4").tolist() for p in b.encode_batch([*texts, "", None])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] + [[], []]
+        for t, d in zip(texts, b.decimal_texts(np.array(sum(got, [])), [len(g) for g in got])):
+            assert d.decode() == ",".join(map(str, library.encode(t, add_special_tokens=False).ids))
+
+
 def test_ids_that_are_no_text_decode_as_the_library_does(library):
     ids = [random.Random(2).randrange(50257) for _ in range(3000)]
     assert "".join(bpe.load(PATH).decode_parts(np.array(ids))) == library.decode(
