@@ -57,6 +57,8 @@ def scope(tables: LedgerTables, o: ReportOptions, until: dt.date,
     since = o.date_from if o.report_type == "journal" else None
     items = dated(move_lines(tables, o), since=since, until=until)
     items = items.where(F.col(o.object_column).isNotNull())
+    if "open_year" in items.columns:
+        items = _still_open(items, o)
     accounts = select_accounts(tables, o)
     if whole:
         accounts = account_settings(tables).where(F.col("company_id") == o.company_id).drop(
@@ -64,6 +66,16 @@ def scope(tables: LedgerTables, o: ReportOptions, until: dt.date,
     return in_states(items, tables, o.states).join(accounts, "account_id")
 
 
+def _still_open(items: DataFrame, o: ReportOptions) -> DataFrame:
+    """Items of a store without those that cannot be a line: of the years before the start, only what
+    is open then, and only what is open at the end where matched items are not shown."""
+    items = items.where((F.col("date_year") >= o.date_from.year)
+                        | (F.col("open_year") >= o.date_from.year))
+    if not o.reconciled and o.report_type == "partner":
+        items = items.where(F.col("open_year") >= o.date_to.year)
+    return items
+
+
 def with_needed_dates(items: DataFrame, tables: LedgerTables, o: ReportOptions, *,
                       flags: bool, openings: bool) -> DataFrame:
     """Items with the match dates the report's rules will look at, and no others.

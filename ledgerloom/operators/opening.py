@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
 from ledgerloom.functions.columns import exceeds, net_opening, sum0
+from ledgerloom.operators.history import past
 from ledgerloom.operators.matching import match_dates, open_at_start, with_match_dates
 from ledgerloom.operators.objects import unaffected_account
 from ledgerloom.operators.scan import (
@@ -58,7 +59,7 @@ def prior_result(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     it is there even when it is zero. No row if the report does not cover that account."""
     accounts = account_settings(tables).where(
         (F.col("company_id") == o.company_id) & ~balance_sheet())
-    before = dated(company_items(tables, o).where(F.col("display_type").isNull()),
+    before = dated(company_items(past(tables, o), o).where(F.col("display_type").isNull()),
                    until=o.day_before)
     result = (in_states(before, tables, o.states)
               .join(accounts.select("account_id"), "account_id", "left_semi")
@@ -77,7 +78,7 @@ def unaffected_earnings(tables: LedgerTables, o: ReportOptions) -> DataFrame:
 
 def opening(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     """Opening lines of balance-sheet accounts, per account or per partner and account."""
-    items = dated(move_lines(tables, o), until=o.day_before)
+    items = dated(move_lines(past(tables, o), o), until=o.day_before)
     items = in_states(items, tables, o.states).join(select_accounts(tables, o), "account_id")
     items = items.where(balance_sheet() & F.col(o.object_column).isNotNull())
     # Plain accounts are summed whatever their matches: only third parties need the dates.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
 from ledgerloom.options import ReportOptions
+from ledgerloom.sources.staging import staged
 from ledgerloom.sources.tables import LedgerTables
 
 def keep_ids(df: DataFrame, column: str, ids: Sequence[int] | DataFrame) -> DataFrame:
@@ -83,23 +84,40 @@ def with_currency(accounts: DataFrame, tables: LedgerTables) -> DataFrame:
             .join(currencies, "company_currency_id", "left"))
 
 
+def account_group_paths(tables: LedgerTables) -> DataFrame:
+    """Every account group (id) with its path: the ids from its root down to itself.
+
+    Found by pointer doubling: in each round a group takes over the path of the group its own path hangs
+    on, so paths double and rounds grow with the logarithm of the tree's depth. A group lies below
+    another if its path has that one's id. Made once per set of tables.
+    """
+    def find() -> DataFrame:
+        rows = staged(tables["account_group"].select(
+            "id", F.array("id").alias("path"), F.col("parent_id").alias("up")))
+        longest = rows.count()
+        while not rows.where("up IS NOT NULL").isEmpty():
+            if not rows.where(F.size("path") > longest).isEmpty():
+                raise ValueError("account groups lie below themselves")
+            above = rows.select(F.col("id").alias("up"), F.col("path").alias("above"),
+                                F.col("up").alias("further"))
+            path = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path"))
+            rows = staged(rows.join(above, "up", "left").select(
+                "id", path.alias("path"), F.col("further").alias("up")))
+        return rows.select("id", "path")
+    return tables.known("account group paths", find)
+
+
 def account_group_closure(tables: LedgerTables) -> DataFrame:
     """Pairs (group_id, member_id): every account group with itself and all groups below it."""
-    return tables.spark.sql(
-        """
-        WITH RECURSIVE below(group_id, member_id) AS (
-            SELECT id, id FROM {groups}
-            UNION ALL
-            SELECT b.group_id, g.id FROM below b JOIN {groups} g ON g.parent_id = b.member_id
-        )
-        SELECT group_id, member_id FROM below
-        """, groups=tables["account_group"].select("id", "parent_id"))
+    return account_group_paths(tables).select(
+        F.explode("path").alias("group_id"), F.col("id").alias("member_id"))
 
 
 def account_group_subtree(tables: LedgerTables, group_ids: Sequence[int]) -> DataFrame:
     """The given account groups and all groups below them, as one column `group_id`."""
-    return (keep_ids(account_group_closure(tables), "group_id", group_ids)
-            .select(F.col("member_id").alias("group_id")).distinct())
+    chosen = F.array(*[F.lit(i).cast("bigint") for i in group_ids])
+    return account_group_paths(tables).where(F.arrays_overlap("path", chosen)).select(
+        F.col("id").alias("group_id"))
 
 
 def third_party_kinds(result_selection: str) -> tuple[str, ...]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
 from ledgerloom.functions.columns import age_of, net_opening, round_to, sum0
+from ledgerloom.operators.history import past
 from ledgerloom.operators.lines import line_pred, scope, started, with_needed_dates
 from ledgerloom.operators.objects import unaffected_id, whole_company
 from ledgerloom.operators.opening import (
@@ -25,7 +26,8 @@ def report_sums(tables: LedgerTables, o: ReportOptions) -> DataFrame:
     (and account, where openings are kept apart by account), kind and age take all items up at
     once, before any row is shuffled; openings, carried balances, compacted lines and totals
     work on these few sums. The result of prior years is of the kind `prior`: from the same pass
-    where the report covers the whole company, else from one of its own.
+    where the report covers the whole company, else from one of its own. Where a store has sums
+    per month, openings and prior results come from these, and the pass reads lines only.
     """
     compact = o.compact_account and o.ledger_type == "general"
     until = o.date_to
@@ -35,20 +37,27 @@ def report_sums(tables: LedgerTables, o: ReportOptions) -> DataFrame:
         until = max(o.date_to, o.day_before)
     group = opening_group(o) if o.has_opening else [o.object_column]
     prior_to = unaffected_id(tables, o) if whole_company(o) else None
-    items = with_needed_dates(scope(tables, o, until, whole=prior_to is not None), tables, o,
-                              flags=False, openings=o.has_opening)
-    covered = ~F.coalesce("deprecated", F.lit(False)) if prior_to is not None else F.lit(True)
-
-    kind = F.when(covered & line_pred(tables, o), "line")
-    if o.has_opening:
-        kind = kind.when(covered & ~started(o) & opening_pred(o), "opening")
+    whole, summed = prior_to is not None, tables.rollup is not None and o.has_opening
+    covered = ~F.coalesce("deprecated", F.lit(False)) if whole else F.lit(True)
+    age = age_of(F.col("date_maturity"), F.lit(o.date_to)).alias("age")
+    line = F.when(covered & line_pred(tables, o), "line")
     if compact:
-        kind = kind.when(covered & started(o) & (F.col("date") <= F.lit(o.date_to))
+        line = line.when(covered & started(o) & (F.col("date") <= F.lit(o.date_to))
                          & F.coalesce("compacted", F.lit(False)), "compact")
-    prior = F.lit(False) if prior_to is None else ~started(o) & ~balance_sheet()
-    parts = (items.select(*group, *S.FLOWS, kind.alias("kind"), prior.alias("prior"),
-                          age_of(F.col("date_maturity"), F.lit(o.date_to)).alias("age"))
-             .where(F.col("kind").isNotNull() | F.col("prior"))
+    opened = F.when(covered & ~started(o) & opening_pred(o), "opening")
+    prior = ~started(o) & ~balance_sheet() if whole else F.lit(False)
+    items = with_needed_dates(scope(tables, o, until, whole=whole), tables, o,
+                              flags=False, openings=o.has_opening)
+    if summed:
+        before = scope(past(tables, o), o, o.day_before, whole=whole)
+        rows = items.select(*group, *S.FLOWS, line.alias("kind"), F.lit(False).alias("prior"), age)
+        rows = rows.unionByName(before.select(
+            *group, *S.FLOWS, opened.alias("kind"), prior.alias("prior"),
+            F.lit(None).cast("string").alias("age")))
+    else:
+        kind = F.coalesce(line, opened) if o.has_opening else line
+        rows = items.select(*group, *S.FLOWS, kind.alias("kind"), prior.alias("prior"), age)
+    parts = (rows.where(F.col("kind").isNotNull() | F.col("prior"))
              .groupBy(*group, "kind", "age", "prior")
              .agg(*[F.sum(c).alias(c) for c in S.FLOWS]))
     if prior_to is not None:

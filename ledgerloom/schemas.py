@@ -48,6 +48,11 @@ TABLES: dict[str, T.StructType] = {
 # in its match. Items stored with these columns need no join for them.
 PREPARED_COLUMNS = _schema(parent_state=_STR, move_name=_STR, last_match_date=_DATE)
 
+# What a store is partitioned by besides the company: the year of the date, and the last year at
+# whose start the item may still be shown as open.
+STORE_COLUMNS = _schema(date_year=_INT, open_year=_INT)
+NEVER_OPEN, ALWAYS_OPEN = 0, 9999
+
 REPORT_CONFIG = _schema(
     report_id=_LONG, company_id=_LONG, name=_STR, ledger_type=_STR, summary=_BOOL,
     target_move=_STR, reconciled=_BOOL, result_selection=_STR, compact_account=_BOOL,

@@ -1,4 +1,4 @@
-"""The ledger's input tables: reading, checking and storing them."""
+"""The ledger's input tables: reading, checking and preparing them."""
 
 from __future__ import annotations
 
@@ -50,8 +50,20 @@ class LedgerTables:
             self._known[key] = find()
         return self._known[key]
 
+    @property
+    def rollup(self) -> DataFrame | None:
+        """Sums of the items per month, of a store."""
+        return self.frames.get("rollup")
+
     def with_frames(self, **frames: DataFrame) -> "LedgerTables":
-        return replace(self, frames={**self.frames, **frames}, _known={})
+        """Tables with some replaced. A store's sums, and the columns it is pruned by, hold for its
+        own items and accounts only, so they go with these."""
+        kept = self.frames
+        if self.rollup is not None and {"account_move_line", "account_account"} & set(frames):
+            kept = {n: f for n, f in kept.items() if n != "rollup"}
+            items = frames.get("account_move_line", self.items)
+            frames = {**frames, "account_move_line": items.drop("open_year")}
+        return replace(self, frames={**kept, **frames}, _known={})
 
 
 def check_table(name: str, df: DataFrame) -> DataFrame:
@@ -80,7 +92,7 @@ def check_table(name: str, df: DataFrame) -> DataFrame:
         else:
             columns.append(F.col(column).cast(kind).alias(column))
     if name == "account_move_line":
-        extra = [f.name for f in S.PREPARED_COLUMNS] + ["date_year"]
+        extra = [f.name for f in (*S.PREPARED_COLUMNS, *S.STORE_COLUMNS)]
         columns += [F.col(c) for c in extra if c in actual]
     return df.select(*columns)
 
@@ -96,19 +108,6 @@ def read_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> LedgerT
     return load_tables(lambda name: spark.read.format(fmt).load(f"{path}/{name}"))
 
 
-def read_store(spark: SparkSession, path: str) -> LedgerTables:
-    """Read tables stored by `write_tables`. All schemas are known but for the decimal places of
-    the items' amounts, which are those of the stored files."""
-    stored = {f.name: f.dataType for f in spark.read.parquet(f"{path}/account_move_line").schema}
-    items = T.StructType(
-        [T.StructField(f.name, stored.get(f.name, S.MONEY) if f.dataType == S.MONEY else f.dataType)
-         for f in S.TABLES["account_move_line"]]
-        + [*S.PREPARED_COLUMNS, T.StructField("date_year", T.IntegerType())])
-    schemas = {**S.TABLES, "account_move_line": items}
-    return LedgerTables({name: spark.read.schema(schema).parquet(f"{path}/{name}")
-                         for name, schema in schemas.items()})
-
-
 def fold_account_types(accounts: DataFrame, types: DataFrame,
                        unaffected_type_id: int) -> DataFrame:
     """Bring the separate account-type table of a raw extract into the accounts."""
@@ -153,23 +152,3 @@ def prepare(tables: LedgerTables) -> LedgerTables:
     in their match. A lazy step for an extract that is reported on once; `write_tables` does
     it for a store."""
     return with_match_date(with_entry_columns(tables))
-
-
-def write_tables(tables: LedgerTables, path: str) -> None:
-    """Store the tables as Parquet, the items by company and year of date; for `read_store`.
-
-    Items get what reports would look up for each of them from entries and matches (two joins
-    between large tables, made here once instead of in every report); a store has to be written
-    anew when entries are posted or items matched. They are range-partitioned with their unique
-    id as the last key: a company, year or account of any size is cut into even files, and each
-    file covers few accounts, so its statistics let account and date filters skip it.
-    """
-    spread = ("company_id", "date_year", "account_id", "date", "id")
-    prepared = prepare(tables).items
-    (prepared.withColumn("date_year", F.year("date"))
-     .repartitionByRange(*spread).sortWithinPartitions(*spread)
-     .write.mode("overwrite").partitionBy("company_id", "date_year")
-     .parquet(f"{path}/account_move_line"))
-    for name in S.TABLES:
-        if name != "account_move_line":
-            tables[name].write.mode("overwrite").parquet(f"{path}/{name}")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.schemas import MONEY, TABLES, conform
 from ledgerloom.sources.staging import shared_folder
-from ledgerloom.sources.tables import (
-    LedgerTables, check_table, read_store, write_tables)
+from ledgerloom.sources.store import read_store, write_tables
+from ledgerloom.sources.tables import LedgerTables, check_table
 
 SALES, PURCHASES, BANK = 1, 2, 3
 BANK_ACCOUNT, UNAFFECTED_ACCOUNT = 5120, 1200
