@@ -112,3 +112,14 @@ def test_registered_queries(spark, query, brute, n):
     expected = Counter((i, *x) for (i, _), x in zip(rows, brute(rows, 35 if n == 4 else 50), strict=True))
     assert rows_of(queries.QUERIES[query](spark, path), n) == expected
     assert any(k[2] for k in expected)
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Texts of 35 words that differ in one long word only: nothing is removed."""
+    def pattern(a, b):
+        return "".join(a if bin(i).count("1") % 2 else b for i in range(1024))
+
+    words = sentence(78, 34)
+    rows = [(0, f"{words} {pattern('x', 'y')}"), (1, f"{words} {pattern('y', 'x')}")]
+    report = rlz.rlz_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.n_removed for r in report.collect()] == [0, 0]
