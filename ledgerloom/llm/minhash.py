@@ -144,14 +144,14 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
 
 
 def needed_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(g, shingles) of the elements g in needed, once each; 40 bits of each shingle's hash."""
+    """(g, shingles) of the elements g in needed, once each."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             digests, packed = [], []
             for s in shingle_sets(*text_buffer(batch.column("text")), size):
                 if len(s):
                     digests.append(digest_of(s))
-                    packed.append((s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                    packed.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], ["g", "shingles"])
     sets = docs.select("text").mapInArrow(rows, "g binary, shingles binary")
@@ -169,9 +169,7 @@ def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
 
 
 def _set(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
+    return np.frombuffer(packed, "<u8")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -378,6 +376,31 @@ def compared_nodes(elements: DataFrame, branches: DataFrame) -> DataFrame:
     return nodes.join(bits, "g", "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
 
 
+def _links(elements: DataFrame, branches: DataFrame, sets: DataFrame, least: float,
+           percent: int) -> DataFrame:
+    """Links (a, b) that join the elements' components, confirmed on full sets."""
+    # first round: each element with the first of its nodes, the best two
+    stars = branches.where("g <> lead").select(
+        F.col("g").alias("a"), F.col("lead").alias("b"), F.col("lead_doc").alias("doc")).distinct()
+    close = estimated(stars.select("a", "b"), elements, least)
+    close = close.join(elements.select(F.col("g").alias("b"), "doc"), "b")
+    best = close.groupBy("a").agg(
+        F.min(F.when(F.col("estimate") >= SAFE, F.struct("doc", "b")))["b"].alias("first"),
+        F.max(F.struct("estimate", "b"))["b"].alias("most"))
+    tried = save(best.select("a", F.explode(F.array_distinct(F.array("first", "most"))).alias("b"))
+                 .where("b IS NOT NULL"))
+    links = save(confirm(tried, sets, percent))
+    roots = connected_components(links)
+    # second round: all pairs of different components that share a node
+    rooted = save(elements.join(roots.withColumnRenamed("node", "g"), "g", "left")
+                  .withColumn("root", F.coalesce("root", "g")))
+    nodes = compared_nodes(rooted, branches.select("node", "g", "t"))
+    looks = rooted.select("g", "sketch", F.slice("tokens", 1, TREES).alias("first"))
+    close = save(suspects(nodes.join(looks, "g"), least))
+    more = confirm_nodes(close.join(sets, "g"), percent)
+    return links.unionByName(save(more))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                     shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, g, h, component_id and kept of every row.
@@ -401,27 +424,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     branches = save(branches.drop("doc").join(
         shared.select("node", F.col("g").alias("lead"), F.col("doc").alias("lead_doc")), "node"))
     sets, name = bucketed(needed_sets(docs, branches.select("g").distinct(), shingle), "g")
-    # first round: each element with the first of its nodes, the best two
-    stars = branches.where("g <> lead").select(
-        F.col("g").alias("a"), F.col("lead").alias("b"), F.col("lead_doc").alias("doc")).distinct()
-    close = estimated(stars.select("a", "b"), elements, least)
-    close = close.join(elements.select(F.col("g").alias("b"), "doc"), "b")
-    best = close.groupBy("a").agg(
-        F.min(F.when(F.col("estimate") >= SAFE, F.struct("doc", "b")))["b"].alias("first"),
-        F.max(F.struct("estimate", "b"))["b"].alias("most"))
-    tried = save(best.select("a", F.explode(F.array_distinct(F.array("first", "most"))).alias("b"))
-                 .where("b IS NOT NULL"))
-    links = save(confirm(tried, sets, percent))
-    roots = connected_components(links)
-    # second round: all pairs of different components that share a node
-    rooted = save(elements.join(roots.withColumnRenamed("node", "g"), "g", "left")
-                  .withColumn("root", F.coalesce("root", "g")))
-    nodes = compared_nodes(rooted, branches.select("node", "g", "t"))
-    looks = rooted.select("g", "sketch", F.slice("tokens", 1, TREES).alias("first"))
-    close = save(suspects(nodes.join(looks, "g"), least))
-    more = confirm_nodes(close.join(sets, "g"), percent)
-    links = links.unionByName(save(more))
-    docs.sparkSession.sql(f"DROP TABLE {name}")
+    try:
+        links = _links(elements, branches, sets, least, percent)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     roots = connected_components(links)
     found = elements.select("g", "doc").join(roots.withColumnRenamed("node", "g"), "g", "left")
     found = found.withColumn("root", F.coalesce("root", "g"))

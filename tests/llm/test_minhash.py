@@ -108,3 +108,15 @@ def test_registered_query(spark):
     path = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
     assert result(queries.op9_chosen_path(spark, path)) == brute(rows, 3, 85)
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Two texts that differ in long words of one pattern share no more than the rest."""
+    def pattern(n, a, b):
+        return "".join(a if bin(i).count("1") % 2 else b for i in range(n))
+
+    words = sentence(77, 12).split()
+    rows = [(i, " ".join([*words[:4], pattern(1024, a, b), *words[4:8], pattern(2048, b, a), *words[8:]]))
+            for i, (a, b) in enumerate([("x", "y"), ("y", "x")])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85)
+    assert all(r.kept for r in got.collect())
