@@ -52,9 +52,10 @@ _VALUES = (r"\"(?:[^\"\\\r\n]|\\.){6,}+\"", r"'(?:[^'\\\r\n]|\\.){6,}+'",
 # a capitalised word with its hyphens and apostrophes, without the 's of a genitive
 _WORD = r"\p{Lu}(?:(?!['’]s(?!\p{L}))['’-]?[\p{L}\p{M}]++)++"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9.-]*?\.[A-Za-z]{2})"
+             r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+",
     "secret": f"{_NAMED}(?:{'|'.join(_VALUES)})",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})"
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+)"
            r"(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
@@ -196,6 +197,16 @@ def _check_digit(digits: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
+def _iban_check(country: Column, account: Column) -> Column:
+    """The two digits that make an account number valid: letters count from 10, modulo 97."""
+    def add(total: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (total * 10 + c.cast("int")) % 97).otherwise(
+            (total * 100 + F.ascii(c) - 55) % 97)
+
+    written = F.split(F.upper(F.concat(account, country, F.lit("00"))), "")
+    return F.lpad((F.lit(98) - F.aggregate(written, F.lit(0), add)).cast("string"), 2, "0")
+
+
 def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The surrogate's canonical form at an attempt; from SAME_FORM on it grows with the attempt."""
     def number(i: Column) -> Column:
@@ -222,6 +233,8 @@ def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     card = F.concat(swapped.substr(F.lit(1), F.length(canon) - 1), more(_DIGITS))
     octets = F.transform(F.sequence(F.lit(1), extra + 4),
                          lambda i: (F.pmod(number(i), F.lit(254)) + 1).cast("string"))
+    country = F.substring(canon, 1, 2)
+    account = F.concat(plain.substr(F.lit(5), F.length(canon)), more(_DIGITS))
     prefix = F.regexp_extract(canon, "^(AKIA|ghp_|sk-)", 1)
     out = (F.when(kind == "email", F.concat(_letters(local, number), more(_UPPER.lower()),
                                             F.lit("@m"), host, F.lit(".example.com")))
@@ -230,8 +243,7 @@ def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
            .when(kind.isin("ssn", "phone"), F.concat(swapped, more(_DIGITS)))
            .when(kind == "key", F.concat(prefix, plain.substr(F.length(prefix) + 1, F.length(canon)),
                                          more(_UPPER)))
-           .when(kind == "iban", F.concat(F.substring(canon, 1, 2),
-                                          plain.substr(F.lit(3), F.length(canon)), more(_DIGITS))))
+           .when(kind == "iban", F.concat(country, _iban_check(country, account), account)))
     for script in SYLLABLES:
         out = out.when(kind == f"family:{script}", name(script, ""))
         for gender in "mf":
@@ -297,11 +309,14 @@ def write_mention(mention: Column, surrogates: Column) -> Column:
 
 def replacements(mentions: DataFrame, key: str = KEY) -> DataFrame:
     """(mention, replacement) of distinct mentions."""
-    parts = save(mentions.distinct().select("mention", F.posexplode(parts_of(F.col("mention")))
+    # few bytes, much to compute: spread over as many tasks as a shuffle has
+    tasks = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mentions = mentions.distinct().repartition(tasks, "mention")
+    parts = save(mentions.select("mention", F.posexplode(parts_of(F.col("mention")))
                                             .alias("place", "part"))
                  .select("mention", "place", "part.type", "part.canon"))
     map_ = assign(parts, key)
-    return (parts.join(map_, ["type", "canon"]).groupBy("mention")
+    return (parts.join(map_, ["type", "canon"]).repartition(tasks, "mention").groupBy("mention")
             .agg(F.sort_array(F.collect_list(F.struct("place", "surrogate"))).alias("s"))
             .select("mention", write_mention(F.col("mention"), F.col("s.surrogate"))
                     .alias("replacement")))

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+import regex
 from conftest import odd_documents
 from pyspark.sql import functions as F
 
@@ -177,3 +178,66 @@ def test_mentions_are_whole(spark):
     assert re.fullmatch(r"Mrs \w+sen's car", got[4][0])
     assert re.fullmatch(r"Mr \w+sen, Herr \w+sen", got[5][0]) and got[5][1] == 2
     assert re.fullmatch(rf"Mrs {m[1]} Mr {m[1]} Frau (\w+na ){{3}}{m[1]}", got[6][0]) and got[6][1] == 3
+
+
+@pytest.mark.parametrize("text, mention", [
+    ("x a@b1.c1.d1.e1.f1.g1.h1.i1.jj1.kk.org y", "a@b1.c1.d1.e1.f1.g1.h1.i1.jj1.kk.org"),
+    ("x a@b." + "o" * 30 + " y", "a@b." + "o" * 30),
+    ("x " + "l" * 100 + "@mail.example.org.", "l" * 100 + "@mail.example.org"),
+    ("x sk-" + "k9" * 100 + " y", "sk-" + "k9" * 100),
+    ("x sk-proj-" + "k9" * 30 + "_a y", "sk-proj-" + "k9" * 30 + "_a"),
+    ("x ghp_" + "Zk9" * 40 + " y", "ghp_" + "Zk9" * 40),
+    ("a@" + "b." * 3000 + "com", "a@" + "b." * 3000 + "com"),
+])
+def test_long_mentions_go_whole(spark, text, mention):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = s.replace_pii(docs).first()
+    before, after = text.split(mention)
+    assert row.n_entities == 1 and row.text.startswith(before) and row.text.endswith(after)
+    middle = row.text[len(before):len(row.text) - len(after)]
+    assert middle and middle != mention and (mention[:3] not in middle[1:] or "@" in mention)
+
+
+def iban_rest(iban):
+    moved = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+
+def test_ibans_keep_valid_check_digits(spark):
+    docs = spark.createDataFrame(
+        [(1, "DE44 5001 0517 5407 3249 31 and GB82WEST12345698765432")], "doc_id long, text string")
+    text = s.replace_pii(docs).first().text
+    m = re.fullmatch(r"(DE\d{2} \d{4} \d{4} \d{4} \d{4} \d{2}) and (GB\d{2}[A-Z]{4}\d{14})", text)
+    assert m and all(iban_rest(i.replace(" ", "")) == 1 for i in m.groups())
+
+
+def test_whole_table_by_brute_force(spark):
+    """A plain scan of every text finds the mentions; the rest of each text is as it was, and each
+    mention has one replacement everywhere, in its own format, that no other mention has."""
+    from ledgerloom.llm import queries
+    path = "/root/testdata/sf0.001"
+    plain = regex.compile(s.PATTERN)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    table, kinds = {}, defaultdict(set)
+    for r in queries.op3_surrogates(spark, path).collect():
+        text = docs.pop(r.doc_id)
+        found = [] if text is None else list(plain.finditer(text))
+        assert r.n_entities == len(found)
+        if not found:
+            assert r.text == text
+            continue
+        gaps = [text[a:b] for a, b in zip([0, *[m.end() for m in found]],
+                                          [*[m.start() for m in found], len(text)])]
+        whole = re.fullmatch("(.*?)".join(map(re.escape, gaps)), r.text, re.S)
+        assert whole, r.doc_id
+        for m, new in zip(found, whole.groups()):
+            assert table.setdefault(m[0], new) == new
+            kind = next(k for k, p in s.PATTERNS.items() if regex.fullmatch(p, m[0]))
+            kinds[kind].add(m[0])
+    assert not docs and table and not set(table.values()) & set(table)
+    for kind in ("email", "ip", "ssn"):
+        mentions = {m.lower() for m in kinds[kind]}
+        assert len({table[m].lower() for m in kinds[kind]}) == len(mentions)
+    shape = lambda t: re.sub(r"[0-9]", "0", t)
+    for kind in ("phone", "card", "ssn"):
+        assert all(shape(m) == shape(table[m]) for m in kinds[kind])
