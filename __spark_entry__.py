@@ -29,7 +29,8 @@ from ledgerloom.operators.totals import (
 from ledgerloom.options import ReportOptions, normalise_reports, overlay_reports, report_dim
 from ledgerloom.outbound import messages as sms
 from ledgerloom.plans.ledgers import ledger
-from ledgerloom.plans.multi import load_reports, run_reports, run_trial_balances
+from ledgerloom.plans.multi import (
+    load_reports, run_ledgers, run_reports, run_trial_balances)
 from ledgerloom.sinks import exports
 from ledgerloom.sinks.search import search_lines
 from ledgerloom.sources import samples
@@ -297,6 +298,12 @@ def _multi(spark: SparkSession, path: str) -> DataFrame:
     return flat(rows, ["report_id", *TOTAL])
 
 
+def _multi_detail(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of one saved report per nation, of all kinds, in one job."""
+    reports = samples.nation_reports(spark, path).withColumn("summary", F.lit(False))
+    return flat(run_ledgers(stored_tables(spark, path), reports, TODAY), ["report_id", *LINE])
+
+
 def _side_by_side(spark: SparkSession, path: str) -> DataFrame:
     options = [replace(CASES[n], report_id=i) for i, n in enumerate(oracle.SIDE_BY_SIDE, 1)]
     return flat(run_reports(stored_tables(spark, path), options, TODAY), ["report_id", *LINE])
@@ -387,6 +394,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_options": _report_options,
     "report_dim": _report_dim,
     "multi_report_trial_balance": _multi,
+    "multi_report_detail": _multi_detail,
     "reports_side_by_side": _side_by_side,
     "outbound_recipients": _recipients,
     "outbound_routes": _routes,

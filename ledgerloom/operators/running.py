@@ -12,8 +12,8 @@ from ledgerloom.schemas import money_scale
 from ledgerloom.sources.staging import RANGE, staged_ranges
 
 
-def running_sum(rows: DataFrame, key: str, order: Sequence[str], value: str, out: str,
-                carried: DataFrame | None = None) -> DataFrame:
+def running_sum(rows: DataFrame, key: str | Sequence[str], order: Sequence[str], value: str,
+                out: str, carried: DataFrame | None = None) -> DataFrame:
     """Sum of `value` over the rows of the same `key` up to each row, in the given order.
 
     Together with the key, `order` is unique. Rows are cut into even ranges of (key, order), so a
@@ -24,19 +24,20 @@ def running_sum(rows: DataFrame, key: str, order: Sequence[str], value: str, out
     `carried` (`key`, `value`) is what each key starts from: rows that sort before the key's others,
     so null keys work and no row is joined by its key.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     tagged = rows.withColumn("_is_row", F.lit(1))
     if carried is not None:
         tagged = tagged.unionByName(
-            carried.select(key, F.col(value).cast(rows.schema[value].dataType).alias(value),
+            carried.select(*keys, F.col(value).cast(rows.schema[value].dataType).alias(value),
                            F.lit(0).alias("_is_row")), allowMissingColumns=True)
-    ranged = staged_ranges(tagged, key, "_is_row", *order)
-    before = Window.partitionBy(key).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    shared = (ranged.groupBy(RANGE, key).agg(F.sum(value).alias("_sum"))
+    ranged = staged_ranges(tagged, *keys, "_is_row", *order)
+    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    shared = (ranged.groupBy(RANGE, *keys).agg(F.sum(value).alias("_sum"))
               .withColumn("_before", F.sum("_sum").over(before)).where("_before IS NOT NULL")
-              .select(RANGE, F.col(key).alias("_first"), "_before"))
-    upto = (Window.partitionBy(RANGE, key).orderBy("_is_row", *order)
+              .select(RANGE, F.struct(*keys).alias("_first"), "_before"))
+    upto = (Window.partitionBy(RANGE, *keys).orderBy("_is_row", *order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offset = F.when(F.col(key).eqNullSafe(F.col("_first")), F.col("_before"))
+    offset = F.when(F.struct(*keys).eqNullSafe(F.col("_first")), F.col("_before"))
     kind = T.DecimalType(38, rows.schema[value].dataType.scale)
     summed = ranged.withColumn("_so_far", F.sum(value).over(upto)).where("_is_row = 1")
     return (summed.join(shared, RANGE, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from oracle.cases import CASES, TODAY, nation_report
 from oracle.ledger_sql import (
     AGES, KEY, LINE, NAMES, TOTAL, labelled, lines_sql, report, shown, statement)
@@ -188,6 +190,16 @@ def _multi() -> str:
     return statement(shown(["report_id", *TOTAL], "every"), *ctes)
 
 
+def _multi_detail() -> str:
+    ctes, rows = [], []
+    for n in range(25):
+        o = settled(replace(nation_report(n), summary=False), TODAY)
+        ctes.append(report(o, f"r{n}_"))
+        rows.append(f"SELECT CAST({o.report_id} AS BIGINT) AS report_id, * FROM r{n}_lines")
+    ctes.append("every AS (" + "\nUNION ALL BY NAME ".join(rows) + ")")
+    return statement(shown(["report_id", *LINE], "every"), *ctes)
+
+
 def _side_by_side(names: tuple[str, ...]) -> str:
     ctes, rows = [], []
     for i, name in enumerate(names, 1):
@@ -385,6 +397,7 @@ SELECT CAST(7 AS BIGINT) AS report_id, line_type, move_line_id, journal_id, CAST
         **_fiscal(),
         **_options(),
         "multi_report_trial_balance": _multi(),
+        "multi_report_detail": _multi_detail(),
         "reports_side_by_side": _side_by_side(SIDE_BY_SIDE),
         "stored_report_lines": _side_by_side(STORED),
         **_outbound(),

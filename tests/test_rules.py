@@ -10,7 +10,8 @@ from handmade import (
     BANKACC, COMPACTED, OTHER_REC, RECEIVABLE, UNAFFECTED, YEAR, d, make)
 from ledgerloom import (
     ReportOptions, aged_balance, analytic_ledger, general_ledger, journal_ledger, ledger,
-    open_ledger, partner_ledger, read_store, run_trial_balances, trial_balance, write_tables)
+    open_ledger, partner_ledger, read_store, run_ledgers, run_trial_balances, trial_balance,
+    write_reports, write_tables)
 from ledgerloom.operators import running
 from ledgerloom.operators.opening import opening, openings, unaffected_earnings
 from ledgerloom.operators.running import running_balance
@@ -18,8 +19,8 @@ from ledgerloom.operators.scan import (
     account_group_closure, account_group_subtree, eligible_partners, select_accounts)
 from ledgerloom.operators.totals import (
     grand_total, group_lines, object_totals, report_sums)
-from ledgerloom.plans import ledgers
-from ledgerloom.schemas import AMOUNTS
+from ledgerloom.plans import ledgers, multi
+from ledgerloom.schemas import AMOUNTS, REPORT_CONFIG, conform
 from ledgerloom.sinks import exports
 from ledgerloom.sinks.search import search_lines
 from ledgerloom.sources.staging import staged_ranges
@@ -461,3 +462,46 @@ def test_ids_as_a_frame(tables):
     kept = keep_ids(tables.items, "account_id", wanted)
     assert kept.count() == keep_ids(tables.items, "account_id", [BANKACC]).count() > 0
     assert keep_ids(tables.items, "account_id", ()).count() == tables.items.count()
+
+
+def test_many_reports_meet_items_without_nested_loops(spark, stored, monkeypatch):
+    """Scans of the items do not grow with the reports, and rows meet by equal keys only."""
+    plans = []
+
+    def recorded(write):
+        def run(df, *args):
+            plans.append(df)
+            return write(df, *args)
+        return run
+
+    monkeypatch.setattr(multi, "staged", recorded(multi.staged))
+    monkeypatch.setattr(running, "staged_ranges", recorded(running.staged_ranges))
+    spark.conf.set("spark.sql.maxMetadataValueLength", "1000")
+
+    def scans(n):
+        plans.clear()
+        rows = [(i, 1, ("general", "partner", "journal", "aged")[i % 4], d(f"2024-0{i % 9 + 1}-01"))
+                for i in range(1, n + 1)]
+        reports = conform(spark.createDataFrame(
+            rows, "report_id long, company_id long, ledger_type string, date_from date"), REPORT_CONFIG)
+        plans.append(run_ledgers(stored, reports, d("2024-12-31")))
+        plans.append(run_trial_balances(stored, reports, d("2024-12-31")))
+        text = "\n".join(p._jdf.queryExecution().executedPlan().toString() for p in plans)
+        assert "NestedLoop" not in text and "CartesianProduct" not in text
+        return sum("FileScan" in x and "/account_move_line/" in x for x in text.splitlines())
+
+    assert scans(2) == scans(9) == 5
+
+
+def test_saved_reports_are_written_in_one_job(spark, tables, tmp_path):
+    rows = [(1, 1, "general", False), (2, 1, "partner", True), (3, 1, "journal", False)]
+    reports = conform(spark.createDataFrame(
+        rows, "report_id long, company_id long, ledger_type string, summary boolean"), REPORT_CONFIG)
+    path = str(tmp_path / "lines")
+    write_reports(tables, reports, path, d("2024-12-31"))
+    stored_lines = spark.read.parquet(path)
+    for i, _, kind, summary in rows:
+        one = ledger(prepare(tables), ReportOptions(kind, report_id=i, summary=summary))
+        got = stored_lines.where(f"report_id = {i}").select(
+            *[F.col(c).cast(t) for c, t in one.dtypes])
+        assert got.exceptAll(one).count() == 0 and one.exceptAll(got).count() == 0
