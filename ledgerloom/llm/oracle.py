@@ -67,6 +67,49 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
 
+BYTE_STRINGS = """
+WITH d AS (
+  SELECT doc_id, x, octet_length(x) AS n FROM (
+    SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents)),
+windows AS (
+  SELECT doc_id, s, x[s + 1:s + 50] AS win FROM (
+    SELECT doc_id, x, unnest(range(0, n - 49)) AS s FROM d WHERE n >= 50)),
+first AS (
+  SELECT win, min(doc_id) AS first FROM windows GROUP BY win HAVING min(doc_id) < max(doc_id)),
+starts AS (
+  SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before
+  FROM windows JOIN first USING (win) WHERE first < doc_id),
+spans AS (
+  SELECT doc_id, k, min(s) AS a, max(s) + 50 AS b FROM (
+    SELECT *, sum(CASE WHEN s <= before + 50 THEN 0 ELSE 1 END) OVER (
+      PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM starts)
+  GROUP BY doc_id, k),
+removed AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+edges AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL
+  SELECT doc_id, coalesce(max(b), 0), max(n) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, sha256(unhex(string_agg(hex(x[a + 1:b]), '' ORDER BY a))) AS kept_sha256
+  FROM edges JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) JOIN kept USING (doc_id)"""
+
+# base32 takes five bits of the digest at a time
+RECORDS = """
+WITH p AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h FROM (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages)),
+digits AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1)),
+    '') AS payload_digest, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM digits"""
+
 # crc32 is one step per bit; a window of 16 words recurs one period on in every run of 24 words or more
 RUNS = f"""
 WITH bits AS (

@@ -86,5 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_decontamination": oracle.DECONTAMINATION,
     "op4_relative_lempel_ziv": oracle.SUBSTRINGS,
+    "op5_sharded_warc": oracle.RECORDS,
+    "op6_suffix_sort": oracle.BYTE_STRINGS,
     "op9_chosen_path": oracle.NEAR_DUPLICATES,
     "op11_lyndon_runs": oracle.RUNS}
