@@ -32,6 +32,12 @@ from ledgerloom.sources.tables import (
 ITEMS, ROLLUP = "account_move_line", "rollup"
 PARTS = ("company_id", "date_year", "open_year")
 ROWS_PER_FILE = 4_000_000
+# Columns that items are looked up by besides the order they lie in: Bloom filters, as large as each
+# file's values need, or dictionaries where a file has few values. Readers skip what lacks a value.
+_LOOKUPS = {"parquet.bloom.filter.adaptive.enabled": "true",
+            "parquet.bloom.filter.max.bytes": str(1 << 20),
+            **{f"parquet.bloom.filter.enabled#{c}": "true"
+               for c in ("partner_id", "move_id", "move_name", "full_reconcile_id")}}
 _CELL = ("account_id", "journal_id", "partner_id", "parent_state", "month", "matched", "match_month")
 _MANIFEST = "name string, folder string, company_id bigint, date_year int, open_year int"
 
@@ -88,13 +94,14 @@ def _write_items(items: DataFrame, path: str, version: int, rows_per_file: int)
     """Write items and their sums under a version; the folders written.
 
     Items are range-partitioned with their unique id as the last key: a company, year or account of any
-    size is cut into even files.
+    size is cut into even files, with filters for lookups by partner, entry and match.
     """
     spark = items.sparkSession
     spread = (*PARTS, "account_id", "date", "id")
     target = f"{path}/{ITEMS}/version={version}"
-    (items.repartitionByRange(*spread).sortWithinPartitions(*spread)
-     .write.option("maxRecordsPerFile", rows_per_file).partitionBy(*PARTS).parquet(target))
+    writer = items.repartitionByRange(*spread).sortWithinPartitions(*spread).write
+    writer = writer.option("maxRecordsPerFile", rows_per_file).options(**_LOOKUPS)
+    writer.partitionBy(*PARTS).parquet(target)
     written = spark.read.schema(items.schema).parquet(target)
     month = F.trunc("date", "month")
     cells = (written.where(F.col("display_type").isNull())

@@ -198,3 +198,34 @@ def test_files_are_cut_by_rows(spark, tables, tmp_path):
     t = read_store(spark, str(tmp_path / "s"))
     sizes = [r["count"] for r in t.items.groupBy(F.input_file_name()).count().collect()]
     assert max(sizes) <= 500 and sum(sizes) == tables.items.count()
+
+
+def rows_read(df):
+    """Rows that the scans of the items gave, by the executed plan's own counters."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "FileSourceScanExec":
+            found += plan.metrics().apply("numOutputRows").value()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_lookups_by_partner_entry_and_match_skip_files(spark, tables, tmp_path):
+    """Selections by columns the items do not lie by read a small share of them."""
+    path = str(tmp_path / "store")
+    write_tables(tables, path, rows_per_file=100)
+    items = read_store(spark, path).items
+    whole = rows_read(items.select("id", "balance"))
+    assert whole == tables.items.count()
+    one = items.where("open_year = 1997 AND account_id BETWEEN 41100 AND 41199").orderBy("id").first()
+    for column, most in (("partner_id", 0.7), ("move_name", 0.25), ("full_reconcile_id", 0.25)):
+        chosen = items.where(F.col(column) == one[column]).select("id", "balance")
+        assert 0 < rows_read(chosen) < most * whole, column
