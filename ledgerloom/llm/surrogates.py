@@ -251,6 +251,11 @@ def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     return out.otherwise(F.concat(plain, more(_UPPER.lower())))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of few bytes with much to compute, spread over all cores."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(type, canon, surrogate) of distinct entities; no two of a type share a surrogate.
 
@@ -260,7 +265,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     real = entities.withColumnRenamed("canon", "surrogate")
     done, pending = None, entities
     for attempt in count():
-        drawn = pending.withColumn(
+        drawn = _spread(pending).withColumn(
             "surrogate", draw(F.col("type"), F.col("canon"), F.lit(attempt), key))
         first = F.row_number().over(W.Window.partitionBy("type", "surrogate").orderBy("canon")) == 1
         drawn = drawn.withColumn("first", first).join(
@@ -309,16 +314,13 @@ def write_mention(mention: Column, surrogates: Column) -> Column:
 
 def replacements(mentions: DataFrame, key: str = KEY) -> DataFrame:
     """(mention, replacement) of distinct mentions."""
-    # few bytes, much to compute: spread over as many tasks as a shuffle has
-    tasks = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mentions = mentions.distinct().repartition(tasks, "mention")
-    parts = save(mentions.select("mention", F.posexplode(parts_of(F.col("mention")))
+    parts = save(_spread(mentions.distinct()).select("mention", F.posexplode(parts_of(F.col("mention")))
                                             .alias("place", "part"))
                  .select("mention", "place", "part.type", "part.canon"))
     map_ = assign(parts, key)
-    return (parts.join(map_, ["type", "canon"]).repartition(tasks, "mention").groupBy("mention")
-            .agg(F.sort_array(F.collect_list(F.struct("place", "surrogate"))).alias("s"))
-            .select("mention", write_mention(F.col("mention"), F.col("s.surrogate"))
+    drawn = (parts.join(map_, ["type", "canon"]).groupBy("mention")
+             .agg(F.sort_array(F.collect_list(F.struct("place", "surrogate"))).alias("s")))
+    return (_spread(drawn).select("mention", write_mention(F.col("mention"), F.col("s.surrogate"))
                     .alias("replacement")))
 
 
