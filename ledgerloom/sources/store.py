@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import schemas as S
-from ledgerloom.sources.staging import staged
+from ledgerloom.sources.staging import staged, tasks_for
 from ledgerloom.sources.tables import (
     LedgerTables, check_table, prepare, with_entry_columns)
 
@@ -90,16 +90,19 @@ def _placed(items: DataFrame, accounts: DataFrame) -> DataFrame:
             .drop("_third"))
 
 
-def _write_items(items: DataFrame, path: str, version: int, rows_per_file: int) -> list[Row]:
+def _write_items(items: DataFrame, path: str, version: int, rows_per_file: int,
+                 tasks: int | None) -> list[Row]:
     """Write items and their sums under a version; the folders written.
 
     Items are range-partitioned with their unique id as the last key: a company, year or account of any
-    size is cut into even files, with filters for lookups by partner, entry and match.
+    size is cut into even files, with filters for lookups by partner, entry and match. `tasks` grows
+    with the items, so that no task sorts more than fits its memory.
     """
     spark = items.sparkSession
     spread = (*PARTS, "account_id", "date", "id")
     target = f"{path}/{ITEMS}/version={version}"
-    writer = items.repartitionByRange(*spread).sortWithinPartitions(*spread).write
+    many = () if tasks is None else (tasks,)
+    writer = items.repartitionByRange(*many, *spread).sortWithinPartitions(*spread).write
     writer = writer.option("maxRecordsPerFile", rows_per_file).options(**_LOOKUPS)
     writer.partitionBy(*PARTS).parquet(target)
     written = spark.read.schema(items.schema).parquet(target)
@@ -111,7 +114,7 @@ def _write_items(items: DataFrame, path: str, version: int, rows_per_file: int)
              .agg(*[F.sum(c).alias(c) for c in S.FLOWS]))
     schema = _rollup_schema(S.money_scale(items))
     cells = S.conform(cells, schema)
-    (cells.repartitionByRange(*PARTS, "account_id", "partner_id", "month")
+    (cells.repartitionByRange(*many, *PARTS, "account_id", "partner_id", "month")
      .write.partitionBy(*PARTS).parquet(f"{path}/{ROLLUP}/version={version}"))
     parts = written.select(*PARTS).distinct().collect()
     summed = spark.read.schema(schema).parquet(f"{path}/{ROLLUP}/version={version}")
@@ -126,7 +129,9 @@ def _table_row(name: str, folder: str) -> Row:
 def write_tables(tables: LedgerTables, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Store the tables under a new folder, for `read_store` and `add_to_store`."""
     spark = tables.spark
-    rows = _write_items(_placed(prepare(tables).items, tables["account_account"]), path, 1, rows_per_file)
+    tasks = tasks_for(spark, tables.items.count())
+    items = _placed(prepare(tables, tasks).items, tables["account_account"])
+    rows = _write_items(items, path, 1, rows_per_file, tasks)
     rows.append(_table_row("scale", str(S.money_scale(tables.items))))
     for name in S.TABLES:
         if name != ITEMS:
@@ -235,12 +240,13 @@ def add_to_store(spark: SparkSession, path: str, batch: Mapping[str, DataFrame],
     else:
         rows = new.withColumn("last_match_date", F.lit(None).cast("date"))
     rows = staged(rows.withColumn("_k", _match_key()).join(touched, key, "left"))
+    tasks = tasks_for(spark, rows.count())
     dates = (rows.where("_touched").groupBy(*key).agg(F.max("date").alias("_last")))
     last = (F.when(F.col("_touched"), F.col("_last"))
             .when(F.col("full_reconcile_id").isNotNull(), F.col("last_match_date")))
     rows = rows.join(dates, key, "left").withColumn("last_match_date", last).drop("_k", "_touched", "_last")
 
-    written = _write_items(_placed(rows, now["account_account"]), path, version, rows_per_file)
+    written = _write_items(_placed(rows, now["account_account"]), path, version, rows_per_file, tasks)
     for name, frame in merged.items():
         frame.write.parquet(f"{path}/{name}/version={version}")
         written.append(_table_row(name, f"version={version}"))
