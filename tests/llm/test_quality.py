@@ -99,3 +99,19 @@ def test_hashes_of_ranges_are_their_bytes(monkeypatch):
     by_text = dict(zip(texts, h.tolist()))
     assert all(by_text[t] == x for t, x in zip(texts, h.tolist()))
     assert len(set(by_text.values())) == len(by_text)
+
+
+def test_all_labelled_documents_count(spark, monkeypatch):
+    """More documents than the trees draw: the threshold still comes from all of them."""
+    texts = ["w x y z of the plain prose in here and so on", "W! X! Y! Z! ## $$ %% !! A!! B!! C!! D!!"]
+    docs = spark.createDataFrame([(i, texts[i % 3 == 0]) for i in range(300)],
+                                 "doc_id long, text string")
+    labels = labels_of(spark, [(i, int(i % 3 > 0), 0) for i in range(300)])
+    seen = []
+    calibrate = quality.calibrate
+    monkeypatch.setattr(quality, "calibrate", lambda s, g, b: (
+        seen.append((int(g.sum()), int(b.sum()))), calibrate(s, g, b))[1])
+    forest = quality.fit_quality(docs, labels, trees=8, subsample=16)
+    assert seen == [(200, 100)] and forest.feature.shape[0] == 8
+    rows = quality.score_quality(docs, forest, keep_text=False).collect()
+    assert {r.doc_id for r in rows if not r.kept} == set(range(0, 300, 3))
