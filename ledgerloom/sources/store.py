@@ -25,16 +25,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import schemas as S
-from ledgerloom.sources.staging import staged, tasks_for
+from ledgerloom.sources.staging import CODEC, at_least, staged, tasks_for
 from ledgerloom.sources.tables import (
     LedgerTables, check_table, prepare, with_entry_columns)
 
 ITEMS, ROLLUP = "account_move_line", "rollup"
 PARTS = ("company_id", "date_year", "open_year")
 ROWS_PER_FILE = 4_000_000
-# Columns that items are looked up by besides the order they lie in: Bloom filters, as large as each
-# file's values need, or dictionaries where a file has few values. Readers skip what lacks a value.
+# Columns that items are looked up by besides the order they lie in: Bloom filters, of the smaller of
+# two sizes where a file's values fit, or dictionaries where a file has few values. Readers skip what
+# lacks a value. Every value goes into a filter of each size still possible, so more sizes take longer.
 _LOOKUPS = {"parquet.bloom.filter.adaptive.enabled": "true",
+            "parquet.bloom.filter.candidates.number": "2",
             "parquet.bloom.filter.max.bytes": str(1 << 20),
             **{f"parquet.bloom.filter.enabled#{c}": "true"
                for c in ("partner_id", "move_id", "move_name", "full_reconcile_id")}}
@@ -96,14 +98,15 @@ def _write_items(items: DataFrame, path: str, version: int, rows_per_file: int,
 
     Items are range-partitioned with their unique id as the last key: a company, year or account of any
     size is cut into even files, with filters for lookups by partner, entry and match. `tasks` grows
-    with the items, so that no task sorts more than fits its memory.
+    with the items, so that no task sorts more than fits its memory. Sums are written as they were
+    grouped, as a few of them in each task and partition serve readers as well as long files.
     """
     spark = items.sparkSession
     spread = (*PARTS, "account_id", "date", "id")
     target = f"{path}/{ITEMS}/version={version}"
     many = () if tasks is None else (tasks,)
     writer = items.repartitionByRange(*many, *spread).sortWithinPartitions(*spread).write
-    writer = writer.option("maxRecordsPerFile", rows_per_file).options(**_LOOKUPS)
+    writer = writer.option("maxRecordsPerFile", rows_per_file).options(compression=CODEC, **_LOOKUPS)
     writer.partitionBy(*PARTS).parquet(target)
     written = spark.read.schema(items.schema).parquet(target)
     month = F.trunc("date", "month")
@@ -113,9 +116,9 @@ def _write_items(items: DataFrame, path: str, version: int, rows_per_file: int,
                       F.trunc("last_match_date", "month").alias("match_month"))
              .agg(*[F.sum(c).alias(c) for c in S.FLOWS]))
     schema = _rollup_schema(S.money_scale(items))
-    cells = S.conform(cells, schema)
-    (cells.repartitionByRange(*many, *PARTS, "account_id", "partner_id", "month")
-     .write.partitionBy(*PARTS).parquet(f"{path}/{ROLLUP}/version={version}"))
+    cells = S.conform(cells, schema).sortWithinPartitions(*PARTS, "account_id", "partner_id", "month")
+    (cells.write.option("compression", CODEC).partitionBy(*PARTS)
+     .parquet(f"{path}/{ROLLUP}/version={version}"))
     parts = written.select(*PARTS).distinct().collect()
     summed = spark.read.schema(schema).parquet(f"{path}/{ROLLUP}/version={version}")
     return [Row(name=name, folder=_folder(version, p), **p.asDict()) for name, found in (
@@ -130,12 +133,13 @@ def write_tables(tables: LedgerTables, path: str, rows_per_file: int = ROWS_PER_
     """Store the tables under a new folder, for `read_store` and `add_to_store`."""
     spark = tables.spark
     tasks = tasks_for(spark, tables.items.count())
-    items = _placed(prepare(tables, tasks).items, tables["account_account"])
-    rows = _write_items(items, path, 1, rows_per_file, tasks)
+    with at_least(spark, tasks):
+        items = _placed(prepare(tables, tasks).items, tables["account_account"])
+        rows = _write_items(items, path, 1, rows_per_file, tasks)
     rows.append(_table_row("scale", str(S.money_scale(tables.items))))
     for name in S.TABLES:
         if name != ITEMS:
-            tables[name].write.parquet(f"{path}/{name}/version=1")
+            tables[name].write.option("compression", CODEC).parquet(f"{path}/{name}/version=1")
             rows.append(_table_row(name, "version=1"))
     _commit(spark, path, 1, rows)
 

@@ -1,14 +1,19 @@
 """Work and memory of storing grow no faster than the items."""
 
 import contextlib
+import datetime
 import glob
 import io
 import os
 import re
 
+from pyspark.sql import functions as F
+
 from ledgerloom import read_store, write_tables
-from ledgerloom.sources import staging
-from ledgerloom.sources.trade import derive_tables
+from ledgerloom import schemas as S
+from ledgerloom.sources import staging, trade
+from ledgerloom.sources.tables import LedgerTables, with_match_date
+from ledgerloom.sources.trade import derive_tables, documents
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -43,3 +48,67 @@ def test_tasks_grow_with_the_items(spark, tmp_path, monkeypatch):
         f"{tmp_path}/s/account_move_line/**/*.parquet", recursive=True)}
     assert len(parts) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert read_store(spark, str(tmp_path / "s")).items.count() == tables.items.count()
+
+
+def _exchanges(frame):
+    """What is shuffled in a plan, by operator."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"Exchange hashpartitioning", plan))
+
+
+def test_bills_are_dealt_out_once(spark):
+    """Sums per bill and numbers of bills share one shuffle of the lines; nothing is sorted before it."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(100 << 20))
+    try:
+        assert _exchanges(documents(spark, SF).where("NOT is_sale")) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_whole_load_finds_match_dates_with_one_shuffle(spark):
+    """Also for items of several companies, of none, and without a match, under one match number."""
+    day = [datetime.date(2020, 1, n) for n in range(1, 8)]
+    rows = [(1, 1, 7, day[0]), (2, 1, 7, day[4]), (3, 2, 7, day[6]), (4, None, 7, day[5]),
+            (5, 1, None, day[3]), (6, 1, 8, None), (7, 1, 9, day[1]), (7, 1, 9, day[1])]
+    items = spark.createDataFrame(
+        rows, "id bigint, company_id bigint, full_reconcile_id bigint, date date")
+    tables = LedgerTables({"account_move_line": items})
+    joined = with_match_date(tables).items
+    loaded = with_match_date(tables, 4).items.select(*joined.columns)
+    assert sorted(map(str, loaded.collect())) == sorted(map(str, joined.collect()))
+    assert {r.id: r.last_match_date for r in loaded.collect()} == {
+        1: day[4], 2: day[4], 3: day[6], 4: None, 5: None, 6: None, 7: day[1]}
+    assert _exchanges(loaded.select("*")) == 1
+
+
+def test_kept_documents_are_read_by_many_tasks(spark, monkeypatch):
+    """A document grows to several wide items: a file of many documents must not be one task."""
+    monkeypatch.setattr(trade, "DOCUMENTS_GROUP", 4096)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    kept = derive_tables(spark, SF, keep=True)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        usual = kept["account_full_reconcile"].rdd.getNumPartitions()
+        with staging.at_least(spark, 60):
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "60"
+            parts = kept["account_full_reconcile"].select("*").rdd.glom().map(len).collect()
+        with staging.at_least(spark, None):
+            assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    filled = [n for n in parts if n]
+    assert len(filled) > usual and sum(filled) == kept["account_full_reconcile"].count()
+
+
+def test_stored_sums_add_up_and_files_are_compressed(spark, tmp_path):
+    """The sums per month are those of the items, however their rows are dealt to files."""
+    tables = derive_tables(spark, SF)
+    write_tables(tables, str(tmp_path / "s"))
+    stored = read_store(spark, str(tmp_path / "s"))
+    flows = [F.sum(c).cast("decimal(28,2)") for c in S.FLOWS]
+    assert stored.rollup.agg(*flows).first() == tables.items.where(
+        "display_type IS NULL").agg(*flows).first()
+    assert all(".zstd." in os.path.basename(f) for f in glob.glob(
+        f"{tmp_path}/s/**/*.parquet", recursive=True) if "manifest" not in f)
