@@ -9,11 +9,11 @@ import re
 
 from pyspark.sql import functions as F
 
-from ledgerloom import read_store, write_tables
+from ledgerloom import ReportOptions, ledger, read_store, write_tables
 from ledgerloom import schemas as S
 from ledgerloom.sources import staging, trade
 from ledgerloom.sources.tables import LedgerTables, with_match_date
-from ledgerloom.sources.trade import derive_tables, documents
+from ledgerloom.sources.trade import derive_tables, documents, stored_tables, three_decimal_tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -112,3 +112,23 @@ def test_stored_sums_add_up_and_files_are_compressed(spark, tmp_path):
         "display_type IS NULL").agg(*flows).first()
     assert all(".zstd." in os.path.basename(f) for f in glob.glob(
         f"{tmp_path}/s/**/*.parquet", recursive=True) if "manifest" not in f)
+
+
+def test_a_report_is_run_without_storing_all_items(spark, tmp_path, monkeypatch):
+    """Only documents and accounts are written before a report, once for both ledgers; the report is that
+    of a store."""
+    written = []
+    monkeypatch.setattr(trade, "_stored", {})
+    monkeypatch.setattr(staging, "shared_folder", lambda _: written.append(
+        str(tmp_path / str(len(written)))) or written[-1])
+    tables, thousandths = stored_tables(spark, SF), three_decimal_tables(spark, SF)
+    assert len(written) == 2 and tables is stored_tables(spark, SF)
+    assert sum(spark.read.parquet(f).count() for f in written) < tables.items.count() / 2
+    assert S.money_scale(thousandths.items) == 3
+    write_tables(tables, str(tmp_path / "s"))
+    stored = read_store(spark, str(tmp_path / "s"))
+    for kind, changes in (("partner", {"reconciled": False}), ("general", {"compact_account": True})):
+        o = ReportOptions(kind, date_from=datetime.date(1997, 3, 5),
+                          date_to=datetime.date(1998, 6, 15), **changes)
+        a, b = ledger(tables, o), ledger(stored, o)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
