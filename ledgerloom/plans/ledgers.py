@@ -14,7 +14,7 @@ from ledgerloom.operators.lines import compact_lines, detail_lines
 from ledgerloom.operators.opening import opening_per_object, openings
 from ledgerloom.operators.totals import report_sums, report_totals
 from ledgerloom.options import ReportOptions
-from ledgerloom.sources.staging import staged
+from ledgerloom.sources.staging import at_least, staged
 from ledgerloom.sources.tables import LedgerTables
 
 
@@ -26,17 +26,21 @@ def ledger(tables: LedgerTables, options: ReportOptions, today: dt.date | None =
     Rows carry no order; see `display_order`. A trial balance is one lazy plan. Otherwise the
     report's sums are made first, in one pass over the items, and staged: openings, balances
     carried, compacted accounts and totals are read from them. A second pass stages the detail
-    rows by ranges of their running balance. What is returned reads staged files only.
+    rows by ranges of their running balance. What is returned reads staged files only. Both passes
+    have as many tasks as the ledger's size asks for.
     """
     o = options.normalise(today)
     schema = S.line_schema(S.money_scale(tables.items))
     if o.summary:
         return S.conform(report_totals(tables, o), schema)
-    sums = staged(report_sums(tables, o)) if totals or o.has_opening else None
+    spark, tasks = tables.spark, tables.tasks()
+    with at_least(spark, tasks):
+        sums = staged(report_sums(tables, o)) if totals or o.has_opening else None
     rows = openings(tables, o, sums)
     carried = None if rows is None else opening_per_object(rows)
     parts = [] if rows is None else [rows]
-    parts.append(detail_lines(tables, o, carried))
+    with at_least(spark, tasks):
+        parts.append(detail_lines(tables, o, carried))
     if o.compact_account:
         parts.append(compact_lines(sums, tables, o, carried))
     if totals:

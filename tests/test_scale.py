@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import ReportOptions, ledger, read_store, write_tables
 from ledgerloom import schemas as S
+from ledgerloom.operators import running
 from ledgerloom.sources import staging, trade
 from ledgerloom.sources.tables import LedgerTables, with_match_date
 from ledgerloom.sources.trade import derive_tables, documents, stored_tables, three_decimal_tables
@@ -132,3 +133,23 @@ def test_a_report_is_run_without_storing_all_items(spark, tmp_path, monkeypatch)
                           date_to=datetime.date(1998, 6, 15), **changes)
         a, b = ledger(tables, o), ledger(stored, o)
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+def test_tasks_of_a_report_grow_with_the_ledger(spark, monkeypatch):
+    """Ranges of lines too: their number was the session's, whatever the number of lines."""
+    ranges = []
+    monkeypatch.setattr(running, "staged_ranges", lambda rows, *order: ranges.append(
+        staging.staged_ranges(rows, *order)) or ranges[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = []
+        for rows_per_task in (500_000, 500):
+            monkeypatch.setattr(staging, "ROWS_PER_TASK", rows_per_task)
+            lines = ledger(derive_tables(spark, SF), ReportOptions(
+                "general", date_from=datetime.date(1994, 1, 1), date_to=datetime.date(1998, 6, 15)))
+            found.append(sorted(map(str, lines.collect())))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    usual, more = (r.select(staging.RANGE).distinct().count() for r in ranges)
+    assert usual <= int(spark.conf.get("spark.sql.shuffle.partitions")) < more
+    assert found[0] == found[1]
