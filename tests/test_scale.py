@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from ledgerloom import ReportOptions, ledger, read_store, write_tables
 from ledgerloom import schemas as S
 from ledgerloom.operators import running
@@ -153,3 +154,13 @@ def test_tasks_of_a_report_grow_with_the_ledger(spark, monkeypatch):
     usual, more = (r.select(staging.RANGE).distinct().count() for r in ranges)
     assert usual <= int(spark.conf.get("spark.sql.shuffle.partitions")) < more
     assert found[0] == found[1]
+
+
+def test_reports_about_no_items_store_no_documents(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(trade, "_stored", {})
+    monkeypatch.setattr(staging, "staged", lambda df, **_: written.append(df) or df)
+    monkeypatch.setattr(trade, "staged", staging.staged)
+    for name in ("report_dim", "company_reports", "eligible_partners"):
+        assert driver.queries()[name](spark, SF).count() > 0
+    assert not written
