@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 RANGE = "_range"
 ROWS_PER_TASK = 500_000
+COMPILED = 8000         # bytes of a method up to which the JVM compiles it; beyond, it interprets it
 CODEC = "zstd"          # a third smaller than the default, at the same speed
 
 
@@ -37,13 +38,15 @@ def tasks_for(spark: SparkSession, rows: int) -> int | None:
 @contextmanager
 def at_least(spark: SparkSession, tasks: int | None) -> Iterator[None]:
     """While this holds, scans and shuffles have so many tasks, where there are rows enough for them;
-    with None, the session's own number."""
-    names = ("spark.sql.shuffle.partitions", "spark.sql.files.minPartitionNum")
-    before = {n: spark.conf.get(n, None) for n in names}
+    with None, the session's own number. Operators whose common code the JVM would not compile run one by
+    one: interpreted, it takes ten times as long."""
+    values = {"spark.sql.codegen.hugeMethodLimit": COMPILED}
+    if tasks is not None:
+        values |= {"spark.sql.shuffle.partitions": tasks, "spark.sql.files.minPartitionNum": tasks}
+    before = {n: spark.conf.get(n, None) for n in values}
     try:
-        if tasks is not None:
-            for name in names:
-                spark.conf.set(name, str(tasks))
+        for name, value in values.items():
+            spark.conf.set(name, str(value))
         yield
     finally:
         for name, value in before.items():

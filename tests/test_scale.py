@@ -156,6 +156,17 @@ def test_tasks_of_a_report_grow_with_the_ledger(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_code_too_large_to_compile_is_not_run_as_one_method(spark, monkeypatch):
+    """Detail rows of the ledger in thousandths were one method of 8,047 bytes, which the JVM interprets."""
+    limit, found = "spark.sql.codegen.hugeMethodLimit", []
+    usual = spark.conf.get(limit)
+    monkeypatch.setattr(running, "staged_ranges", lambda rows, *order: found.append(
+        int(spark.conf.get(limit))) or staging.staged_ranges(rows, *order))
+    o = ReportOptions("partner", date_from=datetime.date(1998, 1, 1), result_selection="customer_supplier")
+    ledger(three_decimal_tables(spark, SF), o)
+    assert found == [8000] and spark.conf.get(limit) == usual
+
+
 def test_reports_about_no_items_store_no_documents(spark, monkeypatch):
     written = []
     monkeypatch.setattr(trade, "_stored", {})
