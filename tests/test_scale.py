@@ -13,7 +13,8 @@ import __spark_entry__ as driver
 from ledgerloom import ReportOptions, ledger, read_store, write_tables
 from ledgerloom import schemas as S
 from ledgerloom.operators import running
-from ledgerloom.sources import staging, trade
+from ledgerloom.plans import multi
+from ledgerloom.sources import samples, staging, trade
 from ledgerloom.sources.tables import LedgerTables, with_match_date
 from ledgerloom.sources.trade import derive_tables, documents, stored_tables, three_decimal_tables
 
@@ -175,3 +176,18 @@ def test_reports_about_no_items_store_no_documents(spark, monkeypatch):
     for name in ("report_dim", "company_reports", "eligible_partners"):
         assert driver.queries()[name](spark, SF).count() > 0
     assert not written
+
+
+def test_tasks_of_many_trial_balances_grow_with_the_ledger(spark, monkeypatch):
+    """Items of all reports met in the session's number of tasks; each pair was added to some twenty sums."""
+    tasks, plans = [], []
+    monkeypatch.setattr(multi, "staged", lambda df: (
+        tasks.append(int(spark.conf.get("spark.sql.shuffle.partitions"))),
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString()), staging.staged(df))[-1])
+    monkeypatch.setattr(staging, "ROWS_PER_TASK", 500)
+    tables, reports = derive_tables(spark, SF), samples.nation_reports(spark, SF)
+    balances = multi.run_trial_balances(tables, reports, datetime.date(1998, 12, 31))
+    assert tasks[-1] == tables.tasks() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_item = plans[-1].split("Aggregate [")[2].split("\n")[0]
+    assert len(re.findall(r"sum\(", per_item)) == len(S.FLOWS)
+    assert balances.select("report_id").distinct().count() == reports.count()
