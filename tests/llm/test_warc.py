@@ -71,6 +71,20 @@ def test_bytes_depend_on_the_records_alone(spark, pages):
     assert keys == sorted(keys) and len(keys) == len(PAGES)
 
 
+def test_files_roll_at_the_sizes_the_query_uses(spark):
+    """Over two shards of text that shrinks to about half: each is written as several files in order."""
+    digits = "array_join(transform(sequence(1, 400), i -> sha2(concat(id, '/', i), 256)), '')"
+    pages = spark.range(700).selectExpr("id AS page_id", "'u' AS url", f"{digits} AS html")
+    folder, manifest = warc.write_warc(pages)
+    rows = sorted(manifest.collect(), key=lambda r: r.file)
+    parts = Counter(r.file[:-len("-0000.warc.gz")] for r in rows)
+    assert len(parts) == 3 and max(parts.values()) > 1 and sum(r.n_records for r in rows) == 700
+    for r, after in zip(rows, rows[1:]):
+        assert r.n_bytes < warc.ROLL_BYTES + 30_000
+        assert r.n_bytes >= warc.ROLL_BYTES or after.file.endswith("-0000.warc.gz")
+    assert warc.read_warc(folder, manifest).select("page_id").distinct().count() == 700
+
+
 def test_empty_pages_fill_shards(spark):
     """Null html throughout, and only at the front: shards by bytes, not one per page."""
     empty = spark.range(600).selectExpr("id AS page_id", "'u' AS url", "CAST(NULL AS string) AS html")
