@@ -39,9 +39,9 @@ def longest_matches(block: Block, window: int) -> np.ndarray:
     """For each window of the block, how many words from there on match another place of the block."""
     suffixes = Suffixes(block.symbols)
     out = np.zeros(int((block.size - window + 1).sum()), np.int64)
-    for segment, start, base in block_windows(block, window):
+    for segment, start, number in block_windows(block, window):
         order, agree = aligned_order(suffixes, block, segment, start, None)
-        out[base + order] = np.maximum(agree, np.append(agree[1:], 0))
+        out[number[order]] = np.maximum(agree, np.append(agree[1:], 0))
     return out
 
 

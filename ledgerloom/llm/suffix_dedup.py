@@ -46,11 +46,11 @@ def judge_for(window: int):
         """The least document order among equal windows."""
         suffixes = Suffixes(block.symbols)
         out = np.zeros(int((block.size - window + 1).sum()), np.int64)
-        for segment, start, base in block_windows(block, window):
+        for segment, start, number in block_windows(block, window):
             order, agree = aligned_order(suffixes, block, segment, start, window)
             new = np.flatnonzero(agree < window)
             least = np.minimum.reduceat(block.low[segment[order]], new)
-            out[base + order] = np.repeat(least, np.diff(np.append(new, len(order))))
+            out[number[order]] = np.repeat(least, np.diff(np.append(new, len(order))))
         return out
     return judge
 

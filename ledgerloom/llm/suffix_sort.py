@@ -2,7 +2,9 @@
 
 Two suffixes are compared in logarithmic time: binary search over prefix polynomial hashes finds how
 far they agree, and the next symbols decide. The sort merges runs of doubling size, all pairs of runs
-of all groups at once, each element finding its place in the other run by binary search. Agreements of
+of all groups at once, each element finding its place in the other run by binary search. Suffixes of
+bytes are first merged by their first bytes, eight at a time as one number, a comparison that costs one step whatever
+the size of a group; only those that agree in all of these and go on are compared by hashes. Agreements of
 neighbours are verified on the symbols afterwards, so a collision of hashes can't make texts equal.
 """
 
@@ -14,6 +16,8 @@ from ledgerloom.llm.anchors import Block, PrefixHashes
 
 PASS_WINDOWS = 400_000
 VERIFY = 1 << 22
+WORD = 8                # bytes compared as one number
+HEAD = 7 * WORD         # bytes of a suffix compared so
 
 
 class Suffixes:
@@ -21,8 +25,15 @@ class Suffixes:
 
     def __init__(self, symbols: np.ndarray):
         self.symbols = symbols
+        self.words = self._words(symbols) if symbols.itemsize == 1 else None
         self.hashes = PrefixHashes(symbols.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
+    @staticmethod
+    def _words(symbols: np.ndarray) -> np.ndarray:
+        """At each place the next bytes as a number, zeros after the end; a view of the symbols."""
+        padded = np.concatenate([symbols, np.zeros(HEAD + WORD, np.uint8)])
+        return np.ndarray(len(symbols) + HEAD, ">u8", padded, strides=(1,))
+
     def agree(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """How many symbols the suffixes at a and b have in common, at most limit."""
         low, high = np.zeros(len(a), np.int64), limit.copy()
@@ -54,6 +65,42 @@ class Suffixes:
 
     def sort(self, group: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Order of suffixes within groups; group ascends."""
+        if self.words is None:
+            return self._merged(group, place, size)
+        order, tied, rank = self._by_heads(group, place, size)
+        if len(tied):
+            rest = order[tied]
+            order[tied] = rest[self._merged(rank, place[rest], size[rest])]
+        return order
+
+    def _by_heads(self, group: np.ndarray, place: np.ndarray, size: np.ndarray
+                  ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order by the first HEAD bytes, places in it that these don't decide, and their ranks."""
+        order, rank = np.arange(len(group)), np.searchsorted(group, group)
+        todo, head = order.copy(), np.minimum(size, HEAD)
+        for at in [*range(0, int(head.max(initial=0)), WORD), HEAD]:
+            one = order[todo]
+            if at < HEAD:
+                cut = (8 * (WORD - np.clip(head[one] - at, 0, WORD))).astype(np.uint64)
+                word = self.words[place[one] + np.minimum(at, head[one])].astype(np.uint64)
+                # 64 bits are cut in two steps, as a shift takes 63 at most
+                half = cut >> np.uint64(1)
+                word = ((word >> half >> (cut - half)) << half) << (cut - half)
+            else:
+                word = head[one]       # the bytes agree: what ends first, comes first
+            by = np.lexsort((word, rank[todo]))
+            order[todo], word, own = one[by], word[by], rank[todo][by]
+            new = np.ones(len(todo), bool)
+            new[1:] = (own[1:] != own[:-1]) | (word[1:] != word[:-1])
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(todo)))
+            rank[todo] = np.repeat(todo[first], count)
+            todo = todo[np.repeat(count > 1, count)]
+        todo = todo[head[order[todo]] == HEAD]
+        return order, todo, rank[todo]
+
+    def _merged(self, group: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Order by merging runs of doubling size."""
         order = np.arange(len(group))
         begin = np.searchsorted(group, group)        # first of the own group
         end = np.searchsorted(group, group, side="right")
@@ -89,20 +136,34 @@ class Suffixes:
 
 
 def block_windows(block: Block, window: int):
-    """Windows of a block in passes: segment, start in the segment; groups stay together."""
+    """Windows of a block in passes: segment, start in the segment, number in the block. Those that may
+    be equal, of one group and distance to the anchor, stay together.
+
+    A group too large for a pass is taken a few distances at a time, so that a passage in very many
+    contexts needs no more memory than its segments do.
+    """
     count = block.size - window + 1
     ends = np.cumsum(count)
+    begin = ends - count
     at, n = 0, len(count)
     while at < n:
-        before = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + PASS_WINDOWS, side="right")))
-        while stop < n and block.group[stop] == block.group[stop - 1]:
-            stop += 1
+        stop = int(np.searchsorted(ends, begin[at] + PASS_WINDOWS, side="right"))
+        if stop < n:
+            stop = int(np.searchsorted(block.group, block.group[stop]))
+        large = stop <= at
+        if large:
+            stop = int(np.searchsorted(block.group, block.group[at], side="right"))
         part = np.arange(at, stop)
-        segment = np.repeat(part, count[at:stop])
-        start = np.arange(len(segment)) - np.repeat(ends[at:stop] - count[at:stop] - before,
-                                                    count[at:stop])
-        yield segment, start, int(before)
+        near = block.anchor[part] - (count[part] - 1)      # distance of the last window
+        lowest, highest = int(near.min()), int(block.anchor[part].max())
+        step = max(1, PASS_WINDOWS // len(part)) if large else highest - lowest + 1
+        for low in range(lowest, highest + 1, step):
+            first = np.maximum(block.anchor[part] - (low + step - 1), 0)
+            size = np.maximum(np.minimum(block.anchor[part] - low, count[part] - 1) - first + 1, 0)
+            segment = np.repeat(part, size)
+            start = np.arange(len(segment)) + np.repeat(first - (np.cumsum(size) - size), size)
+            if len(segment):
+                yield segment, start, begin[segment] + start
         at = stop
 
 

@@ -6,7 +6,7 @@ import pytest
 from brute_repeats import repeated_bytes, repeated_words
 from conftest import odd_documents, sentence
 
-from ledgerloom.llm import anchors, rlz, suffix_dedup
+from ledgerloom.llm import anchors, rlz, suffix_dedup, suffix_sort
 from ledgerloom.llm.suffix_sort import Suffixes
 
 
@@ -97,6 +97,48 @@ def test_suffix_sort():
         assert keys == sorted(keys) and sorted(order) == list(range(n))
 
 
+def test_suffixes_with_zeros_and_long_agreements():
+    """Zero bytes against ends of suffixes, and agreements longer than what is compared as numbers."""
+    rng = np.random.default_rng(5)
+    for t in range(40):
+        symbols = np.tile(rng.integers(0, 2, rng.integers(1, 90)), 12).astype(np.uint8) * (1 + t % 2)
+        n = 120
+        group, place = np.sort(rng.integers(0, 1 + t % 3, n)), rng.integers(0, len(symbols), n)
+        size = np.minimum(rng.integers(0, 150, n), len(symbols) - place)
+        order = Suffixes(symbols).sort(group, place, size)
+        keys = [(group[i], bytes(symbols[place[i]:place[i] + size[i]]), i) for i in range(n)]
+        assert [keys[i] for i in order] == sorted(keys)
+
+
+def common_line(n):
+    """A block of one group: n segments of a common line in contexts of their own."""
+    rng = np.random.default_rng(n)
+    line, size = rng.integers(97, 123, 22).astype(np.uint8), 78
+    rows = [np.concatenate([rng.integers(97, 99, 28), line, rng.integers(97, 99, 28)]) for _ in range(n)]
+    return anchors.Block(np.zeros(n, np.int64), np.arange(n) * 3 % n, np.zeros(n, bool), np.arange(n) * size,
+                         np.full(n, size), np.full(n, 28), np.concatenate(rows).astype(np.uint8))
+
+
+def test_a_common_line_in_many_contexts(monkeypatch):
+    """Its windows are sorted without a comparison by hashes, in passes of bounded size."""
+    def never(*_):
+        raise AssertionError("windows that bytes decide were compared by hashes")
+
+    block, window, passes = common_line(300), 50, []
+    monkeypatch.setattr(suffix_sort, "PASS_WINDOWS", 1000)
+    monkeypatch.setattr(Suffixes, "less", never)
+    for segment, start, number in suffix_sort.block_windows(block, window):
+        passes.append(number)
+        assert (number == segment * 29 + start).all()
+    assert max(map(len, passes)) <= 1000 and sorted(np.concatenate(passes)) == list(range(300 * 29))
+    got = suffix_dedup.judge_for(window)(block)
+    windows = [bytes(block.symbols[b + s:b + s + window]) for b in block.begin for s in range(29)]
+    least = {}
+    for w, low in zip(windows, np.repeat(block.low, 29), strict=True):
+        least[w] = min(least.get(w, low), low)
+    assert got.tolist() == [least[w] for w in windows]
+
+
 def test_collisions_are_verified():
     s = Suffixes(np.array([1, 2, 3, 1, 2, 4], np.uint8))
     n = s.verified(np.array([0, 0]), np.array([3, 3]), np.array([3, 2]))
