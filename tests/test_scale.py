@@ -193,6 +193,40 @@ def test_tasks_of_many_trial_balances_grow_with_the_ledger(spark, monkeypatch):
     assert balances.select("report_id").distinct().count() == reports.count()
 
 
+def test_lines_of_many_reports_lie_side_by_side(spark, monkeypatch):
+    """Ranges were by report first, an item's lines far apart, in as few tasks as its entries ask for."""
+    found = []
+    monkeypatch.setattr(running, "staged_ranges", lambda rows, *order: found.append(
+        (order, rows, int(spark.conf.get("spark.sql.shuffle.partitions")))) or staging.staged_ranges(rows, *order))
+    monkeypatch.setattr(staging, "ROWS_PER_TASK", 500)
+    tables = derive_tables(spark, SF)
+    reports = samples.nation_reports(spark, SF).withColumn("summary", F.lit(False))
+    multi.run_ledgers(tables, reports, datetime.date(1998, 12, 31))
+    (order, rows, tasks), = found
+    assert order[0] == "_key" and order[-1] == "report_id"
+    assert "_amount" not in rows.columns and dict(rows.dtypes)["balance"] == "decimal(18,2)"
+    assert tasks >= rows.where("_is_row = 1").count() / 500 > 2 * tables.tasks()
+
+
+def test_running_sums_of_rows_alike_but_for_their_report(spark):
+    """Reports, keys and null keys that share ranges, with openings wider than the rows' amounts."""
+    n, wide = 3000, 10 ** 20
+    rows = [(r, None if k == 3 else k, i * 7919 % n // 50, i, i % 13 - 5)
+            for i in range(n) for k in (i % 7,) for r in range(1, 6) if (i + r) % 3]
+    start = [(r, k, r * wide + (k or 0)) for r in (1, 2, 9) for k in (0, None, 5)]
+    df = spark.createDataFrame(rows, "r int, k int, day int, id int, v int").withColumn(
+        "v", F.col("v").cast("decimal(18,2)"))
+    carried = spark.createDataFrame([(r, k, str(v)) for r, k, v in start], "r int, k int, v string").withColumn(
+        "v", F.col("v").cast("decimal(28,2)"))
+    so_far, expected = {(r, k): v for r, k, v in start}, {}
+    for r, k, _, i, v in sorted(rows, key=lambda x: (x[2], x[3])):
+        so_far[r, k] = expected[r, i] = so_far.get((r, k), 0) + v
+    for last in ([], ["r"]):
+        got = running.running_sum(df, ["r", "k"], ["day", "id"], "v", "total", carried, last=last)
+        assert {(x.r, x.id): int(x.total) for x in got.collect()} == expected and got.count() == len(rows)
+        assert got.columns == [*df.columns, "total"]
+
+
 def test_entries_are_counted_without_being_made(spark):
     """A report counts them to choose its tasks: that made all their numbers and names."""
     documents = spark.createDataFrame(
