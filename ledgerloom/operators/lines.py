@@ -13,7 +13,7 @@ from ledgerloom.operators.matching import (
     match_dates, open_at_start, reconciled_flag, with_match_dates)
 from ledgerloom.operators.running import running_balance
 from ledgerloom.operators.scan import (
-    account_settings, currency_columns, dated, in_states, move_lines, select_accounts)
+    account_settings, currency_columns, dated, in_states, move_lines, select_accounts, with_entries)
 from ledgerloom.options import ReportOptions
 from ledgerloom.sources.tables import LedgerTables
 
@@ -52,8 +52,8 @@ def line_pred(tables: LedgerTables, o: ReportOptions) -> Column:
 def scope(tables: LedgerTables, o: ReportOptions, until: dt.date,
           whole: bool = False) -> DataFrame:
     """Items of the report up to a date, with their account's settings: the input of lines
-    and totals alike. Dates, journals and states are filtered in the scan. `whole` takes the
-    company's other accounts as well."""
+    and totals alike. Dates, journals and states are filtered in the scan; states that items are to get
+    late, by whoever asks for the items. `whole` takes the company's other accounts as well."""
     since = o.date_from if o.report_type == "journal" else None
     items = dated(move_lines(tables, o), since=since, until=until)
     items = items.where(F.col(o.object_column).isNotNull())
@@ -63,7 +63,9 @@ def scope(tables: LedgerTables, o: ReportOptions, until: dt.date,
     if whole:
         accounts = account_settings(tables).where(F.col("company_id") == o.company_id).drop(
             "company_id", "group_id")
-    return in_states(items, tables, o.states).join(accounts, "account_id")
+    if not tables.late:
+        items = in_states(items, tables, o.states)
+    return items.join(accounts, "account_id")
 
 
 def _still_open(items: DataFrame, o: ReportOptions) -> DataFrame:
@@ -110,6 +112,8 @@ def detail_lines(tables: LedgerTables, o: ReportOptions,
         "full_reconcile_id", reconciled_flag(o).alias("reconciled"), "amount_currency",
         "currency_id", F.col("name").alias("item_name"), F.col("ref").alias("item_ref"),
         *[c for c in ("move_name", "parent_state") if c in items.columns])
+    if tables.late:
+        kept = with_entries(kept, tables, o.states)
     key = o.running_column
     lines = running_balance(kept, key, carried if key == o.object_column else None)
     # What follows from other columns is added after the shuffle the running balance needs.

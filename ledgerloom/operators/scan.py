@@ -61,9 +61,18 @@ def in_states(items: DataFrame, tables: LedgerTables, states: Sequence[str]) ->
     if "parent_state" in items.columns:
         return items.where(F.col("parent_state").isin(list(states)))
     entries = tables["account_move"].where(F.col("state").isin(list(states)))
+    if tables.late:
+        return items.join(entries.select(F.col("id").alias("move_id")), "move_id")
     return items.join(entries.select(F.col("id").alias("move_id")), "move_id", "left_semi")
 
 
+def with_entries(items: DataFrame, tables: LedgerTables, states: Sequence[str]) -> DataFrame:
+    """Items of entries in the given states, with their entry's state and name."""
+    entries = tables["account_move"].where(F.col("state").isin(list(states)))
+    return items.join(entries.select(F.col("id").alias("move_id"), F.col("name").alias("move_name"),
+                                     F.col("state").alias("parent_state")), "move_id")
+
+
 _SETTINGS = ("type_third_parties", "include_initial_balance", "is_unaffected_earnings",
              "compacted", "deprecated", "group_id")
 

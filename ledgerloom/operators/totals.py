@@ -14,7 +14,7 @@ from ledgerloom.operators.lines import line_pred, scope, started, with_needed_da
 from ledgerloom.operators.objects import unaffected_id, whole_company
 from ledgerloom.operators.opening import (
     balance_sheet, opening_group, opening_pred, prior_result, prior_seed, significant_opening)
-from ledgerloom.operators.scan import currency_columns
+from ledgerloom.operators.scan import currency_columns, in_states
 from ledgerloom.options import OBJECT_COLUMNS, ReportOptions
 from ledgerloom.sources.tables import LedgerTables
 
@@ -56,8 +56,14 @@ def report_sums(tables: LedgerTables, o: ReportOptions) -> DataFrame:
             F.lit(None).cast("string").alias("age")))
     else:
         kind = F.coalesce(line, opened) if o.has_opening else line
-        rows = items.select(*group, *S.FLOWS, kind.alias("kind"), prior.alias("prior"), age)
-    parts = (rows.where(F.col("kind").isNotNull() | F.col("prior"))
+        entry = ["move_id"] if tables.late else []
+        rows = items.select(*group, *S.FLOWS, kind.alias("kind"), prior.alias("prior"), age, *entry)
+    rows = rows.where(F.col("kind").isNotNull() | F.col("prior"))
+    # only lines have an age
+    rows = rows.withColumn("age", F.when(F.col("kind") == "line", F.col("age")))
+    if tables.late:
+        rows = in_states(rows, tables, o.states)
+    parts = (rows
              .groupBy(*group, "kind", "age", "prior")
              .agg(*[F.sum(c).alias(c) for c in S.FLOWS]))
     if prior_to is not None:

@@ -27,9 +27,11 @@ def ledger(tables: LedgerTables, options: ReportOptions, today: dt.date | None =
     report's sums are made first, in one pass over the items, and staged: openings, balances
     carried, compacted accounts and totals are read from them. A second pass stages the detail
     rows by ranges of their running balance. What is returned reads staged files only. Both passes
-    have as many tasks as the ledger's size asks for.
+    have as many tasks as the ledger's size asks for. Items that are only prepared for this report are joined
+    with entries and matches after its rows are selected.
     """
     o = options.normalise(today)
+    tables = tables.extract or tables
     schema = S.line_schema(S.money_scale(tables.items))
     if o.summary:
         return S.conform(report_totals(tables, o), schema)

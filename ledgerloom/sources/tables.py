@@ -21,6 +21,10 @@ class LedgerTables:
 
     frames: dict[str, DataFrame] = field(repr=False)
     _known: dict[str, Any] = field(default_factory=dict, repr=False, compare=False)
+    #: of prepared tables: the same as extracted, where a report selects rows before it joins them
+    extract: LedgerTables | None = field(default=None, repr=False, compare=False)
+    #: whether items get their entry's columns from a report, for the rows it has selected
+    late: bool = False
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
@@ -70,7 +74,7 @@ class LedgerTables:
             kept = {n: f for n, f in kept.items() if n != "rollup"}
             items = frames.get("account_move_line", self.items)
             frames = {**frames, "account_move_line": items.drop("open_year")}
-        return replace(self, frames={**kept, **frames}, _known={})
+        return replace(self, frames={**kept, **frames}, _known={}, extract=None, late=False)
 
 
 def check_table(name: str, df: DataFrame) -> DataFrame:
@@ -164,5 +168,9 @@ def with_match_date(tables: LedgerTables, tasks: int | None = None) -> LedgerTab
 def prepare(tables: LedgerTables, tasks: int | None = None) -> LedgerTables:
     """Tables as reports want them: items with their entry's state and name and the last date
     in their match. A lazy step for an extract that is reported on once; `write_tables` does
-    it for a store."""
-    return with_match_date(with_entry_columns(tables), tasks)
+    it for a store. A single report joins the rows it selects instead of all items (`extract`)."""
+    done = with_match_date(with_entry_columns(tables), tasks)
+    found = {"parent_state", "move_name", "last_match_date"}
+    if tasks is not None or found & set(tables.items.columns):
+        return done
+    return replace(done, extract=replace(tables, late=True))
