@@ -11,7 +11,7 @@ from ledgerloom.functions.columns import (
 from ledgerloom.operators.matching import matching_label
 from ledgerloom.operators.objects import section_heading
 from ledgerloom.options import ReportOptions
-from ledgerloom.sources.staging import shared_folder
+from ledgerloom.sources.staging import CODEC, at_least, shared_folder, staged
 from ledgerloom.sources.tables import LedgerTables
 
 DETAIL_TYPES = S.BODY_TYPES
@@ -59,7 +59,7 @@ def with_position(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     (df.repartitionByRange(*_display_keys()).sortWithinPartitions(*_display_keys())
      .withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-     .write.parquet(path))
+     .write.option("compression", CODEC).parquet(path))
     rows = spark.read.parquet(path)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("_range").agg(
@@ -82,9 +82,13 @@ def join_optional(lines: DataFrame, table: DataFrame, key: str, when: Column | N
 
     `table` has the key as its first column. Lines without one get a negative number made
     from the line itself instead: no id is negative, so they still find nothing, but are not
-    all sent to the one task of the null key.
+    all sent to the one task of the null key. With `when`, lines it excludes are not joined, nor shuffled.
     """
-    has_key = F.col(key).isNotNull() if when is None else F.col(key).isNotNull() & when
+    if when is not None:
+        wanted = F.coalesce(when & F.col(key).isNotNull(), F.lit(False))
+        return join_optional(lines.where(wanted), table, key).unionByName(
+            lines.where(~wanted), allowMissingColumns=True)
+    has_key = F.col(key).isNotNull()
     spread = -1 - F.pmod(F.xxhash64("account_id", "partner_id", "move_line_id"), F.lit(1 << 20))
     keyed = lines.withColumn("_key", F.when(has_key, F.col(key)).otherwise(spread))
     first, *rest = table.columns
@@ -100,17 +104,18 @@ def labelled_lines(lines: DataFrame, tables: LedgerTables, options: ReportOption
             F.col("id").alias(f"_{name}_id"), *[F.col(c).alias(n) for n, c in columns.items()])
 
     out = lines.drop("move_name") if "account_move" in tables and not _has_names(tables) else lines
+    # tables that may be large come first, so that lines are not shuffled with the names of small ones
+    out = join_optional(out, table("account_full_reconcile", match_name="name"),
+                        "full_reconcile_id", when=F.col("reconciled"))
+    if "move_name" not in out.columns:
+        out = join_optional(out, table("account_move", move_name="name"), "move_id")
+    out = join_optional(out, table("res_partner", p_ref="ref", p_name="name",
+                                   partner_name="display_name"), "partner_id")
     out = join_optional(out, table("account_account", a_code="code", a_name="name"), "account_id")
     out = join_optional(out, table("account_journal", j_code="code", j_name="name"), "journal_id")
     out = join_optional(out, table("account_analytic_account", an_code="code", an_name="name"),
                         "analytic_account_id")
-    out = join_optional(out, table("res_partner", p_ref="ref", p_name="name",
-                                   partner_name="display_name"), "partner_id")
     out = join_optional(out, table("res_currency", currency="name"), "currency_id")
-    out = join_optional(out, table("account_full_reconcile", match_name="name"),
-                        "full_reconcile_id", when=F.coalesce("reconciled", F.lit(False)))
-    if "move_name" not in out.columns:
-        out = join_optional(out, table("account_move", move_name="name"), "move_id")
     code, name = {"account": ("a_code", "a_name"), "journal": ("j_code", "j_name"),
                   "analytic": ("an_code", "an_name"), "partner": ("p_ref", "p_name")}[o.report_type]
     label = matching_label(F.col("reconciled"), F.col("full_reconcile_id"), F.col("match_name"))
@@ -194,11 +199,12 @@ def section_rows(labelled: DataFrame, tables: LedgerTables, o: ReportOptions) ->
     left out. `section_part` orders the parts of a section. The balance, which runs, has no
     total outside aged balances.
 
-    Lines are evaluated twice: as they are, and summed per object; heading and totals are two
-    rows of one sum.
+    Labelled lines are made once and staged, then read twice: as they are, and summed per object; heading
+    and totals are two rows of one sum.
     """
     aged = o.ledger_type == "aged"
-    rows = aged_pivot_rows(labelled) if aged else pivot_rows(labelled)
+    with at_least(labelled.sparkSession, tables.tasks()):
+        rows = staged(aged_pivot_rows(labelled) if aged else pivot_rows(labelled))
     sums = (*S.AGE_COLUMNS, "balance") if aged else ("debit", "credit")
     per_object = (rows.where(F.col("report_object_id").isNotNull())
                   .groupBy("report_object_id", "object_name")

@@ -525,3 +525,14 @@ def test_items_prepared_for_one_report_are_joined_late(spark, tables, monkeypatc
             a, b = (x.drop("cumul_balance") for x in (a, b))
             assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert {"move_name", "parent_state"} <= set(found[0].columns)
+
+
+def test_names_of_matches_are_joined_to_reconciled_lines_alone(general, tables):
+    """All lines were shuffled for them, with the names of accounts and journals."""
+    o = ReportOptions("general", **YEAR).normalise()
+    labelled = exports.labelled_lines(general, tables, o)
+    plan = labelled._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert labelled.count() == general.count()
+    unions = [i for i, x in enumerate(plan) if x.lstrip(" :+-").startswith("Union")]
+    joins = [i for i, x in enumerate(plan) if "Join LeftOuter" in x]
+    assert unions and min(joins) < min(unions) < max(joins)
